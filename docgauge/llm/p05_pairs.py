@@ -49,11 +49,22 @@ REFUSAL = re.compile(
 
 _TOKEN = re.compile(r"\w+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”", "„": "”", "‹": "›"}
-CLOSE = {v: k for k, v in OPEN.items()}
+# What closes each bracket or quotation mark.
+CLOSERS = {")": "(", "]": "[", "}": "{", "»": "«", "›": "‹", "”": "“„", "“": "„"}
+OPENERS = set("([{«“„‹")
 ITEM = re.compile(r"^\s*(?:\(?\d{1,3}[.)]|[-*•–]|\(?[a-z][.)])(?=\s|$)")
 
 
+def open_close(text: str, stack: list[str]) -> None:
+    """Push and pop the brackets and quotation marks of a text; a closer drops what was left open inside."""
+    for c in text:
+        if c in CLOSERS and any(o in stack for o in CLOSERS[c]):
+            while stack.pop() not in CLOSERS[c]:
+                pass
+        elif c in OPENERS:
+            stack.append(c)
+
+
 class Parsed:
     """End state of the pushdown parser: open constructs, sentences and items finished, and the open phrase."""
 
@@ -68,14 +79,7 @@ class Parsed:
             if fence:
                 continue
             body = line[m.end() :] if (m := ITEM.match(line)) else line  # the marker's bracket opens nothing
-            for c in body:
-                if c in OPEN:
-                    self.stack.append(c)
-                elif c in CLOSE and CLOSE[c] in self.stack:
-                    while self.stack.pop() != CLOSE[c]:
-                        pass
-                elif c == "”" and self.stack and self.stack[-1] in "“„":
-                    self.stack.pop()
+            open_close(body, self.stack)
             if line.count("**") % 2:
                 self.stack.append("**")
         if fence:
