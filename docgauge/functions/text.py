@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Separators of a line, as Python's splitlines has them.
-LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 #: One white-space character in Python's sense.
 SPACE = r"[\s\x1c-\x1f]"
 #: One word token.
