@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +22,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_mem
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    reach(spark)
     return spark
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package from where it lies, also when only the driver's path was extended."""
+    home = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables as Parquet."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

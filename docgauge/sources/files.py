@@ -29,13 +29,29 @@ PARSED = f"doc_id string, markdown string, blocks array<{BLOCK}>, images array<{
 
 def scan(spark: SparkSession, folder: str, formats: tuple[str, ...] = SUPPORTED) -> DataFrame:
     """Files directly in ``folder`` with a supported extension: path, doc_id, type, hash, content."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "content")
+    if empty := _empty_files(spark, folder):
+        raw = raw.unionByName(spark.createDataFrame([(p,) for p in empty], "path string").withColumn("content", F.lit(b"")))
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     files = raw.withColumns({"_n": F.url_decode(F.regexp_replace(name, r"\+", "%2B")), "type": ext}).where(F.col("type").isin(*formats))
     return files.select("path", F.regexp_replace("_n", r"\.[^.]+$", "").alias("doc_id"), "type", F.sha2("content", 256).alias("hash"), "content")
 
 
+def _empty_files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of files without content, which the binaryFile source leaves out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for status in files.globStatus(path) or []:
+        entries = files.listStatusIterator(status.getPath())
+        while entries.hasNext():
+            e = entries.next()
+            if e.isFile() and e.getLen() == 0:
+                out.append(e.getPath().toUri().toString())
+    return out
+
+
 def density_category(words: Column, images: Column, pages: Column) -> Column:
     """Category of a PDF by words and images a page."""
     wpp = F.coalesce(F.try_divide(words, pages), F.lit(0.0))
