@@ -82,6 +82,8 @@ def _unit_pattern() -> str:
 
 
 UNIT = re.compile(_unit_pattern())
+_RUN = re.compile(r"[^\x00-\x7f]+")
+_MARK_SET = frozenset(_MARKS)
 
 
 def _by_code_page() -> dict[str, set[str]]:
@@ -130,7 +132,17 @@ def _one(c: str) -> int:
 
 def spans(text: str) -> Iterator[tuple[int, int]]:
     """Places of the units of a text, in order; clean letters that only happen to stand like a UTF-8 unit are apart."""
-    for m in UNIT.finditer(text):
+    for run in _RUN.finditer(text):
+        a, b = run.span()
+        if b - a == 1:
+            if text[a] in _MARK_SET:
+                yield a, b
+            continue
+        yield from _in_run(text, a, b)
+
+
+def _in_run(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    for m in UNIT.finditer(text, start, end):
         a, b = m.span()
         if b - a > 1 and (u := m.group()) not in SWAPS and (all(c in ALPHABET for c in u) or all(c in STAND_INS for c in u)):
             yield from ((i, i + 1) for i in range(a, b))
@@ -167,7 +179,8 @@ N_LANG = len(LANGS) + 1
 def language(text: str) -> int:
     """Number of the language with most grammatical words; a word of several languages counts in part."""
     score = [0.0] * len(LANGS)
-    for w in _WORD.findall(text.lower().translate(TO_LATIN)):
+    low = text.lower() if text.isascii() else text.lower().translate(TO_LATIN)
+    for w in _WORD.findall(low):
         if (v := _VOTES.get(w)) is not None:
             for i in v:
                 score[i] += 1.0 / len(v)
