@@ -28,12 +28,16 @@ from docgauge.llm.lookalike import TO_LATIN
 PER_LABEL = 250
 #: Hashed trigram space, and centroids of a language.
 DIM, CLUSTERS = 1 << 15, 4
+#: Share of a language's training paragraphs that a cluster must hold.
+SMALLEST = 0.1
 #: Words that a paragraph needs before it counts as written in a language.
 MIN_WORDS = 20
+#: Characters of paragraphs that are turned into vectors at once, which bounds the memory of a task.
+HELD = 400_000
 #: Share of the training paragraphs that the rejection distance may lose, and the slack below it.
 LOST, SLACK = 0.01, 0.45
 
-BREAK = re.compile(r"(?:\r\n|\n|\r)[ \t ]*(?:(?:\r\n|\n|\r)[ \t ]*)+")
+BREAK = re.compile(r"(?:\r\n|\n|\r)[ \t\u00a0]*(?:(?:\r\n|\n|\r)[ \t\u00a0]*)+")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -45,7 +49,7 @@ def named_languages(label: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(parts, code), lambda x: x.isNotNull()))
 
 
-_FOLD = {**TO_LATIN, **{ord(c): " " for c in "0123456789#*|_>[]()\"«»“”,.;:!?…/=+-–—€%°\t\r\n  "}, **{ord("’"): "'"}}
+_FOLD = {**TO_LATIN, **{ord(c): " " for c in "0123456789#*|_>[]()\"«»“”,.;:!?…/=+-–—€%°\t\r\n\u00a0\u202f"}, **{ord("’"): "'"}}
 _FOLD.update({c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)})
 
 
@@ -165,7 +169,9 @@ def fit(texts: list[str], labels: list[str], clusters: int = CLUSTERS, rounds: i
                 if (new == group).all():
                     break
                 group = new
-            cs = [mean(mine[group == g]) for g in np.unique(group)]
+            # A small cluster is what wrong labels brought in; its paragraphs then fall to their own language.
+            large = [g for g in np.unique(group) if (group == g).sum() >= SMALLEST * len(mine)]
+            cs = [mean(mine[group == g]) for g in large]
             centres += cs
             owner += [o] * len(cs)
         model = Centroids(langs, idf, np.array(centres).reshape(-1, DIM), np.array(owner, int), np.zeros(len(langs)))
@@ -203,16 +209,23 @@ SEGMENT_SCHEMA = "doc_id string, seg_no int, start int, end int, n_words int, se
 def language_segments(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str = "markdown") -> DataFrame:
     """One row per paragraph: its place, words, language and confidence."""
 
+    def frame(rows: list[tuple], folded: list[str]) -> pd.DataFrame:
+        langs, conf = model.classify(folded)
+        got = pd.DataFrame(rows, columns=["doc_id", "seg_no", "start", "end", "n_words"])
+        return got.assign(seg_lang=pd.Series(langs, dtype=object), confidence=pd.Series(conf, dtype=float))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows, folded = [], []
+            rows, folded, held = [], [], 0
             for doc, t in zip(pdf["k"], pdf["t"]):
                 for no, (a, b) in enumerate(segments(t)):
                     folded.append(fold(t[a:b]))
                     rows.append((doc, no, a, b, max(folded[-1].count(" ") - 1, 0)))
-            langs, conf = model.classify(folded)
-            got = pd.DataFrame(rows, columns=["doc_id", "seg_no", "start", "end", "n_words"])
-            yield got.assign(seg_lang=pd.Series(langs, dtype=object), confidence=pd.Series(conf, dtype=float))
+                    held += b - a
+                if held > HELD:
+                    yield frame(rows, folded)
+                    rows, folded, held = [], [], 0
+            yield frame(rows, folded)
 
     flat = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
     return flat.mapInPandas(run, SEGMENT_SCHEMA)
