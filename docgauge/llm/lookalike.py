@@ -8,9 +8,9 @@ GREEK, GREEK_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονια", "ABEZHIKMNOPTYXovia
 # Ligatures and their letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 #: Characters that leave no mark: soft hyphen, zero-width and direction marks, variation selectors.
-UNSEEN = r"[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁩︀-️﻿]"
+UNSEEN = "[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufe00-\ufe0f\ufeff]"
 #: White space that is drawn like a space.
-SPACES = "              　"
+SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Hyphens that are drawn like the ASCII one.
 HYPHENS = "‐‑"
 #: Full-width ASCII, by rule.
@@ -25,6 +25,11 @@ assert len(FROM) == len(TO)
 TO_LATIN = dict(zip(map(ord, CYRILLIC + GREEK), CYRILLIC_LATIN + GREEK_LATIN))
 
 
+#: Characters that ``visible`` may change, for a cheap test before the mapping: all but ASCII, Latin letters and the
+#: usual punctuation and currency signs. A few ranges, since a class of many single characters is slow.
+HIDDEN = r"[^\x00-\x7f\x{a1}-\x{ac}\x{ae}-\x{24f}\x{2012}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20bf}]"
+
+
 def visible(c):
     """Column of the text as it is drawn: look-alikes as Latin letters, plain spaces, no unseen characters."""
     from pyspark.sql import functions as F

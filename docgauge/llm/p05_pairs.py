@@ -170,7 +170,7 @@ def language(text: str) -> tuple[str | None, float, str]:
 
 def first_pass(question: str | None, answer: str | None, covered: str | None) -> tuple[str | None, str | None]:
     """(defect or None, ambiguous phrase or None) of one pair."""
-    text = unicodedata.normalize("NFKC", answer or "").replace("​", "").replace("﻿", "").strip()
+    text = unicodedata.normalize("NFKC", answer or "").replace("\u200b", "").replace("\ufeff", "").strip()
     if text.lower() in STAND_INS or not any(c.isalnum() for c in text):
         return "empty", None
     low = " ".join(text.lower().replace("’", "'").split())
