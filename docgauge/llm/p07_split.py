@@ -29,10 +29,10 @@ RANGE, HALO = 1 << 16, 64
 #: Of boundaries between words only the last in so many characters is listed.
 WORD_STEP = 40
 #: Text without any boundary gets a place for a hard cut (rank 0) every so many characters.
-HARD_STEP = 400
+HARD_STEP = 50
 
 # A boundary lies at the end of the match: 4 paragraph, 3 line, 2 sentence, 1 word.
-BOUNDARY = re.compile(r"((?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*)|(\r\n|\n|\r)|([.!?…][»”\"')\]]*\s+)|(\s+)")
+BOUNDARY = re.compile(r"((?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*)|(\r\n|\n|\r)|([.!?…][»”\"')\]]*[^\S\n\r]+)|([^\S\n\r]+)")
 
 
 def boundaries(text: str, left: int, size: int) -> tuple[list[int], list[int]]:
@@ -53,7 +53,7 @@ def boundaries(text: str, left: int, size: int) -> tuple[list[int], list[int]]:
             break
         fill(at)
         r = 5 - m.lastindex
-        if r == 1 and pos and rank[-1] == 1 and at - pos[-1] < WORD_STEP and (len(pos) < 2 or at - pos[-2] < 2 * WORD_STEP):
+        if r == 1 and pos and rank[-1] == 1 and at - (pos[-2] if len(pos) > 1 else 0) < WORD_STEP:
             pos[-1] = at
             continue
         pos.append(at)
@@ -65,8 +65,8 @@ def boundaries(text: str, left: int, size: int) -> tuple[list[int], list[int]]:
 class Cutter:
     """Streams boundaries of one text and yields its pieces; holds the boundaries of one window."""
 
-    def __init__(self, limit: int = LIMIT, overlap: int = OVERLAP):
-        self.limit, self.overlap = limit, overlap
+    def __init__(self, limit: int = LIMIT, overlap: int = OVERLAP, listed: bool = False):
+        self.limit, self.overlap, self.listed = limit, overlap, listed  # listed: only at places in the tables
         self.start, self.seen, self.pos, self.rank = 0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def feed(self, pos: np.ndarray, rank: np.ndarray, seen: int, last: bool) -> Iterator[tuple[int, int, int]]:
@@ -83,7 +83,10 @@ class Cutter:
                 end, r = top, 0
             yield self.start, end, r
             a = int(np.searchsorted(self.pos, end - self.overlap, side="left"))
-            self.start = int(self.pos[a]) if a < len(self.pos) and self.pos[a] < end else end - self.overlap
+            if a < len(self.pos) and self.pos[a] < end and (self.rank[a] or self.listed):
+                self.start = int(self.pos[a])
+            else:
+                self.start = end if self.listed else end - self.overlap
             keep = int(np.searchsorted(self.pos, self.start, side="left"))
             self.pos, self.rank = self.pos[keep:], self.rank[keep:]
         if last and self.seen > self.start:
@@ -94,7 +97,7 @@ TABLES = "doc_id string, range_no long, n_ranges long, n_chars long, n_bytes lon
 PIECES = "doc_id string, piece_no int, start long, end long, cut int, byte_start long, byte_end long"
 
 
-def _stitch(tables: DataFrame, limit: int, overlap: int) -> DataFrame:
+def _stitch(tables: DataFrame, limit: int, overlap: int, listed: bool = False) -> DataFrame:
     """Boundary tables of ranges -> pieces; each text's ranges pass in order through one task, as a stream."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +107,7 @@ def _stitch(tables: DataFrame, limit: int, overlap: int) -> DataFrame:
             out = []
             for r in pdf.itertuples(index=False):
                 if r.doc_id != doc:
-                    doc, cutter, chars, nbytes, no, at_byte = r.doc_id, Cutter(limit, overlap), 0, 0, 0, {0: 0}
+                    doc, cutter, chars, nbytes, no, at_byte = r.doc_id, Cutter(limit, overlap, listed), 0, 0, 0, {0: 0}
                 pos = np.asarray(r.positions, dtype=np.int64) + chars
                 for p, b in zip(pos, r.byte_positions):
                     at_byte[int(p)] = int(b) + nbytes
@@ -186,7 +189,7 @@ def file_pieces(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
                 rows.append((r.doc_id, r.range_no, r.n_ranges, len(own), b - a, pos, rank, [int(x) for x in steps]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TABLES.split(", ")])
 
-    offsets = _stitch(ranges.mapInPandas(detect, TABLES), limit, overlap)
+    offsets = _stitch(ranges.mapInPandas(detect, TABLES), limit, overlap, listed=True)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
