@@ -25,6 +25,8 @@ CAPACITY = 2048
 TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 #: Length classes of the fit: the histogram is summed into so many steps a container; rounds of new patterns.
 STEPS, MAX_ITEMS, ROUNDS = 64, 12, 6
+#: Parts in which the items of one length are ranked; lengths x parts rows are broadcast.
+RANK_SALTS = 64
 
 
 def token_count(text: Column) -> Column:
@@ -163,7 +165,7 @@ def ranked(parts: DataFrame, size: str = "n_tokens") -> DataFrame:
     Rows are spread by a hash of their key, numbered per (task, size), and shifted by the sums of the tasks before.
     ``parts`` must be materialised, so that a lost task is computed alike.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(256)).cast("int")
+    salt = F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(RANK_SALTS)).cast("int")
     keyed = parts.withColumn("salt", salt)
     per = keyed.groupBy(size, "salt").agg(F.count(F.lit(1)).alias("c"))
     shift = per.withColumn("shift", F.sum("c").over(Window.partitionBy(size).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select(size, "salt", F.coalesce("shift", F.lit(0)).alias("shift"))
