@@ -20,7 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgauge.llm import minhash as mh
@@ -36,10 +36,17 @@ PAIR_TERMINAL, PAIR_ITEM = 0.2, 0.03
 #: Times by which a longer word must be more frequent than the torn word that starts it.
 RARER = 10
 
+#: Documents whose signatures are computed at once, and words whose hashes a task remembers.
+BLOCK, MEMO = 1000, 500_000
+#: Rounds in which the members of a large bucket are held against its longest text before the exact way for the rest.
+HUB_ROUNDS = 3
+
 ITEM = re.compile(r"^\s*(?:[-*+•‣◦▪–—]|\[[ xX]?\]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)])\s+")
 BARE_ITEM = re.compile(r"^\s*(?:\[[ xX]?\]?|\(?\d{1,4}[.)]?|\([a-zA-Z]\)?|[a-zA-Z][.)])\s*$")
 MARK = re.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\]|\(\.\.\.\)|\(…\)|\[[. ]+)$")
 URL = re.compile(r"(?:https?://|www\.)\S+$")
+OPENING = re.compile(r"[(\[{«“„‹]")
+BLANK_LINE = re.compile(r"\n[ \t]+\n")
 CELL = re.compile(r"\s\|\s|\t|\",\"| {3,}|(?<=[^\s;]);(?=[^\s;])")
 YEAR = re.compile(r"\b(?:19|20)\d\d$")
 MONEY = re.compile(r"\d,\d?$|,$")
@@ -55,9 +62,9 @@ def cells(line: str) -> tuple[str, list[str]]:
         return "\t", line.split("\t")
     if line.lstrip().startswith('"') and '","' in line:
         return '","', line.split('","')
-    if re.search(r"[^\s;];[^\s;]", line) and line.count(";") >= 1 and not re.search(r"; ", line):
+    if ";" in line and re.search(r"[^\s;];[^\s;]", line) and not re.search(r"; ", line):
         return ";", line.split(";")
-    if re.search(r"\S {3,}\S", line):
+    if "   " in line and re.search(r"\S {3,}\S", line):
         return "   ", re.split(r" {3,}", line.strip())
     return "", [line]
 
@@ -65,15 +72,21 @@ def cells(line: str) -> tuple[str, list[str]]:
 def end_state(text: str) -> tuple[str, str | None]:
     """("cut" | "whole" | "ask" | "item", closing line to ask about) of one text; an item stands in a list or table."""
     t = text.rstrip()
-    if t.endswith("�"):
+    if t.endswith("\ufffd"):
         return "cut", None
-    if MARK.search(t):
+    if MARK.search(t, max(0, len(t) - 20)):
         return "cut", None
-    lines = [x for x in re.split(r"\r\n|\n|\r", t) if x.strip()]
-    last = re.split(r"\r\n|\n|\r", text.rstrip("\r\n "))[-1] if text.rstrip("\r\n ").endswith("\t") else lines[-1]
-    paragraph = re.split(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)", t)[-1]
+    # The closing paragraph, and the line before it for its context.
+    body = text.rstrip("\r\n ")
+    t = (body if body.endswith("\t") else t).replace("\r\n", "\n").replace("\r", "\n")
+    at = t.rfind("\n\n") + 2 if "\n\n" in t else 0
+    paragraph = BLANK_LINE.split(t[at:])[-1]
+    inside = [x for x in paragraph.split("\n") if x.strip()]
+    above = t[: len(t) - len(paragraph)].rstrip().rpartition("\n")[2]
+    lines = [above, *inside] if above else inside
+    last = lines[-1]
     kind, row = cells(last)
-    before = [cells(x) for x in re.split(r"\r\n|\n|\r", paragraph)[-6:-1]]
+    before = [cells(x) for x in inside[-6:-1]] if kind or len(inside) > 2 and cells(inside[-2])[0] else []
     same = [c for k, c in before if k == kind]
     if kind and (len(same) >= 1 or kind == "|"):
         if kind == "|":
@@ -92,10 +105,11 @@ def end_state(text: str) -> tuple[str, str | None]:
     if not kind and len(before) >= 2 and all(k for k, _ in before):
         return "cut", None  # the first cell of a row stands alone under rows
     stack, listed = [], False
-    for line in re.split(r"\r\n|\n|\r", paragraph):
-        m = ITEM.match(line)
-        listed = listed or bool(m)
-        open_close(line[m.end() :] if m else line, stack)
+    if OPENING.search(paragraph) or BARE_ITEM.match(last):
+        for line in inside:
+            m = ITEM.match(line)
+            listed = listed or bool(m)
+            open_close(line[m.end() :] if m else line, stack)
     if stack and not (BARE_ITEM.match(last) and len(stack) == 1):
         return "cut", None
     if listed and BARE_ITEM.match(last):
@@ -113,12 +127,12 @@ def end_state(text: str) -> tuple[str, str | None]:
         return "cut", None
     heading = last.lstrip().startswith("#")
     short = len(body.split()) <= SHORT
-    wrapped = not item and not heading and len(lines) > 1 and re.search(r"[^\n\r][\n\r]{1,2}[ \t]*\S[^\n\r]*$", paragraph) and len(lines[-2]) >= 45 and not re.search(r"[.!?;:]\s*$", lines[-2])
+    wrapped = not item and not heading and len(inside) > 1 and len(lines[-2]) >= 45 and not re.search(r"[.!?;:]\s*$", lines[-2])
     body = CELL.split(body)[-1]
     if short and YEAR.search(body):
         return "whole", None
     beside = lines[-2] if len(lines) > 1 else ""
-    if item or (short and len(beside) <= 48 and beside and not re.search(r"[.!?,]\s*$|^#", beside) and len(paragraph.splitlines()) > 1):
+    if item or (short and len(beside) <= 48 and beside and not re.search(r"[.!?,]\s*$|^#", beside) and len(inside) > 1):
         return "item", body
     if heading or (short and not wrapped and not re.search(r"[.!?;]\s", body)):
         return "ask", body
@@ -139,16 +153,21 @@ def records(documents: DataFrame) -> DataFrame:
     """One row per document: digest, words, end state, closing line, band keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
         for pdf in batches:
-            rows, known = [], {}
-            for k, t in zip(pdf["doc_id"], pdf["text"]):
-                if t is None or not t.strip():
-                    rows.append((k, None, 0, "whole", None, []))
-                    continue
-                ws = mh.words(t)
-                state, closing = end_state(t)
-                rows.append((k, hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest(), len(ws), state, closing, mh.bands(mh.shingles(ws, known))))
-            yield pd.DataFrame(rows, columns=["doc_id", "digest", "n_words", "state", "closing", "bands"])
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                texts = [None if t is None or not t.strip() else t for t in part["text"]]
+                ws = [mh.words(t) for t in texts]
+                if len(known) > MEMO:
+                    known.clear()
+                rows = []
+                for k, t, w, keys in zip(part["doc_id"], texts, ws, mh.signatures(ws, known)):
+                    if t is None:
+                        rows.append((k, None, 0, "whole", None, []))
+                    else:
+                        rows.append((k, hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest(), len(w), *end_state(t), keys))
+                yield pd.DataFrame(rows, columns=["doc_id", "digest", "n_words", "state", "closing", "bands"])
 
     return documents.select("doc_id", "text").mapInPandas(run, RECORD)
 
@@ -193,47 +212,172 @@ def near_copies(rec: DataFrame, documents: DataFrame) -> DataFrame:
     Buckets of up to ``SMALL_BUCKET`` texts give all pairs. A larger bucket goes in rounds: its longest text is the hub,
     members similar to the hub are settled with it, the others stay for the next round, until nothing is left.
     """
-    forms = cut(rec.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.any_value("bands").alias("bands")))
-    keyed = cut(forms.select("digest", "n_words", F.explode("bands").alias("key")))
-    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    keyed = keyed.join(size, "key")
+    reps = rec.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.any_value("bands").alias("bands"))
+    band = reps.select("digest", "doc_id", "n_words", F.explode("bands").alias("key"))
+    size = cut(band.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    # Shared keys are few next to all keys: they go to the rows where that is checked.
+    keyed = cut(band.join(F.broadcast(size) if size.count() <= SENT else size, "key").select("key", "digest", "doc_id", "n_words", "size"))
     in_small = keyed.where(F.col("size") <= mh.SMALL_BUCKET)
     x, y = in_small.select("key", F.col("digest").alias("a")), in_small.select("key", F.col("digest").alias("b"))
     pairs = x.join(y, "key").where("a < b").select("a", "b").distinct()
-    texts = forms.join(keyed.select("digest").distinct(), "digest", "left_semi").select("doc_id", "digest").join(documents.select("doc_id", "text"), "doc_id").select("digest", "text")
-    texts = cut(texts)
+    ids = cut(keyed.select("doc_id", "digest").distinct())
+    # A few candidates go to where the texts lie; many are joined by shuffling.
+    texts = cut(documents.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id").select("digest", "text"))
     out = _verify(pairs, texts)
     rest = cut(keyed.where(F.col("size") > mh.SMALL_BUCKET).select("key", "digest", "n_words"))
-    while not rest.isEmpty():
+    for _ in range(HUB_ROUNDS):
+        if rest.isEmpty():
+            break
         hub = rest.groupBy("key").agg(F.max_by("digest", F.struct("n_words", "digest")).alias("hub"))
         held = rest.join(hub, "key").where("digest <> hub")
         checked = cut(_verify(held.select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct(), texts))
         out = out.unionByName(checked)
         done = checked.where(F.col("similarity") >= mh.SIMILAR).select(F.col("a").alias("digest"), F.col("b").alias("hub"))
         rest = cut(held.join(done, ["digest", "hub"], "left_anti").select("key", "digest", "n_words"))
+    if not rest.isEmpty():
+        out = out.unionByName(_verify(rare_shingle_pairs(rest.select("digest").distinct(), texts), texts))
     return out.where(F.col("similarity") >= mh.SIMILAR)
 
 
+def rare_shingle_pairs(digests: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) that can be similar, without loss: they share one of the rarest shingles of each text.
+
+    Two sets of similarity s share one of the first (1 - s) n + 1 shingles of both in any common order; in the order from
+    rare to frequent those hold no boilerplate. For the texts left over by the hub rounds.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, known = [], {}
+            for d, t in zip(pdf["digest"], pdf["text"]):
+                sh = mh.shingles(mh.words(t), known).view("int64")
+                rows += [(d, x, len(sh)) for x in sh.tolist()]
+            yield pd.DataFrame(rows, columns=["digest", "shingle", "n"])
+
+    each = cut(texts.join(digests, "digest", "left_semi").mapInPandas(run, "digest string, shingle long, n long"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("digest").orderBy("df", "shingle")
+    keep = F.col("n") - F.ceil(F.lit(mh.SIMILAR) * F.col("n")) + 1
+    head = cut(each.join(often.where("df > 1"), "shingle").withColumn("at", F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("digest"))).where(F.col("at") <= keep).select("digest", "shingle"))
+    a, b = head.select("shingle", F.col("digest").alias("a")), head.select("shingle", F.col("digest").alias("b"))
+    return a.join(b, "shingle").where("a < b").select("a", "b").distinct()
+
+
+#: Distinct asked keys up to which they are sent to all tasks; more are joined by shuffling.
+SENT = 300_000
+#: What is left off at the end of a line.
+CLOSING = " \t\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2028\u2029\u202f\u3000;,.:|"
+LINE_END = r"\r\n|[\n\r]|\s\|\s|\t|\",\"| {3,}|(?<=[^\s;]);(?=[^\s;])"
+
+
+def _tidy(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
+def _counts_sent(mine: DataFrame, ask: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(begun and whole of asked lines, n and ends of word pairs after asked words), the asked keys in every task."""
+    rows = ask.select("line_text", "prev", "word").distinct().collect()  # at most SENT, checked by the caller
+    lines_of: dict = {}  # a tree of asked lines, word by word; the key "" holds the line
+    after: dict[str, set[str]] = {}  # asked word -> beginnings of the words asked about after it
+    for r in rows:
+        at = lines_of
+        for w in r["line_text"].split(" "):
+            at = at.setdefault(w, {})
+        at[""] = r["line_text"]
+        after.setdefault(r["prev"], set()).add(r["word"][:2])
+    sent = mine.sparkSession.sparkContext.broadcast((lines_of, after))
+    ends, number, edge = re.compile(LINE_END), re.compile(r"\d+(?:[.,]\d+)*"), re.compile(r"^[\W_]+|[\W_]+$")
+    mark = re.compile(r"[\s>#]*(?:(?:[-*+•‣◦▪–—]|\[[ x]?\]|\(?0[.)]|\(?[a-z][.)])\s+)?")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, after = sent.value
+        lines: dict[str, list[int]] = {}
+        pairs: dict[tuple[str, str], list[int]] = {}
+
+        def flush() -> pd.DataFrame:
+            rows = [("l", a, None, *x) for a, x in lines.items()]
+            rows += [("p", a, edge.sub("", b), *x) for (a, b), x in pairs.items()]
+            lines.clear()
+            pairs.clear()
+            return pd.DataFrame(rows, columns=["kind", "a", "b", "n", "ends"])
+
+        def note(prev: str, word: str, end: int) -> None:
+            begins = after.get(prev)
+            if begins is not None and (word[:2] in begins or word[:1] in begins or not word[:1].isalnum()):
+                x = pairs.get((prev, word))
+                if x is None:
+                    x = pairs[prev, word] = [0, 0]
+                x[0] += 1
+                x[1] += end
+
+        for pdf in batches:
+            for t in pdf["text"]:
+                low = number.sub("0", t.lower()).replace("’", "'").replace("\r\n", "\n").replace("\r", "\n")
+                parts = []
+                for x in low.split("\n"):
+                    if ";" in x or "|" in x or "   " in x or "\t" in x or '"' in x:
+                        parts += ends.split(x)
+                    else:
+                        parts.append(x)
+                for x in parts:
+                    if not x[:1].isalpha() or x[1:2] in (".", ")"):
+                        x = x[mark.match(x).end() :]
+                    words = x.rstrip(CLOSING).split()
+                    if not words:
+                        continue
+                    n, at = len(words), tree
+                    for i, w in enumerate(words[:SHORT], 1):
+                        at = at.get(w)
+                        if at is None:
+                            break
+                        if (line := at.get("")) is not None:
+                            c = lines.setdefault(line, [0, 0])
+                            c[0] += 1
+                            c[1] += i == n
+                    prev = ""
+                    last = words.pop()
+                    for w in words:
+                        if prev in after:
+                            note(prev, w, 0)
+                        prev = w
+                    note(prev, last, 1)
+            if len(pairs) + len(lines) > MEMO:
+                yield flush()
+        yield flush()
+
+    got = cut(mine.select("text").mapInPandas(run, "kind string, a string, b string, n long, ends long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
+    counted = got.where("kind = 'l'").select(F.col("a").alias("line_text"), F.col("n").alias("begun"), F.col("ends").alias("whole"))
+    return counted, got.where("kind = 'p' and b <> ''").select(F.col("a").alias("prev"), F.col("b").alias("word"), "n", "ends")
+
+
+def _counts_joined(mine: DataFrame, ask: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The counts of ``_counts_sent`` by shuffling, for asked keys of any number."""
+    n = F.size("w")
+    lines = mine.select(F.explode(F.split("text", LINE_END)).alias("x")).select(_line_key(F.col("x")).alias("w")).where(n > 0)
+    starts = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(SHORT))), lambda i: F.struct(F.array_join(F.slice("w", 1, i), " ").alias("line_text"), (i == n).cast("long").alias("whole")))
+    counted = lines.select(F.explode(starts).alias("s")).select("s.*").join(ask.select("line_text").distinct(), "line_text", "left_semi").groupBy("line_text").agg(F.count(F.lit(1)).alias("begun"), F.sum("whole").alias("whole"))
+    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.when(i > 1, F.element_at("w", i - 1)).otherwise(F.lit("")).alias("prev"), F.element_at("w", i).alias("raw"), (i == n).cast("long").alias("ends")))
+    pair = lines.select(F.explode(pairs).alias("o")).select("o.*").join(ask.select("prev").distinct(), "prev", "left_semi")
+    pair = pair.groupBy("prev", _tidy(F.col("raw")).alias("word")).agg(F.count(F.lit(1)).alias("n"), F.sum("ends").alias("ends")).where(F.length("word") > 0)
+    return counted, cut(pair)
+
+
 def terminality(rec: DataFrame, documents: DataFrame) -> DataFrame:
     """Digest and verdict ``torn`` of every text whose closing line has to be asked about."""
-    ask = rec.where("state in ('ask', 'item')").groupBy("digest").agg(F.any_value("closing").alias("closing"), F.any_value("state").alias("state")).select("digest", "state", _line_key(F.col("closing")).alias("w")).where(F.size("w") > 0)
-    tidy = lambda c: F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    ask = rec.where("state in ('ask', 'item')").groupBy("digest").agg(F.any_value("closing").alias("closing"), F.any_value("state").alias("state"), (F.count(F.lit(1)) - 1).alias("copies")).select("digest", "state", "copies", _line_key(F.col("closing")).alias("w")).where(F.size("w") > 0)
     before = lambda w, i: F.when(i > 1, F.element_at(w, i - 1)).otherwise(F.lit(""))
     n = F.size("w")
-    ask = cut(ask.select("digest", "state", "w", F.xxhash64(F.array_join("w", " ")).alias("line"), F.xxhash64(before(F.col("w"), n)).alias("prev"), tidy(F.element_at("w", -1)).alias("word")))
-    # One text of each digest speaks for its exact copies.
-    one = rec.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    lines = documents.select("doc_id", "text").join(one, "doc_id", "left_semi").select(F.explode(F.split("text", r"\r\n|[\n\r]|\s\|\s|\t|\",\"| {3,}|(?<=[^\s;]);(?=[^\s;])")).alias("x"))
-    lines = cut(lines.select(_line_key(F.col("x")).alias("w")).where(n > 0).groupBy("w").agg(F.count(F.lit(1)).alias("m")))
-    # How often a sequence of words begins a line, and is a whole line.
-    starts = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(SHORT))), lambda i: F.struct(F.xxhash64(F.array_join(F.slice("w", 1, i), " ")).alias("line"), F.when(i == n, F.col("m")).otherwise(0).alias("whole")))
-    counted = lines.select("m", F.explode(starts).alias("s")).groupBy("s.line").agg(F.sum("m").alias("begun"), F.sum("s.whole").alias("whole"))
-    # How often a pair of words occurs, and ends a line; and the most frequent longer word for each start of a second word.
-    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(before(F.col("w"), i)).alias("prev"), tidy(F.element_at("w", i)).alias("word"), F.when(i == n, F.col("m")).otherwise(0).alias("ends")))
-    pair = cut(lines.select("m", F.explode(pairs).alias("o")).groupBy("o.prev", "o.word").agg(F.sum("m").alias("n"), F.sum("o.ends").alias("ends")).where(F.length("word") > 0))
+    ask = cut(ask.select("digest", "state", "copies", "w", F.array_join("w", " ").alias("line_text"), before(F.col("w"), n).alias("prev"), _tidy(F.element_at("w", -1)).alias("word")))
+    mine = documents.where(F.length("text") > 0)
+    keys = ask.select("line_text", "prev", "word").distinct()
+    few = keys.count() <= SENT
+    counted, pair = (_counts_sent if few else _counts_joined)(mine, ask)
     first = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), F.lit(1), i))
-    longer = pair.where(F.length("word") > 1).where(F.col("word").rlike(r"\p{L}")).select("prev", "n", F.explode(first).alias("word")).groupBy("prev", "word").agg(F.max("n").alias("longer"))
-    j = ask.join(counted, "line", "left").join(pair, ["prev", "word"], "left").join(longer, ["prev", "word"], "left")
+    longer = pair.where(F.length("word") > 1).where(F.col("word").rlike(r"\p{L}")).select("prev", "n", F.explode(first).alias("word"))
+    longer = longer.join(ask.select("prev", "word").distinct(), ["prev", "word"], "left_semi").groupBy("prev", "word").agg(F.max("n").alias("longer"))
+    j = ask.join(counted, "line_text", "left").join(pair, ["prev", "word"], "left").join(longer, ["prev", "word"], "left")
+    # Exact copies of a text don't speak for its closing line.
+    j = j.withColumns({c: F.greatest(F.col(c) - F.col("copies"), F.lit(1)) for c in ("begun", "whole", "n", "ends")})
     torn_word = F.col("word").rlike(r"\p{L}") & (F.coalesce("n", F.lit(1)) == F.coalesce("ends", F.lit(1))) & (F.coalesce("longer", F.lit(0)) >= RARER * F.coalesce("n", F.lit(1)))
     begun, whole = F.coalesce("begun", F.lit(1)), F.coalesce("whole", F.lit(1))
     item = F.col("state") == "item"
