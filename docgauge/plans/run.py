@@ -105,16 +105,22 @@ def parse_folder(spark: SparkSession, folder: str, pdf_readers: list | None = No
     return parsed.drop("pages").join(prov, "doc_id")
 
 
-def golden_set(docs: DataFrame, client: Callable[[], Client], profile: str = "utilisateur metier", policy: str = "", n_questions="auto", corpus_questions: DataFrame | None = None, k: int = 6, chunk_chars: int = 1000, overlap: int = 100, encoder=retrieval.letter_counts) -> DataFrame:
+def golden_set(docs: DataFrame, client: Callable[[], Client], profile: str = "utilisateur metier", policy: str = "", n_questions="auto", corpus_questions: DataFrame | None = None, k: int = 6, chunk_chars: int = 1000, overlap: int = 100, encoder=retrieval.letter_counts, corpus_level: bool = False) -> DataFrame:
     """Golden rows of every document, and of corpus questions (q_no, question) answered from retrieved excerpts.
 
-    Blank documents and failed calls give no rows. Corpus questions need at least two documents.
+    With ``corpus_level`` and no questions given, the client proposes them from the synopses. Blank documents and failed
+    calls give no rows. Corpus questions need at least two documents.
     """
     live = docs.where(~tx.is_blank(F.col("markdown"))).select("doc_id", "markdown")
     asked = answer(live.select("doc_id", gq.document_prompt(F.col("markdown"), profile, policy, n_questions).alias("prompt")), client)
     rows = gq.rows_from_answers(asked.where("error is null"))
-    if corpus_questions is None or len(live.head(2)) < 2:
+    if (corpus_questions is None and not corpus_level) or len(live.head(2)) < 2:
         return rows
+    if corpus_questions is None:
+        prompt = docs.sparkSession.createDataFrame([("corpus", gq.corpus_questions_prompt(live, profile, policy, n_questions))], "doc_id string, prompt string")
+        told = answer(prompt, client).where("error is null")
+        found = told.select(F.posexplode(F.from_json(judge.json_object(F.col("response")), gq.ANSWERS)["questions"]).alias("i", "q"))
+        corpus_questions = found.select((F.col("i") + 1).alias("q_no"), F.col("q.question").alias("question"))
     index = cut(retrieval.embed(retrieval.chunks(live, chunk_chars, overlap), encoder))
     q = retrieval.embed(corpus_questions.where(~tx.is_blank(F.col("question"))).select(F.col("q_no").alias("q_id"), tx.strip(F.col("question")).alias("question")), encoder, "question")
     hits = cut(retrieval.retrieve(index, q, k)).join(index.drop("emb"), ["doc_id", "chunk_no"])

@@ -193,6 +193,12 @@ def test_golden_rows(spark, corpus):
     assert rows["corpus-1"]["reponse"] == "Les deux" and len(rows["corpus-1"]["sources"].split("; ")) >= 1
 
 
+def test_corpus_questions_are_proposed(spark, corpus):
+    answers = {"PROPOSE": {"questions": [{"question": "Quel lien ?"}, {"question": " "}]}, "Extraits": {"reponse": "Aucun", "couvert": "oui"}}
+    rows = {r["id"]: r for r in golden_set(corpus[0], lambda: Scripted(answers), corpus_level=True, k=1).collect()}
+    assert set(rows) == {"corpus-1"} and rows["corpus-1"]["question"] == "Quel lien ?"
+
+
 def test_colliding_names_are_refused(spark, tmp_path):
     for n in ("a.md", "a.txt"):
         (tmp_path / n).write_text("x", encoding="utf-8")
