@@ -25,12 +25,13 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "markdown") -
     return d.join(g, "h").select("doc_id", "group_id", "n_docs")
 
 
-def near_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", tables: int = 16, bits: int = 10, bucket: int = 64, seed: int = 11) -> DataFrame:
+def near_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", tables: int = 16, bits: int = 10, bucket: int = 1024, seed: int = 11) -> DataFrame:
     """Verified near duplicates: (a, b, score) with cosine of at least ``threshold``, a < b.
 
-    Candidates share a bucket of random hyperplanes in one of ``tables`` tables. A bucket of more than ``bucket`` vectors
-    is halved by further planes of its own until it is small or holds equal vectors only; equal vectors are collapsed to
-    their first id beforehand and linked to it, so copies are not expanded into all pairs.
+    Candidates share a bucket of ``bits`` random hyperplanes in one of ``tables`` tables. All pairs of a bucket are
+    compared, whatever its size: one of more than ``bucket`` vectors is dealt into blocks of about that many, and every two
+    blocks are compared in a group of their own. So whether a pair is found depends on its angle only. Equal vectors are
+    collapsed to their first id beforehand and linked to it, so copies are not expanded into all pairs.
     """
     import pandas as pd
 
@@ -39,41 +40,49 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id",
     first = unit.groupBy("h").agg(F.min("id").alias("rep"))
     copies = unit.select("id", "h").join(first, "h").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
     reps = cut(unit.join(first, "h").where("id = rep").select("id", "v"))
+    kind = reps.schema["id"].dataType.simpleString()
 
     def keys(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
             m = np.vstack(pdf["v"].to_numpy())
-            rows = []
             for t in range(tables):
-                planes = np.random.default_rng([seed, t]).standard_normal((m.shape[1], 60))
-                side = m @ planes > 0
-                rows.append(side)
-            out = [(i, t, "".join("01"[int(x)] for x in rows[t][k])) for k, i in enumerate(pdf["id"]) for t in range(tables)]
-            yield pd.DataFrame(out, columns=["id", "t", "code"])
-
-    coded = cut(reps.select("id", "v").mapInPandas(keys, "id long, t int, code string"))
-    # Halve the large buckets: the prefix grows until the bucket is small.
-    parts, level, width = [], coded.withColumn("p", F.substring("code", 1, bits)), bits
-    while width <= 60:
-        size = level.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n"))
-        sized = level.join(size, ["t", "p"])
-        done = sized.where((F.col("n") <= bucket) | F.lit(width >= 60)).where("n > 1")
-        parts.append(done.select("t", "p", "id"))
-        level = cut(sized.where((F.col("n") > bucket) & F.lit(width < 60)).select("id", "t", "code")) if width < 60 else level
-        if width >= 60 or level.isEmpty():
-            break
-        width = min(60, width + 5)
-        level = level.withColumn("p", F.substring("code", 1, width))
-    small = parts[0]
-    for x in parts[1:]:
-        small = small.unionByName(x)
-    a, b = small.select("t", "p", F.col("id").alias("a")), small.select("t", "p", F.col("id").alias("b"))
-    pairs = a.join(b, ["t", "p"]).where("a < b").select("a", "b").distinct()
-    va, vb = reps.select(F.col("id").alias("a"), F.col("v").alias("va")), reps.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    scored = pairs.join(va, "a").join(vb, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("score"))
-    return scored.where(F.col("score") >= threshold).select("a", "b", F.round("score", 3).alias("score")).unionByName(copies)
+                planes = np.random.default_rng([seed, t]).standard_normal((m.shape[1], 60))[:, :bits]
+                yield pd.DataFrame({"id": pdf["id"], "t": t, "p": (m @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))})
+
+    def compared(run: pd.DataFrame) -> pd.DataFrame:
+        """Pairs over the threshold of two blocks, or of one."""
+        i, j = run["i"].iloc[0], run["j"].iloc[0]
+        ids, m, block = run["id"].to_numpy(), np.vstack(run["v"].to_numpy()), run["block"].to_numpy()
+        m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        sims = m[left] @ m[right].T
+        x, y = np.nonzero(np.triu(sims >= threshold, 1) if i == j else sims >= threshold)
+        a, b = ids[left[x]], ids[right[y]]
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "score": sims[x, y]})
+
+    def compare(batches):
+        rest = None  # the group that the next batch may go on with; at most two blocks
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            k = pdf[["t", "p", "i", "j"]].to_numpy()
+            at = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist()]
+            for lo, hi in zip(at, at[1:]):
+                yield compared(pdf.iloc[lo:hi])
+            rest = pdf.iloc[at[-1] :]
+        if rest is not None:
+            yield compared(rest)
+
+    coded = cut(reps.mapInPandas(keys, f"id {kind}, t int, p long"))
+    size = coded.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / F.lit(bucket))
+    placed = coded.join(size, ["t", "p"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    groups = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("id", "t", "p", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    near = groups.join(reps, "id").repartition("t", "p", "i", "j").sortWithinPartitions("t", "p", "i", "j").mapInPandas(compare, f"a {kind}, b {kind}, score double")
+    return near.groupBy("a", "b").agg(F.round(F.max("score"), 3).alias("score")).unionByName(copies)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -31,6 +31,19 @@ def test_near_pairs_against_brute_force(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_near_pairs_of_a_dense_group(spark):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    group = unit(unit(rng.standard_normal(32)) + 0.45 * unit(rng.standard_normal((3000, 32))))
+    twins = unit(group[:300] + 0.3 * unit(rng.standard_normal((300, 32))))
+    m = np.vstack([group, twins, unit(rng.standard_normal((1500, 32)))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    c = m @ m.T
+    want = set(zip(*(x.tolist() for x in np.nonzero(np.triu(c >= 0.95, 1)))))
+    got = [(r["a"], r["b"]) for r in redundancy.near_pairs(df, 0.95, bucket=200).collect()]
+    assert len(want) >= 300 and len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
+
+
 def test_retrieval_against_brute_force(spark):
     rng = np.random.default_rng(6)
     m = rng.integers(0, 3, (80, 6)).astype(float)
