@@ -7,8 +7,8 @@ words: how often the closing line, as a sequence of words, is a whole line of th
 starts with it, whether its last word is a torn one, and for a line nobody else has, how often its last two words end
 a line. The end of the text also shows open brackets, cut marks, half characters and unfinished table rows.
 
-All counts cover all documents and shrink map-side. Buckets of many different texts go through hub rounds (each member
-against the longest one, the rest again), so no bucket is paired quadratically and none is dropped. Null and blank texts
+All counts cover all documents and shrink map-side. The members of buckets of many different texts are paired by their
+rarest shingles, so boilerplate pairs nothing, no similar pair is lost and no bucket is dropped. Null and blank texts
 are never cut; a null source is the source "". Repeated rows are each reported; doc_id is the key.
 """
 
@@ -38,8 +38,6 @@ RARER = 10
 
 #: Documents whose signatures are computed at once, and words whose hashes a task remembers.
 BLOCK, MEMO = 1000, 500_000
-#: Rounds in which the members of a large bucket are held against its longest text before the exact way for the rest.
-HUB_ROUNDS = 3
 
 ITEM = re.compile(r"^\s*(?:[-*+•‣◦▪–—]|\[[ xX]?\]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)])\s+")
 BARE_ITEM = re.compile(r"^\s*(?:\[[ xX]?\]?|\(?\d{1,4}[.)]?|\([a-zA-Z]\)?|[a-zA-Z][.)])\s*$")
@@ -209,8 +207,8 @@ def ends_early(short: list[str], long: list[str], anchor: int = 4) -> bool:
 def near_copies(rec: DataFrame, documents: DataFrame) -> DataFrame:
     """Verified pairs of different texts: (a, b, similarity, early_a, early_b) by digest.
 
-    Buckets of up to ``SMALL_BUCKET`` texts give all pairs. A larger bucket goes in rounds: its longest text is the hub,
-    members similar to the hub are settled with it, the others stay for the next round, until nothing is left.
+    Buckets of up to ``SMALL_BUCKET`` texts give all pairs. All members of larger ones are held against each other by
+    their rarest shingles, which loses no similar pair.
     """
     reps = rec.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.any_value("bands").alias("bands"))
     band = reps.select("digest", "doc_id", "n_words", F.explode("bands").alias("key"))
@@ -223,27 +221,17 @@ def near_copies(rec: DataFrame, documents: DataFrame) -> DataFrame:
     ids = cut(keyed.select("doc_id", "digest").distinct())
     # A few candidates go to where the texts lie; many are joined by shuffling.
     texts = cut(documents.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id").select("digest", "text"))
-    out = _verify(pairs, texts)
-    rest = cut(keyed.where(F.col("size") > mh.SMALL_BUCKET).select("key", "digest", "n_words"))
-    for _ in range(HUB_ROUNDS):
-        if rest.isEmpty():
-            break
-        hub = rest.groupBy("key").agg(F.max_by("digest", F.struct("n_words", "digest")).alias("hub"))
-        held = rest.join(hub, "key").where("digest <> hub")
-        checked = cut(_verify(held.select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct(), texts))
-        out = out.unionByName(checked)
-        done = checked.where(F.col("similarity") >= mh.SIMILAR).select(F.col("a").alias("digest"), F.col("b").alias("hub"))
-        rest = cut(held.join(done, ["digest", "hub"], "left_anti").select("key", "digest", "n_words"))
-    if not rest.isEmpty():
-        out = out.unionByName(_verify(rare_shingle_pairs(rest.select("digest").distinct(), texts), texts))
-    return out.where(F.col("similarity") >= mh.SIMILAR)
+    large = cut(keyed.where(F.col("size") > mh.SMALL_BUCKET).select("digest").distinct())
+    if not large.isEmpty():
+        pairs = pairs.unionByName(rare_shingle_pairs(large, texts)).distinct()
+    return _verify(pairs, texts).where(F.col("similarity") >= mh.SIMILAR)
 
 
 def rare_shingle_pairs(digests: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) that can be similar, without loss: they share one of the rarest shingles of each text.
 
     Two sets of similarity s share one of the first (1 - s) n + 1 shingles of both in any common order; in the order from
-    rare to frequent those hold no boilerplate. For the texts left over by the hub rounds.
+    rare to frequent those hold no boilerplate. Texts whose numbers of shingles differ too much can't be similar.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,10 +245,11 @@ def rare_shingle_pairs(digests: DataFrame, texts: DataFrame) -> DataFrame:
     each = cut(texts.join(digests, "digest", "left_semi").mapInPandas(run, "digest string, shingle long, n long"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("digest").orderBy("df", "shingle")
-    keep = F.col("n") - F.ceil(F.lit(mh.SIMILAR) * F.col("n")) + 1
-    head = cut(each.join(often.where("df > 1"), "shingle").withColumn("at", F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("digest"))).where(F.col("at") <= keep).select("digest", "shingle"))
-    a, b = head.select("shingle", F.col("digest").alias("a")), head.select("shingle", F.col("digest").alias("b"))
-    return a.join(b, "shingle").where("a < b").select("a", "b").distinct()
+    keep = F.col("n") - F.ceil(F.lit(mh.SIMILAR) * F.col("n") - F.lit(1e-6)) + 1
+    head = cut(each.join(often.where("df > 1"), "shingle").withColumn("at", F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("digest"))).where(F.col("at") <= keep).select("digest", "shingle", "n"))
+    a, b = (head.select("shingle", F.col("digest").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    fit = F.least("n_a", "n_b") + F.lit(1e-6) >= F.lit(mh.SIMILAR) * F.greatest("n_a", "n_b")
+    return a.join(b, "shingle").where("a < b").where(fit).select("a", "b").distinct()
 
 
 #: Distinct asked keys up to which they are sent to all tasks; more are joined by shuffling.

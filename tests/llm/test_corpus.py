@@ -160,6 +160,20 @@ def test_hot_bucket_goes_through_hub_rounds(spark, monkeypatch):
     assert {r["doc_id"] for r in p10.found(df).collect()} == {50}
 
 
+def test_hot_bucket_pairs_all_members(spark, monkeypatch):
+    monkeypatch.setattr(mh, "SMALL_BUCKET", 3)
+    full = body(500, 40)
+    rows = [(i, full + f" Ajout {i}.", "a") for i in range(12)]
+    rows += [(50 + i, " ".join(w for k, w in enumerate(full.split()) if k % 97 != i) + " Fin de la note.", "a") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rec = p10.records(df).cache()
+    got = [(r["a"], r["b"]) for r in p10.near_copies(rec, df).collect()]
+    digest = {r["doc_id"]: r["digest"] for r in rec.collect()}
+    sh = {digest[k]: mh.shingles(mh.words(t), {}) for k, t, _ in rows}
+    want = {(x, y) for x in sh for y in sh if x < y and mh.jaccard(sh[x], sh[y]) >= 0.8}
+    assert len(want) > 66 and set(got) == want and len(got) == len(want)
+
+
 def test_alignment():
     long = "un deux trois quatre cinq six sept huit neuf dix".split()
     assert p10.ends_early(long[:7], long) and p10.ends_early([*long[:7], "hu"], long) and not p10.ends_early(long, long) and not p10.ends_early(["a"] * 9, long) and not p10.ends_early(long[:3], long)
