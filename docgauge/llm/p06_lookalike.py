@@ -72,8 +72,9 @@ def class_members(docs: DataFrame) -> DataFrame:
 
 
 def blocks_form(docs: DataFrame) -> DataFrame:
-    """One row per block: document, number, kind and drawn form of its text (null text stays null)."""
-    return docs.select("doc_id", F.posexplode_outer("blocks").alias("block_no", "b")).select("doc_id", "block_no", F.col("b.kind").alias("kind"), drawn(F.col("b.text")).alias("form"))
+    """One row per block: document, number, kind and the consistent form of its text (null and blank text unchanged)."""
+    each = docs.select("doc_id", F.posexplode_outer("blocks").alias("block_no", "b")).select(F.struct("doc_id", "block_no", F.col("b.kind").alias("kind")).alias("block"), F.col("b.text").alias("text"))
+    return consistent_form(each, "block", "text").select("doc_id.doc_id", "doc_id.block_no", "doc_id.kind", "form")
 
 
 def found(docs: DataFrame) -> DataFrame:

@@ -72,6 +72,12 @@ def test_look_alike_classes(spark):
     assert p6.found(df.where("false")).count() == 0
 
 
+def test_look_alike_blocks(spark):
+    rows = [("a", [("p", "Cafe\u0301 du soir"), ("h", None), ("p", " ")]), ("b", [("p", "Caf\u00e9 du soir"), ("p", "Autre")]), ("c", None)]
+    got = {(r["doc_id"], r["block_no"]): (r["kind"], r["form"]) for r in p6.blocks_form(spark.createDataFrame(rows, "doc_id string, blocks array<struct<kind:string,text:string>>")).collect()}
+    assert got == {("a", 0): ("p", "Caf\u00e9 du soir"), ("a", 1): ("h", None), ("a", 2): ("p", " "), ("b", 0): ("p", "Caf\u00e9 du soir"), ("b", 1): ("p", "Autre"), ("c", None): (None, None)}
+
+
 def whole(rows, text, limit, overlap):
     out, end = "", 0
     for i, r in enumerate(rows):
