@@ -117,10 +117,10 @@ def golden_set(docs: DataFrame, client: Callable[[], Client], profile: str = "ut
     if (corpus_questions is None and not corpus_level) or len(live.head(2)) < 2:
         return rows
     if corpus_questions is None:
-        prompt = docs.sparkSession.createDataFrame([("corpus", gq.corpus_questions_prompt(live, profile, policy, n_questions))], "doc_id string, prompt string")
+        prompt = gq.corpus_questions_prompts(live, profile, policy, n_questions)
         told = answer(prompt, client).where("error is null")
-        found = told.select(F.posexplode(F.from_json(judge.json_object(F.col("response")), gq.ANSWERS)["questions"]).alias("i", "q"))
-        corpus_questions = found.select((F.col("i") + 1).alias("q_no"), F.col("q.question").alias("question"))
+        found = told.select("batch", F.posexplode(F.from_json(judge.json_object(F.col("response")), gq.ANSWERS)["questions"]).alias("i", "q"))
+        corpus_questions = found.select((F.shiftleft("batch", 32) + F.col("i") + 1).alias("q_no"), F.col("q.question").alias("question"))
     index = cut(retrieval.embed(retrieval.chunks(live, chunk_chars, overlap), encoder))
     q = retrieval.embed(corpus_questions.where(~tx.is_blank(F.col("question"))).select(F.col("q_no").alias("q_id"), tx.strip(F.col("question")).alias("question")), encoder, "question")
     hits = cut(retrieval.retrieve(index, q, k)).join(index.drop("emb"), ["doc_id", "chunk_no"])

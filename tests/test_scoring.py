@@ -199,6 +199,19 @@ def test_corpus_questions_are_proposed(spark, corpus):
     assert set(rows) == {"corpus-1"} and rows["corpus-1"]["question"] == "Quel lien ?"
 
 
+def test_every_document_proposes_corpus_questions(spark):
+    from docgauge.operators import golden
+
+    names = [f"d{i:04d}" for i in range(2 * golden.PROMPT_DOCS + 1)]
+    docs = spark.createDataFrame([(x, f"Texte {x}") for x in names], "doc_id string, markdown string").repartition(5)
+    answers = {f"[{x}]\nTexte": {"questions": [{"question": f"Quel lien avec {x} ?"}]} for x in (names[0], names[-1])}
+    rows = [r for r in golden_set(docs, lambda: Scripted(answers), corpus_level=True, k=1).collect() if r["origine"] == "corpus"]
+    assert [r["question"] for r in sorted(rows, key=lambda r: r["id"])] == [f"Quel lien avec {x} ?" for x in (names[0], names[-1])]
+    prompts = [r["prompt"] for r in golden.corpus_questions_prompts(docs, "p", "q").orderBy("batch").collect()]
+    told = [[x for x in p.split("Corpus (")[1].split() if x.startswith("[")] for p in prompts]
+    assert [len(x) for x in told] == [267, 267, 267] and sum(told, []) == [f"[{x}]" for x in names]
+
+
 def test_colliding_names_are_refused(spark, tmp_path):
     for n in ("a.md", "a.txt"):
         (tmp_path / n).write_text("x", encoding="utf-8")
