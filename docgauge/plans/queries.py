@@ -116,8 +116,9 @@ def _levels(s: SparkSession, d: str) -> DataFrame:
 
 
 def _confidence(s: SparkSession, d: str) -> DataFrame:
-    c = signals.with_counts(_docs(s, d)).where((F.col("c.cid") == 0) | tx.is_blank(F.col("markdown")))
-    conf = signals.parse_confidence(F.coalesce("markdown", F.lit("")), F.col("blocks"), F.lit(0), F.lit(0.0), F.lit(False))
+    c = signals.with_counts(_docs(s, d))
+    cid = tx.ratio(F.col("c.cid"), F.col("c.len"), 4, 0.0)
+    conf = signals.parse_confidence(F.coalesce("markdown", F.lit("")), F.col("blocks"), F.lit(0), cid, F.lit(False))
     return c.select("doc_id", conf.alias("confidence"))
 
 

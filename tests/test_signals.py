@@ -108,3 +108,13 @@ def test_excerpt_ends_with_the_text(spark):
     text = "".join(str(i % 10) for i in range(5000))
     got = spark.createDataFrame([(text,)], "t string").select(sections.representative_excerpt(F.col("t"), 1000).alias("e")).first()["e"]
     assert got.startswith(text[:500]) and got.endswith(text[-125:]) and got.count("[...]") == 4
+
+
+def test_parse_confidence_covers_glyph_codes(spark, tmp_path):
+    from docgauge.plans import queries
+
+    texts = {"clean": "a" * 500, "codes": "a" * 480 + "(cid:12)" + "(cid:345)" + "\ufffd" * 3, "blank": " \n"}
+    df = spark.createDataFrame([(k, t, []) for k, t in texts.items()], "doc_id string, markdown string, blocks array<struct<kind:string,text:string>>")
+    df.write.parquet(str(tmp_path / "docs.parquet"))
+    got = {r["doc_id"]: r["confidence"] for r in queries.queries()["parse_confidence"](spark, str(tmp_path)).collect()}
+    assert got == {"clean": 1.0, "codes": round(1 - 20 / 500, 3), "blank": 0.0}
