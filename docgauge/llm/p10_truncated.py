@@ -1,15 +1,21 @@
 """Problem 10: records whose text was cut off, and how often each source cuts.
 
-Near-copies are found by min-hash banding over 5-word shingles (exact copies count once, by digest), candidate pairs are
-verified (similarity 0.8 or more) and aligned; the copy whose alignment ends early, while the other text goes on, is a
-cut one if it stops inside a sentence. Records without such a partner are scored by the terminality of their closing
-words: how often the closing line, as a sequence of words, is a whole line of the corpus and how often a longer line
-starts with it, whether its last word is a torn one, and for a line nobody else has, how often its last two words end
-a line. The end of the text also shows open brackets, cut marks, half characters and unfinished table rows.
-
-All counts cover all documents and shrink map-side. The members of buckets of many different texts are paired by their
-rarest shingles, so boilerplate pairs nothing, no similar pair is lost and no bucket is dropped. Null and blank texts
-are never cut; a null source is the source "". Repeated rows are each reported; doc_id is the key.
+Near-copies are found by min-hash banding over 5-word shingles (exact copies count once, by digest). A cut copy is the
+head of its whole text, so signatures are those of heads: a record is looked up by its largest head among the heads of
+all texts. A candidate must go on where the record ends; the pair is verified by the containment of the record in the
+other text (0.8 or more) and aligned, and the record whose alignment ends early is a cut one if it stops inside a sentence.
+Records without such a partner are scored by the terminality of their closing words, counted over the whole corpus:
+
+* running text, by its closing token ("associe", "mil", "siège..."): how often the token ends a running paragraph that
+  another one follows, of its occurrences, backed off to its closing mark and from there to running text at large;
+* a closing line (heading, signature, item, cell): how often it is, as a sequence of words, a whole line of the corpus and
+  how often a longer line starts with it, whether its last word is a torn one, and for a line nobody else has, how often
+  its last two words end a line.
+
+The structure of the end shows the rest: open brackets, items without text and unfinished table rows.
+
+All counts cover all documents and shrink map-side. Null and blank texts are never cut; a null source is the source "".
+Repeated rows are each reported; doc_id is the key.
 """
 
 from __future__ import annotations
@@ -18,9 +24,10 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgauge.llm import minhash as mh
@@ -31,10 +38,14 @@ from docgauge.session import cut
 SHORT = 12
 #: Share of the lines starting like the closing line that must end like it.
 TERMINAL = 0.15
+#: Share of a closing token's occurrences that must end a running paragraph, and the weight of the share it backs off to.
+RUNNING, BACK_OFF = 0.1, 5.0
 #: Share of the last two words' occurrences at line ends, for a line that occurs once; less for an item of a list.
 PAIR_TERMINAL, PAIR_ITEM = 0.2, 0.03
 #: Times by which a longer word must be more frequent than the torn word that starts it.
 RARER = 10
+#: Words before the last one that must stand in the text that goes on.
+ANCHOR = 4
 
 #: Documents whose signatures are computed at once, and words whose hashes a task remembers.
 BLOCK, MEMO = 1000, 500_000
@@ -68,12 +79,14 @@ def cells(line: str) -> tuple[str, list[str]]:
 
 
 def end_state(text: str) -> tuple[str, str | None]:
-    """("cut" | "whole" | "ask" | "item", closing line to ask about) of one text; an item stands in a list or table."""
+    """(state, what to ask about) of the end of one text.
+
+    "cut" and "whole" show in the structure, "still" is whole unless a copy goes on; "run" asks about the closing token of
+    running text, "ask" and "item" (in a list or table) about the closing line.
+    """
     t = text.rstrip()
-    if t.endswith("\ufffd"):
-        return "cut", None
-    if MARK.search(t, max(0, len(t) - 20)):
-        return "cut", None
+    if t.endswith("\ufffd") or MARK.search(t, max(0, len(t) - 20)):
+        return "run", closing_token(t)
     # The closing paragraph, and the line before it for its context.
     body = text.rstrip("\r\n ")
     t = (body if body.endswith("\t") else t).replace("\r\n", "\n").replace("\r", "\n")
@@ -117,38 +130,73 @@ def end_state(text: str) -> tuple[str, str | None]:
     body = re.sub(r"^[\s>#]+", "", body)
     core = re.sub(r"[\s»”\"')\]*_]+$", "", body)
     if URL.search(body.rstrip(")>] ")):
-        return "whole", None
+        return "still", None
     tail = re.search(r"(\w+)\.$", core)
     if core[-1:] in tuple(".!?。"):
         return ("cut" if tail and tail.group(1).lower() in ABBREVIATIONS else "whole"), None
-    if core[-1:] in tuple(",:'’(/") or (core[-1:] in tuple("-–—") and not item):
+    if core[-1:] == ",":
+        return "run", closing_token(t)
+    if core[-1:] in tuple(":'’(/") or (core[-1:] in tuple("-–—") and not item):
         return "cut", None
     heading = last.lstrip().startswith("#")
     short = len(body.split()) <= SHORT
     wrapped = not item and not heading and len(inside) > 1 and len(lines[-2]) >= 45 and not re.search(r"[.!?;:]\s*$", lines[-2])
     body = CELL.split(body)[-1]
-    if short and YEAR.search(body):
-        return "whole", None
+    if short and not wrapped and YEAR.search(body):
+        return "still", None
     beside = lines[-2] if len(lines) > 1 else ""
     if item or (short and len(beside) <= 48 and beside and not re.search(r"[.!?,]\s*$|^#", beside) and len(inside) > 1):
         return "item", body
     if heading or (short and not wrapped and not re.search(r"[.!?;]\s", body)):
         return "ask", body
-    return "cut", None
+    return "run", closing_token(t)
+
+
+NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+
 
+def folded(text: str) -> str:
+    """Text as it is counted: lower case, numbers alike, one kind of apostrophe and line end."""
+    return NUMBER.sub("0", text.lower()).replace("’", "'").replace("\r\n", "\n").replace("\r", "\n")
 
-def _line_key(c: Column) -> Column:
-    """Words of a line as it is counted: lower case, numbers alike, without marker and closing semicolon."""
-    c = F.regexp_replace(c, r"^[\s>#]*(?:(?:[-*+•‣◦▪–—]|\[[ xX]?\]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)])\s+)?", "")
-    c = F.translate(F.regexp_replace(F.lower(c), r"(?U)[\s;,.:]+$", ""), "’", "'")
-    return F.filter(F.split(F.regexp_replace(c, r"\d+(?:[.,]\d+)*", "0"), r"(?U)\s+"), lambda x: x != "")
 
+def closing_token(text: str) -> str:
+    """The last token of a text, as it is counted."""
+    return (folded(text[-200:]).split() or [""])[-1]
+
+
+_AFTER_WORD = re.compile(r"[^\w]*$")
+
+
+def closing_mark(token: str) -> str:
+    """What stands after the last letter or digit of a token."""
+    return _AFTER_WORD.search(token).group()
+
+
+#: What is left off at the end of a line, and the marker before its words.
+CLOSING = " \t\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2028\u2029\u202f\u3000;,.:|"
+CELL_END = re.compile(r"\s\|\s|\t|\",\"| {3,}|(?<=[^\s;]);(?=[^\s;])")
+MARKER = re.compile(r"[\s>#]*(?:(?:[-*+•‣◦▪–—]|\[[ x]?\]|\(?0[.)]|\(?[a-z][.)])\s+)?")
+EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+SENTENCE = re.compile(r"[.!?;]\s")
 
-RECORD = "doc_id long, digest string, n_words int, state string, closing string, bands array<long>"
+
+def line_words(line: str) -> list[str]:
+    """Words of a folded line or cell, without marker and closing punctuation."""
+    if not line[:1].isalpha() or line[1:2] in (".", ")"):
+        line = line[MARKER.match(line).end() :]
+    return line.rstrip(CLOSING).split()
+
+
+def _line_key(line: str | None) -> list[str]:
+    return line_words(folded(line)) if line else []
+
+
+RECORD = "doc_id long, digest string, n_words int, state string, closing string, words array<string>, top array<long>, heads array<long>"
 
 
 def records(documents: DataFrame) -> DataFrame:
-    """One row per document: digest, words, end state, closing line, band keys."""
+    """One row per document: digest, words, end state, closing token or line, band keys of the largest and the other heads."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -160,211 +208,258 @@ def records(documents: DataFrame) -> DataFrame:
                 if len(known) > MEMO:
                     known.clear()
                 rows = []
-                for k, t, w, keys in zip(part["doc_id"], texts, ws, mh.signatures(ws, known)):
+                for k, t, w, keys in zip(part["doc_id"], texts, ws, mh.head_bands(ws, known)):
                     if t is None:
-                        rows.append((k, None, 0, "whole", None, []))
+                        rows.append((k, None, 0, "whole", None, [], [], []))
                     else:
-                        rows.append((k, hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest(), len(w), *end_state(t), keys))
-                yield pd.DataFrame(rows, columns=["doc_id", "digest", "n_words", "state", "closing", "bands"])
+                        state, closing = end_state(t)
+                        line = _line_key(closing) if state in ("ask", "item") else []
+                        rows.append((k, hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest(), len(w), state, closing, line, keys[-1] if keys else [], [x for ks in keys[:-1] for x in ks]))
+                yield pd.DataFrame(rows, columns=["doc_id", "digest", "n_words", "state", "closing", "words", "top", "heads"])
 
     return documents.select("doc_id", "text").mapInPandas(run, RECORD)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Exact similarity and alignment of candidate pairs (a, b): similarity, ends early of either side."""
-    a = texts.select(F.col("digest").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("digest").alias("b"), F.col("text").alias("tb"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows, known = [], {}
-            for x, y, tx, ty in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
-                wx, wy = mh.words(tx), mh.words(ty)
-                sim = mh.jaccard(mh.shingles(wx, known), mh.shingles(wy, known))
-                early_x = early_y = False
-                if sim >= mh.SIMILAR:
-                    early_x, early_y = ends_early(wx, wy), ends_early(wy, wx)
-                rows.append((x, y, sim, early_x, early_y))
-            yield pd.DataFrame(rows, columns=["a", "b", "similarity", "early_a", "early_b"])
-
-    return pairs.join(a, "a").join(b, "b").mapInPandas(run, "a string, b string, similarity double, early_a boolean, early_b boolean")
-
-
-def ends_early(short: list[str], long: list[str], anchor: int = 4) -> bool:
+def ends_early(short: list[str], long: list[str], anchor: int = ANCHOR) -> bool:
     """True if the end of ``short`` aligns inside ``long`` and ``long`` goes on, the last word of ``short`` perhaps torn."""
     n = len(short)
-    if n < anchor + 1 or not long:
+    if n < anchor + 1:
         return False
     mark = short[n - 1 - anchor : n - 1]
-    for at in range(len(long) - anchor - 1, -1, -1):  # the last place where the anchor stands
-        if long[at] == mark[0] and long[at : at + anchor] == mark:
-            nxt = long[at + anchor]
-            left = len(long) - (at + anchor) - 1
-            return (nxt == short[-1] and left > 0) or (nxt != short[-1] and nxt.startswith(short[-1]))
-    return False
+    return any(long[i] == mark[0] and long[i : i + anchor] == mark and goes_on(short[-1], long[i + anchor], len(long) - i - anchor - 1) for i in range(len(long) - anchor))
 
 
-def near_copies(rec: DataFrame, documents: DataFrame) -> DataFrame:
-    """Verified pairs of different texts: (a, b, similarity, early_a, early_b) by digest.
+def goes_on(last: str, there: str, left: int) -> bool:
+    """True if a text that has ``there`` in the place of the word ``last``, and ``left`` words after it, goes on."""
+    return left > 0 if there == last else there.startswith(last)
 
-    Buckets of up to ``SMALL_BUCKET`` texts give all pairs. All members of larger ones are held against each other by
-    their rarest shingles, which loses no similar pair.
-    """
-    reps = rec.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_words").alias("n_words"), F.any_value("bands").alias("bands"))
-    band = reps.select("digest", "doc_id", "n_words", F.explode("bands").alias("key"))
-    size = cut(band.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    # Shared keys are few next to all keys: they go to the rows where that is checked.
-    keyed = cut(band.join(F.broadcast(size) if size.count() <= SENT else size, "key").select("key", "digest", "doc_id", "n_words", "size"))
-    in_small = keyed.where(F.col("size") <= mh.SMALL_BUCKET)
-    x, y = in_small.select("key", F.col("digest").alias("a")), in_small.select("key", F.col("digest").alias("b"))
-    pairs = x.join(y, "key").where("a < b").select("a", "b").distinct()
-    ids = cut(keyed.select("doc_id", "digest").distinct())
-    # A few candidates go to where the texts lie; many are joined by shuffling.
-    texts = cut(documents.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id").select("digest", "text"))
-    large = cut(keyed.where(F.col("size") > mh.SMALL_BUCKET).select("digest").distinct())
-    if not large.isEmpty():
-        pairs = pairs.unionByName(rare_shingle_pairs(large, texts)).distinct()
-    return _verify(pairs, texts).where(F.col("similarity") >= mh.SIMILAR)
 
+GRAMS = "digest string, gram long, word string, left_words int"
+
+
+def _grams(texts: DataFrame, closing_only: bool) -> DataFrame:
+    """Hashes of ``ANCHOR`` words of each text, the word after them and how many words follow it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for pdf in batches:
+            rows = []
+            for d, t in zip(pdf["digest"], pdf["text"]):
+                ws = mh.words(t)
+                n = len(ws) - ANCHOR
+                for i in range(max(0, n - 1) if closing_only else 0, n):
+                    rows.append((d, xxhash.xxh64_intdigest(" ".join(ws[i : i + ANCHOR])) - (1 << 63), ws[i + ANCHOR], n - 1 - i))
+            yield pd.DataFrame(rows, columns=["digest", "gram", "word", "left_words"])
+
+    return texts.select("digest", "text").mapInPandas(run, GRAMS)
 
-def rare_shingle_pairs(digests: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that can be similar, without loss: they share one of the rarest shingles of each text.
 
-    Two sets of similarity s share one of the first (1 - s) n + 1 shingles of both in any common order; in the order from
-    rare to frequent those hold no boilerplate. Texts whose numbers of shingles differ too much can't be similar.
+def near_copies(rec: DataFrame, documents: DataFrame) -> DataFrame:
+    """Records that end early in a near-copy: (digest, partner, similarity), one row per distinct text, by digest.
+
+    A record that doesn't end whole is looked up by the bands of its largest head among the heads of all texts. Of the
+    texts sharing a band, those are candidates that hold the words before its last one and go on after them. Each record is
+    first held against the longest text of each continuation, and where that is no near-copy, against every candidate; so
+    a hot group of copies costs a row per record, and none is missed.
     """
+    reps = rec.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max(F.col("state") != "whole").alias("asked"), F.any_value("top").alias("top"), F.any_value("heads").alias("heads"))
+    reps = cut(reps)
+    band = reps.select(F.explode(F.concat("top", "heads")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    looked = reps.where("asked").select(F.explode("top").alias("key")).distinct()
+    shared = cut(band.where("n > 1").join(looked, "key", "left_semi").select("key"))
+    few = shared.count() <= SENT
+    hint = lambda df: F.broadcast(df) if few else df
+    askers = reps.where("asked").select("digest", F.explode("top").alias("key")).join(hint(shared), "key", "left_semi").select("digest").distinct().withColumn("asks", F.lit(True))
+    holders = reps.select("digest", F.explode(F.concat("top", "heads")).alias("key")).join(hint(shared), "key", "left_semi").select("digest").distinct()
+    involved = cut(reps.join(holders, "digest", "left_semi").join(askers, "digest", "left").select("doc_id", "digest", "n_words", "top", F.concat("top", "heads").alias("bands"), F.coalesce("asks", F.lit(False)).alias("asks")))
+    # A few candidates go to where the texts lie; many are joined by shuffling.
+    ids = involved.select("doc_id", "digest", "asks")
+    texts = cut(documents.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id").select("digest", "asks", "text"))
+    ends = _grams(texts.where("asks"), True).select(F.col("digest").alias("a"), "gram", F.col("word").alias("last"))
+    inner = cut(_grams(texts, False).join(ends.select("gram").distinct(), "gram", "left_semi").join(involved.select("digest", "n_words"), "digest"))
+    on = F.when(F.col("word") == F.col("last"), F.col("left_words") > 0).otherwise(F.startswith(F.col("word"), F.col("last")))
+    b = F.struct("n_words", "digest")
+    longest = inner.groupBy("gram", "word", (F.col("left_words") > 0).cast("int").alias("left_words")).agg(F.max(b).alias("m"), F.min(b).alias("m2"))
+    first = longest.select("gram", "word", "left_words", F.explode(F.array_distinct(F.array("m", "m2"))).alias("m")).join(ends, "gram").where(on)
+    first = cut(first.select("a", F.col("m.digest").alias("b")).where("a <> b").distinct())
+    got = cut(_verified(first, texts))
+    rest = ends.join(got.select(F.col("digest").alias("a")), "a", "left_anti")
+    bands = involved.select("digest", "bands", "top")
+    every = inner.join(rest, "gram").where(on).select("a", F.col("digest").alias("b")).where("a <> b").distinct().join(first, ["a", "b"], "left_anti")
+    every = every.join(bands.select(F.col("digest").alias("a"), "top"), "a").join(bands.select(F.col("digest").alias("b"), "bands"), "b").where(F.arrays_overlap("top", "bands")).select("a", "b")
+    return got.unionByName(_verified(every, texts))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of candidate pairs (a, b) the records a that are contained in b and end early in it: digest, partner, similarity."""
+    a = texts.select(F.col("digest").alias("a"), F.col("text").alias("ta"))
+    b = texts.select(F.col("digest").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, known = [], {}
-            for d, t in zip(pdf["digest"], pdf["text"]):
-                sh = mh.shingles(mh.words(t), known).view("int64")
-                rows += [(d, x, len(sh)) for x in sh.tolist()]
-            yield pd.DataFrame(rows, columns=["digest", "shingle", "n"])
+            for x, y, tx, ty in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
+                wx, wy = mh.words(tx), mh.words(ty)
+                # The last word of the record may be torn.
+                sim = mh.containment(mh.shingles(wx[:-1], known), mh.shingles(wy, known)) if len(wx) <= len(wy) else 0.0
+                if sim >= mh.SIMILAR and ends_early(wx, wy):
+                    rows.append((x, y, sim))
+            yield pd.DataFrame(rows, columns=["digest", "partner", "similarity"])
 
-    each = cut(texts.join(digests, "digest", "left_semi").mapInPandas(run, "digest string, shingle long, n long"))
-    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("digest").orderBy("df", "shingle")
-    keep = F.col("n") - F.ceil(F.lit(mh.SIMILAR) * F.col("n") - F.lit(1e-6)) + 1
-    head = cut(each.join(often.where("df > 1"), "shingle").withColumn("at", F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("digest"))).where(F.col("at") <= keep).select("digest", "shingle", "n"))
-    a, b = (head.select("shingle", F.col("digest").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    fit = F.least("n_a", "n_b") + F.lit(1e-6) >= F.lit(mh.SIMILAR) * F.greatest("n_a", "n_b")
-    return a.join(b, "shingle").where("a < b").where(fit).select("a", "b").distinct()
+    found = pairs.join(a, "a").join(b, "b").mapInPandas(run, "digest string, partner string, similarity double")
+    return found.groupBy("digest").agg(F.min("partner").alias("partner"), F.max("similarity").alias("similarity"))
 
 
 #: Distinct asked keys up to which they are sent to all tasks; more are joined by shuffling.
 SENT = 300_000
-#: What is left off at the end of a line.
-CLOSING = " \t\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2028\u2029\u202f\u3000;,.:|"
-LINE_END = r"\r\n|[\n\r]|\s\|\s|\t|\",\"| {3,}|(?<=[^\s;]);(?=[^\s;])"
 
+COUNTS = "kind string, a string, b string, n long, ends long"
 
-def _tidy(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
+def _counts(mine: DataFrame, ask: DataFrame, sent: bool) -> DataFrame:
+    """Counts of what ``ask`` (line_text, prev, word, token) asks about, over all texts: kind, a, b, n, ends.
 
-def _counts_sent(mine: DataFrame, ask: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(begun and whole of asked lines, n and ends of word pairs after asked words), the asked keys in every task."""
-    rows = ask.select("line_text", "prev", "word").distinct().collect()  # at most SENT, checked by the caller
-    lines_of: dict = {}  # a tree of asked lines, word by word; the key "" holds the line
-    after: dict[str, set[str]] = {}  # asked word -> beginnings of the words asked about after it
-    for r in rows:
-        at = lines_of
-        for w in r["line_text"].split(" "):
-            at = at.setdefault(w, {})
-        at[""] = r["line_text"]
-        after.setdefault(r["prev"], set()).add(r["word"][:2])
-    sent = mine.sparkSession.sparkContext.broadcast((lines_of, after))
-    ends, number, edge = re.compile(LINE_END), re.compile(r"\d+(?:[.,]\d+)*"), re.compile(r"^[\W_]+|[\W_]+$")
-    mark = re.compile(r"[\s>#]*(?:(?:[-*+•‣◦▪–—]|\[[ x]?\]|\(?0[.)]|\(?[a-z][.)])\s+)?")
+    "l": lines that begin with the line a, and that are it; "p": the word b after the word a, and at a line's end; "t": the
+    token a before the end of a text, and at the end of a running paragraph; "m": the same of the closing mark a of tokens.
+    With ``sent`` the asked keys are in every task and only theirs are counted; else everything is, and joined to them.
+    """
+    held = None
+    if sent:
+        tree: dict = {}  # a tree of asked lines, word by word; the key "" holds the line
+        prevs, tokens = set(), set()
+        for r in ask.select("line_text", "prev", "token").distinct().collect():  # at most SENT, checked by the caller
+            if r["token"] is not None:
+                tokens.add(r["token"])
+                continue
+            at = tree
+            for w in r["line_text"].split(" "):
+                at = at.setdefault(w, {})
+            at[""] = r["line_text"]
+            prevs.add(r["prev"])
+        held = mine.sparkSession.sparkContext.broadcast((tree, prevs, tokens))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, after = sent.value
-        lines: dict[str, list[int]] = {}
-        pairs: dict[tuple[str, str], list[int]] = {}
+        tree, prevs, tokens = held.value if held else (None, None, None)
+        begun: Counter = Counter()
+        whole: Counter = Counter()
+        pair: Counter = Counter()
+        seen: Counter = Counter()
+        stop: Counter = Counter()
 
         def flush() -> pd.DataFrame:
-            rows = [("l", a, None, *x) for a, x in lines.items()]
-            rows += [("p", a, edge.sub("", b), *x) for (a, b), x in pairs.items()]
-            lines.clear()
-            pairs.clear()
+            rows = [("l", a, None, n, whole[a]) for a, n in begun.items()]
+            both: dict[tuple[str, str], list[int]] = {}
+            for (a, b, last), n in pair.items():
+                if word := EDGE.sub("", b):
+                    x = both.setdefault((a, word), [0, 0])
+                    x[0] += n
+                    x[1] += n * last
+            rows += [("p", a, b, *x) for (a, b), x in both.items()]
+            marks: dict[str, list[int]] = {}
+            for t, n in seen.items():
+                x = marks.setdefault(closing_mark(t), [0, 0])
+                x[0] += n
+                x[1] += stop[t]
+                if tokens is None or t in tokens:
+                    rows.append(("t", t, None, n, stop[t]))
+            rows += [("m", a, None, *x) for a, x in marks.items()]
+            for c in (begun, whole, pair, seen, stop):
+                c.clear()
             return pd.DataFrame(rows, columns=["kind", "a", "b", "n", "ends"])
 
-        def note(prev: str, word: str, end: int) -> None:
-            begins = after.get(prev)
-            if begins is not None and (word[:2] in begins or word[:1] in begins or not word[:1].isalnum()):
-                x = pairs.get((prev, word))
-                if x is None:
-                    x = pairs[prev, word] = [0, 0]
-                x[0] += 1
-                x[1] += end
-
         for pdf in batches:
             for t in pdf["text"]:
-                low = number.sub("0", t.lower()).replace("’", "'").replace("\r\n", "\n").replace("\r", "\n")
-                parts = []
-                for x in low.split("\n"):
+                low = folded(t)
+                seen.update(low.split()[:-1])
+                lines = low.split("\n")
+                flat: list[str] = []
+                for i, x in enumerate(lines):
                     if ";" in x or "|" in x or "   " in x or "\t" in x or '"' in x:
-                        parts += ends.split(x)
+                        parts = CELL_END.split(x)
                     else:
-                        parts.append(x)
-                for x in parts:
-                    if not x[:1].isalpha() or x[1:2] in (".", ")"):
-                        x = x[mark.match(x).end() :]
-                    words = x.rstrip(CLOSING).split()
-                    if not words:
-                        continue
-                    n, at = len(words), tree
-                    for i, w in enumerate(words[:SHORT], 1):
-                        at = at.get(w)
-                        if at is None:
-                            break
-                        if (line := at.get("")) is not None:
-                            c = lines.setdefault(line, [0, 0])
-                            c[0] += 1
-                            c[1] += i == n
-                    prev = ""
-                    last = words.pop()
-                    for w in words:
-                        if prev in after:
-                            note(prev, w, 0)
-                        prev = w
-                    note(prev, last, 1)
-            if len(pairs) + len(lines) > MEMO:
+                        parts = (x,)
+                    for part in parts:
+                        ws = line_words(part)
+                        if not ws:
+                            continue
+                        n = len(ws)
+                        if tree is None:
+                            key = ""
+                            for k, w in enumerate(ws[:SHORT], 1):
+                                key = f"{key} {w}" if key else w
+                                begun[key] += 1
+                                whole[key] += k == n
+                        else:
+                            at = tree
+                            for k, w in enumerate(ws[:SHORT], 1):
+                                at = at.get(w)
+                                if at is None:
+                                    break
+                                if (line := at.get("")) is not None:
+                                    begun[line] += 1
+                                    whole[line] += k == n
+                        flat.append("")
+                        flat += ws
+                    # A running paragraph that another one follows.
+                    if len(parts) == 1 and i + 1 < len(lines) and x and not lines[i + 1].strip() and (x.count(" ") >= SHORT or SENTENCE.search(x)) and any(map(str.strip, lines[i + 1 :])):
+                        stop[x.split()[-1]] += 1
+                flat.append("")
+                # (word before or "", word, whether it ends the line)
+                triples = zip(flat, flat[1:], map(_NOTHING, flat[2:]))
+                pair.update(triples if prevs is None else compress(triples, map(prevs.__contains__, flat)))
+            if len(pair) + len(begun) + len(seen) > MEMO:
                 yield flush()
         yield flush()
 
-    got = cut(mine.select("text").mapInPandas(run, "kind string, a string, b string, n long, ends long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
-    counted = got.where("kind = 'l'").select(F.col("a").alias("line_text"), F.col("n").alias("begun"), F.col("ends").alias("whole"))
-    return counted, got.where("kind = 'p' and b <> ''").select(F.col("a").alias("prev"), F.col("b").alias("word"), "n", "ends")
+    got = mine.select("text").mapInPandas(run, COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    if not sent:  # marks are few; all else is kept only where it is asked about
+        keys = ask.select(F.when(F.col("token").isNull(), "l").otherwise("t").alias("kind"), F.coalesce("token", "line_text").alias("a"))
+        keys = keys.union(ask.where("token is null").select(F.lit("p"), "prev")).distinct()
+        got = got.where("kind = 'm'").unionByName(got.where("kind <> 'm'").join(keys, ["kind", "a"], "left_semi").select(*got.columns))
+    return cut(got)
 
 
-def _counts_joined(mine: DataFrame, ask: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The counts of ``_counts_sent`` by shuffling, for asked keys of any number."""
-    n = F.size("w")
-    lines = mine.select(F.explode(F.split("text", LINE_END)).alias("x")).select(_line_key(F.col("x")).alias("w")).where(n > 0)
-    starts = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(SHORT))), lambda i: F.struct(F.array_join(F.slice("w", 1, i), " ").alias("line_text"), (i == n).cast("long").alias("whole")))
-    counted = lines.select(F.explode(starts).alias("s")).select("s.*").join(ask.select("line_text").distinct(), "line_text", "left_semi").groupBy("line_text").agg(F.count(F.lit(1)).alias("begun"), F.sum("whole").alias("whole"))
-    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.when(i > 1, F.element_at("w", i - 1)).otherwise(F.lit("")).alias("prev"), F.element_at("w", i).alias("raw"), (i == n).cast("long").alias("ends")))
-    pair = lines.select(F.explode(pairs).alias("o")).select("o.*").join(ask.select("prev").distinct(), "prev", "left_semi")
-    pair = pair.groupBy("prev", _tidy(F.col("raw")).alias("word")).agg(F.count(F.lit(1)).alias("n"), F.sum("ends").alias("ends")).where(F.length("word") > 0)
-    return counted, cut(pair)
+_NOTHING = "".__eq__
 
 
 def terminality(rec: DataFrame, documents: DataFrame) -> DataFrame:
-    """Digest and verdict ``torn`` of every text whose closing line has to be asked about."""
-    ask = rec.where("state in ('ask', 'item')").groupBy("digest").agg(F.any_value("closing").alias("closing"), F.any_value("state").alias("state"), (F.count(F.lit(1)) - 1).alias("copies")).select("digest", "state", "copies", _line_key(F.col("closing")).alias("w")).where(F.size("w") > 0)
-    before = lambda w, i: F.when(i > 1, F.element_at(w, i - 1)).otherwise(F.lit(""))
-    n = F.size("w")
-    ask = cut(ask.select("digest", "state", "copies", "w", F.array_join("w", " ").alias("line_text"), before(F.col("w"), n).alias("prev"), _tidy(F.element_at("w", -1)).alias("word")))
-    mine = documents.where(F.length("text") > 0)
-    keys = ask.select("line_text", "prev", "word").distinct()
-    few = keys.count() <= SENT
-    counted, pair = (_counts_sent if few else _counts_joined)(mine, ask)
+    """Digest and verdict ``torn`` of every text whose closing token or line has to be asked about."""
+    n = F.size("words")
+    asked = rec.where("state in ('ask', 'item', 'run')").groupBy("digest").agg(*[F.any_value(c).alias(c) for c in ("closing", "words", "state")], (F.count(F.lit(1)) - 1).alias("copies"))
+    tidy = F.regexp_replace(F.element_at("words", -1), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    line = (F.col("state") != "run") & (n > 0)
+    asked = cut(
+        asked.where((F.col("state") == "run") | (n > 0)).select(
+            "digest", "state", "copies", "words", F.when(line, F.array_join("words", " ")).alias("line_text"),
+            F.when(line, F.when(n > 1, F.element_at("words", -2)).otherwise(F.lit(""))).alias("prev"), F.when(line, tidy).alias("word"), F.when(~line, F.col("closing")).alias("token"),
+        )
+    )
+    keys = asked.select("line_text", "prev", "token").distinct()
+    got = _counts(documents.where(F.length("text") > 0), asked, keys.count() <= SENT)
+    return _torn_lines(asked.where("token is null"), got).unionByName(_torn_tokens(asked.where("token is not null"), got))
+
+
+def _torn_tokens(asked: DataFrame, got: DataFrame) -> DataFrame:
+    """Closing tokens of running text that too rarely end a running paragraph."""
+    mark = F.regexp_extract("token", r"([^\p{L}\p{N}_]*)$", 1)
+    total = got.where("kind = 'm' and a = ''").agg((F.coalesce(F.sum("ends"), F.lit(0)) / F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1))).alias("at_large"))
+    token = got.where("kind = 't'").select(F.col("a").alias("token"), "n", "ends")
+    marks = got.where("kind = 'm'").select(F.col("a").alias("mark"), F.col("n").alias("n_mark"), F.col("ends").alias("ends_mark"))
+    j = asked.withColumn("mark", mark).join(token, "token", "left").join(marks, "mark", "left").na.fill(0, ["n", "ends", "n_mark", "ends_mark"]).crossJoin(F.broadcast(total))  # one row on the right
+    of_mark = (F.col("ends_mark") + BACK_OFF * F.col("at_large")) / (F.col("n_mark") + BACK_OFF)
+    score = (F.col("ends") + BACK_OFF * of_mark) / (F.col("n") + BACK_OFF)
+    return j.select("digest", (score < RUNNING).alias("torn"), score.alias("score"))
+
+
+def _torn_lines(asked: DataFrame, got: DataFrame) -> DataFrame:
+    """Closing lines that longer lines go on from, or that end in a torn or grammatical word, or as no line does."""
+    counted = got.where("kind = 'l'").select(F.col("a").alias("line_text"), F.col("n").alias("begun"), F.col("ends").alias("whole"))
+    pair = got.where("kind = 'p'").select(F.col("a").alias("prev"), F.col("b").alias("word"), "n", "ends")
     first = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), F.lit(1), i))
     longer = pair.where(F.length("word") > 1).where(F.col("word").rlike(r"\p{L}")).select("prev", "n", F.explode(first).alias("word"))
-    longer = longer.join(ask.select("prev", "word").distinct(), ["prev", "word"], "left_semi").groupBy("prev", "word").agg(F.max("n").alias("longer"))
-    j = ask.join(counted, "line_text", "left").join(pair, ["prev", "word"], "left").join(longer, ["prev", "word"], "left")
+    longer = longer.join(asked.select("prev", "word").distinct(), ["prev", "word"], "left_semi").groupBy("prev", "word").agg(F.max("n").alias("longer"))
+    j = asked.join(counted, "line_text", "left").join(pair, ["prev", "word"], "left").join(longer, ["prev", "word"], "left")
     # Exact copies of a text don't speak for its closing line.
     j = j.withColumns({c: F.greatest(F.col(c) - F.col("copies"), F.lit(1)) for c in ("begun", "whole", "n", "ends")})
     torn_word = F.col("word").rlike(r"\p{L}") & (F.coalesce("n", F.lit(1)) == F.coalesce("ends", F.lit(1))) & (F.coalesce("longer", F.lit(0)) >= RARER * F.coalesce("n", F.lit(1)))
@@ -372,8 +467,8 @@ def terminality(rec: DataFrame, documents: DataFrame) -> DataFrame:
     item = F.col("state") == "item"
     rarely_ends = (whole < TERMINAL * begun) | (~item & (whole <= 1) & (begun > 1))
     alone = (begun <= 1) & (F.coalesce(F.col("ends") / F.col("n"), F.lit(1.0)) < F.when(item, PAIR_ITEM).otherwise(PAIR_TERMINAL))
-    grammatical = (F.size("w") > 1) & F.col("word").isin(*UNFINISHED)
-    return j.select("digest", (torn_word | rarely_ends | grammatical | alone).alias("torn"), "begun", "whole", torn_word.alias("torn_word"), "w", "n", "ends", "longer")
+    grammatical = (F.size("words") > 1) & F.col("word").isin(*UNFINISHED)
+    return j.select("digest", (torn_word | rarely_ends | grammatical | alone).alias("torn"), (whole / begun).cast("double").alias("score"))
 
 
 def source_name(c: Column) -> Column:
@@ -382,17 +477,16 @@ def source_name(c: Column) -> Column:
 
 
 def verdicts(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, source, cut, evidence (alignment, end, terminality; null if whole)."""
+    """One row per document: doc_id, source, cut, evidence (alignment, terminality, structure; null if whole)."""
     rec = cut(records(documents))
-    pairs = near_copies(rec, documents)
-    early = pairs.where("early_a").select(F.col("a").alias("digest")).union(pairs.where("early_b").select(F.col("b").alias("digest"))).distinct().withColumn("early", F.lit(True))
+    early = near_copies(rec, documents).select("digest", F.lit(True).alias("early"))
     asked = terminality(rec, documents).select("digest", "torn")
     j = rec.join(asked, "digest", "left").join(early, "digest", "left")
     torn, aligned = F.coalesce("torn", F.lit(False)), F.coalesce("early", F.lit(False))
     evidence = (
         F.when((F.col("state") != "whole") & aligned, "alignment")
-        .when(F.col("state") == "cut", "end")
-        .when(F.col("state").isin("ask", "item") & torn, "terminality")
+        .when(F.col("state").isin("ask", "item", "run") & torn, "terminality")
+        .when(F.col("state") == "cut", "structure")
     )
     src = documents.select("doc_id", source_name(F.col("source")).alias("source"))
     return src.join(j.select("doc_id", evidence.alias("evidence")), "doc_id").select("doc_id", "source", F.col("evidence").isNotNull().alias("cut"), "evidence")
