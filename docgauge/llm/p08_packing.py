@@ -13,6 +13,8 @@ each; ``doc_id`` is the key of a row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,10 +25,14 @@ from docgauge.session import cut
 CAPACITY = 2048
 #: The public word-and-punctuation tokenizer.
 TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
-#: Length classes of the fit: the histogram is summed into so many steps a container; rounds of new patterns.
-STEPS, MAX_ITEMS, ROUNDS = 64, 12, 6
-#: Parts in which the items of one length are ranked; lengths x parts rows are broadcast.
-RANK_SALTS = 64
+#: Length classes of the fit: the histogram is summed into so many steps a container; items of a class in a pattern.
+STEPS, MAX_ITEMS = 64, 12
+#: Share of the fitted repeats that is used, rounded; the rest stays for best fit, with small items among it that fill gaps.
+FITTED = 0.9
+#: Share of a container that a realised pattern may leave unused; worse ones stay for best fit.
+UNUSED = 0.01
+#: Parts in which the items of one length are ranked.
+RANK_SALTS = 256
 
 
 def token_count(text: Column) -> Column:
@@ -35,20 +41,35 @@ def token_count(text: Column) -> Column:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 3000) -> np.ndarray:
-    """Non-negative least squares by accelerated projected gradient; min |a x - b| over x >= 0."""
-    if not a.size:
-        return np.zeros(a.shape[1])
-    g, c = a.T @ a, a.T @ b
-    step = 1.0 / max(np.linalg.eigvalsh(g)[-1], 1e-9)
-    x = y = np.zeros(a.shape[1])
-    t = 1.0
+    """Non-negative least squares by an active set; min |a x - b| over x >= 0.
+
+    The result is a vertex: no more columns than rows are used, so that little is lost when it is rounded down.
+    """
+    x = np.zeros(a.shape[1])
+    used: list[int] = []
+    slack = 1e-9 * max(1.0, np.abs(b).max(initial=0.0)) * max(1.0, np.abs(a).max(initial=0.0))
     for _ in range(rounds):
-        new = np.maximum(y - step * (g @ y - c), 0.0)
-        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y = new + (t - 1) / t2 * (new - x)
-        if np.abs(new - x).max() <= 1e-7 * max(1.0, np.abs(new).max()):
-            return new
-        x, t = new, t2
+        pull = a.T @ (b - a @ x)
+        pull[used] = -np.inf
+        if not len(pull) or pull.max() <= slack:
+            break
+        used.append(int(pull.argmax()))
+        while True:
+            y = np.linalg.lstsq(a[:, used], b, rcond=None)[0]
+            if (y > 0).all():
+                break
+            now = x[used]
+            low = y <= 0
+            step = (now[low] / np.maximum(now[low] - y[low], 1e-300)).min()
+            now = now + step * (y - now)
+            gone = low & (now <= 1e-12 * max(1.0, now.max(initial=0.0)))
+            x[:] = 0.0
+            used = [c for c, g in zip(used, gone) if not g]
+            x[used] = now[~gone]
+            if not used:
+                return x
+        x[:] = 0.0
+        x[used] = y
     return x
 
 
@@ -73,7 +94,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
     """Patterns and how often each is used: every item of the histogram is placed exactly once.
 
     1. Enumerate patterns of few length classes (upper ends of ``steps`` classes) that leave little room, and fit their
-       repeats to the class histogram by non-negative least squares, rounded down.
+       repeats to the class histogram by non-negative least squares, a share of ``FITTED`` of them rounded.
     2. Realise each repeat with true lengths of the classes, largest first, and close gaps with the largest that fits.
     3. Pack the residual histogram by best fit.
     """
@@ -90,57 +111,55 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
         key = tuple(sorted(items, reverse=True))
         out[key] = out.get(key, 0) + times
 
-    for _ in range(ROUNDS):
-        counts = np.bincount(cls, weights=left, minlength=steps + 1)[1:]
-        present = np.flatnonzero(counts) + 1
-        if left.sum() < 2 * capacity:
-            break
-        patterns = set()
-        for a in present:
-            patterns.add((int(a),) * max(1, steps // int(a)))
-            for b in present[present <= a]:
-                for na in range(1, min(3, steps // int(a)) + 1):
-                    room = steps - na * int(a)
-                    if room < b:
-                        continue
-                    nb = min(room // int(b), MAX_ITEMS)
-                    rest = room - nb * int(b)
-                    extra = [int(x) for x in present[present <= rest]][-1:]
-                    patterns.add((int(a),) * na + (int(b),) * nb + tuple(extra))
-                    patterns.add((int(a),) * na + (int(b),) + tuple([int(x) for x in present[present <= room - b]][-1:]))
-        good = [p for p in patterns if sum(p) >= steps - 1 or len(p) == 1]
-        m = np.zeros((steps, len(good)))
-        for j, p in enumerate(good):
-            for k in p:
-                m[k - 1, j] += 1
-        x = np.floor(nnls(m, counts) + 1e-6).astype(int)
-        before = left.sum()
-        for j in np.argsort([-sum(p) for p in good]):
-            times = int(x[j])
-            while times > 0:
-                items, taken, room = [], {}, capacity
-                for k in sorted(good[j], reverse=True):
-                    lo, hi = int(np.floor((k - 1) * width)) + 1, min(int(np.floor(k * width)), room)
-                    size = next((s for s in range(hi, lo - 1, -1) if left[s] > taken.get(s, 0)), 0)
-                    if not size:
-                        break
-                    items.append(size)
-                    taken[size] = taken.get(size, 0) + 1
-                    room -= size
-                if len(items) < len(good[j]):
+    counts = np.bincount(cls, weights=left, minlength=steps + 1)[1:]
+    present = np.flatnonzero(counts) + 1
+    patterns = set()
+    for a in present:
+        patterns.add((int(a),) * max(1, steps // int(a)))
+        for b in present[present <= a]:
+            for na in range(1, min(3, steps // int(a)) + 1):
+                room = steps - na * int(a)
+                if room < b:
+                    continue
+                nb = min(room // int(b), MAX_ITEMS)
+                rest = room - nb * int(b)
+                extra = [int(x) for x in present[present <= rest]][-1:]
+                patterns.add((int(a),) * na + (int(b),) * nb + tuple(extra))
+                patterns.add((int(a),) * na + (int(b),) + tuple([int(x) for x in present[present <= room - b]][-1:]))
+    good = sorted(p for p in patterns if sum(p) >= steps - 1 or len(p) == 1)
+    m = np.zeros((steps, len(good)))
+    for j, p in enumerate(good):
+        for k in p:
+            m[k - 1, j] += 1
+    x = np.rint(FITTED * nnls(m, counts)).astype(int)
+    for j in np.argsort([-sum(p) for p in good], kind="stable"):
+        times = int(x[j])
+        while times > 0:
+            items, taken, room = [], {}, capacity
+            for k in sorted(good[j], reverse=True):
+                lo, hi = int(np.floor((k - 1) * width)) + 1, min(int(np.floor(k * width)), room)
+                if len(items) == len(good[j]) - 1:  # the last item takes up what the classes' width left
+                    lo, hi = 1, room
+                size = next((s for s in range(hi, lo - 1, -1) if left[s] > taken.get(s, 0)), 0)
+                if not size:
                     break
-                while room > 0:  # close the gap that the classes' width left
-                    size = next((s for s in range(room, 0, -1) if left[s] > taken.get(s, 0)), 0)
-                    if not size:
-                        break
-                    items.append(size)
-                    taken[size] = taken.get(size, 0) + 1
-                    room -= size
-                n = min(times, *(int(left[s]) // c for s, c in taken.items()))
-                place(items, n)
-                times -= n
-        if left.sum() > 0.5 * before:
-            break
+                items.append(size)
+                taken[size] = taken.get(size, 0) + 1
+                room -= size
+            if len(items) < len(good[j]):
+                break
+            while room > 0:  # close the gap
+                size = next((s for s in range(room, 0, -1) if left[s] > taken.get(s, 0)), 0)
+                if not size:
+                    break
+                items.append(size)
+                taken[size] = taken.get(size, 0) + 1
+                room -= size
+            if room > UNUSED * capacity:
+                break
+            n = min(times, *(int(left[s]) // c for s, c in taken.items()))
+            place(items, n)
+            times -= n
     while left.any():
         top = int(np.flatnonzero(left)[-1])
         items = _greedy(left, capacity, top)
@@ -162,15 +181,39 @@ def items(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def ranked(parts: DataFrame, size: str = "n_tokens") -> DataFrame:
     """Add ``rank``, 0, 1, ... among the rows of the same ``size``, without bringing a size into one task.
 
-    Rows are spread by a hash of their key, numbered per (task, size), and shifted by the sums of the tasks before.
-    ``parts`` must be materialised, so that a lost task is computed alike.
+    Rows are spread by a hash of their key, numbered per (size, salt), and shifted by the sums of the salts before; the
+    shifts are joined on the keys by which the rows already lie. ``parts`` must be materialised, so that a lost task is
+    computed alike.
     """
     salt = F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(RANK_SALTS)).cast("int")
     keyed = parts.withColumn("salt", salt)
     per = keyed.groupBy(size, "salt").agg(F.count(F.lit(1)).alias("c"))
     shift = per.withColumn("shift", F.sum("c").over(Window.partitionBy(size).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select(size, "salt", F.coalesce("shift", F.lit(0)).alias("shift"))
     within = F.row_number().over(Window.partitionBy(size, "salt").orderBy("doc_id", "part_no")) - 1
-    return keyed.withColumn("within", within).join(F.broadcast(shift), [size, "salt"]).withColumn("rank", F.col("within") + F.col("shift")).drop("salt", "within", "shift")
+    return keyed.withColumn("within", within).join(shift, [size, "salt"]).withColumn("rank", F.col("within") + F.col("shift")).drop("salt", "within", "shift")
+
+
+def slots(planned: list[tuple[list[int], int]]) -> np.ndarray:
+    """Rows (size, first rank, items of the size in a container, first container), sorted; rank is among the items of a size.
+
+    Each placement of the plan uses up a length or a pattern, so there are at most about capacity + patterns rows a pattern
+    length: under 2 MB whatever the corpus.
+    """
+    rows, base, at = [], 0, {}
+    for pattern, times in planned:
+        for size in sorted(set(pattern)):
+            per = pattern.count(size)
+            rows.append((size, at.get(size, 0), per, base))
+            at[size] = at.get(size, 0) + per * times
+        base += times
+    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
+
+
+def container_of(table: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Containers of items by size and rank: the last row that starts at or before the rank, by binary search."""
+    key = lambda s, r: (s.astype(np.uint64) << np.uint64(48)) + r.astype(np.uint64)
+    row = table[np.searchsorted(key(table[:, 0], table[:, 1]), key(size, rank), side="right") - 1]
+    return row[:, 3] + (rank - row[:, 1]) // row[:, 2]
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -178,23 +221,15 @@ def pack(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     parts = cut(items(documents, capacity))
     sized = parts.where("n_tokens > 0")
     histogram = {r["n_tokens"]: r["count"] for r in sized.groupBy("n_tokens").count().collect()}  # at most capacity rows
-    rows, base, at = [], 0, {}
-    for pattern, times in plan(histogram, capacity):
-        for size in sorted(set(pattern)):
-            per = pattern.count(size)
-            lo = at.get(size, 0)
-            rows.append((size, lo, lo + per * times, per, base))
-            at[size] = lo + per * times
-        base += times
-    spark = documents.sparkSession
-    # Patterns x lengths; both are bounded by the capacity.
-    schema = "n_tokens long, lo long, hi long, per long, base long"
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["n_tokens", "lo", "hi", "per", "base"]) if rows else [], schema)
-    slots = table.groupBy("n_tokens").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "per", "base"))).alias("slots"))
-    slot = F.element_at(F.filter("slots", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"])), 1)
-    placed = ranked(sized).join(F.broadcast(slots), "n_tokens").withColumn("s", slot)
-    container = F.col("s.base") + F.call_function("div", F.col("rank") - F.col("s.lo"), F.col("s.per"))
-    placed = placed.select("doc_id", "part_no", "token_start", "n_tokens", container.alias("container"))
+    held = documents.sparkSession.sparkContext.broadcast(slots(plan(histogram, capacity)))  # bounded, see there
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(container=container_of(held.value, pdf["n_tokens"].to_numpy(), pdf.pop("rank").to_numpy()) if len(pdf) else pdf.pop("rank"))
+
+    kept = ["doc_id", "part_no", "token_start", "n_tokens"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.select(*kept).schema)
+    placed = ranked(sized).select(*kept, F.col("rank").cast("long").alias("rank")).mapInPandas(look_up, kinds + ", container long")
     none = parts.where("n_tokens = 0").withColumn("container", F.lit(None).cast("long"))
     return placed.unionByName(none)
 
