@@ -1,8 +1,9 @@
 """Problem 5: defective question and answer pairs, each with its type.
 
 Every answer goes through a pushdown parser (fences, brackets, quotations, emphasis, list items) whose end state tells
-truncation, greedy string tiling against its question (copies), a refusal grammar of six languages, and a language and
-script check by letters and grammatical words. An answer of one unfinished phrase is ambiguous ("Le comité du siège" is
+truncation, greedy string tiling against its question (copies), a refusal grammar of six languages, and a check of script
+and language. The languages of question and answer are those of their nearest clustered centroids, as in problem 2; the
+centroids are fitted on a bounded sample of the table's own texts (``SAMPLE`` pairs), labelled by grammatical words. An answer of one unfinished phrase is ambiguous ("Le comité du siège" is
 whole, "Le comité du siège annule la" is not): it is held against two lexicons counted over the whole table by joins,
 the words that occur inside answers and questions and the verbs that follow an interrogative pronoun.
 
@@ -20,9 +21,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgauge.llm import p02_language as p2
 from docgauge.llm.lexicon import FUNCTION_WORDS, LANGS
 from docgauge.session import cut
 
+#: Pairs of smallest hash whose texts may train the language centroids, and texts of a language among them.
+SAMPLE, PER_LANGUAGE = 12_000, 400
+#: Words and confidence from which a language counts.
+LEAST_WORDS, SURE = 5, 0.8
+#: Shares of an answer and of its question that tiles must cover for a copy.
+COPY_ANSWER, COPY_QUESTION = 0.9, 0.6
+
 # Stand-ins for a missing value.
 STAND_INS = {"", "n/a", "na", "n.a.", "-", "--", "---", "–", "—", "null", "none", "nan", "nil", "[]", "{}", "()", "?", "??", "???", "…", "...", "..", ".", "_", "/", "x", "xx", "xxx", "tbd", "todo", "à compléter", "a completer", "vide", "néant", "undefined", "#n/a", "<na>", "''", '""'}
 # Fixed value: the marker of an answer that the document doesn't cover.
@@ -42,11 +51,22 @@ REFUSAL = re.compile(
     |\b(?:ich|mir)\b.{0,40}\b(?:nicht|kein\w*)\b|\b(?:kann|darf|habe|möchte|weiß)\s+ich\b.{0,60}\b(?:nicht|kein\w*)\b|\bes\s+tut\s+mir\s+leid|\bals\s+(?:assistent\w*|ki)\b|\bich\s+(?:lehne|verweigere|bedau\w+)|\bmeine[rn]?\s+(?:möglichkeiten|fähigkeiten|befugnisse)
     |\blo\s+(?:siento|lamento)\b|\bno\s+(?:puedo|tengo|dispongo|sé|sabría|estoy|quisiera|me\s+es)\b|\bme\s+(?:niego|es\s+imposible|resulta\s+imposible)|\bprefiero\s+no\b|\brechazo\s+(?:esta|tratar)|\bcomo\s+asistente\b|\bmis\s+(?:capacidades|competencias)
     |\bmi\s+(?:dispiace|spiace|rifiuto|è\s+impossibile|risulta\s+impossibile)|\bnon\s+(?:posso|ho|dispongo|so|saprei|sono\s+(?:in\s+grado|autorizzat\w))\b|\bpreferisco\s+non\b|\bin\s+quanto\s+assistente|\bcome\s+assistente\b|\b(?:mie|mio)\s+(?:capacità|competenze)
+    |^no\s+answer\s+(?:will|can|may|is\s+to)\s+be\s+(?:given|provided|supplied)|^aucune\s+réponse\s+ne\s+(?:sera|peut\s+être|saurait\s+être)\s+(?:donnée|apportée|fournie)
+    |^(?:hier|dazu|darauf|an\s+dieser\s+stelle)\s+(?:wird|kann)\s+keine\s+(?:antwort|auskunft)\b|^eine\s+antwort\s+(?:wird|kann)\b.{0,30}\bnicht\b|^es\s+wird\b.{0,20}\bkeine\s+antwort\b
+    |^(?:aquí\s+)?no\s+se\s+(?:dará|facilitará|ofrecerá|puede\s+dar)\b.{0,20}\brespuesta|^(?:qui\s+)?non\s+(?:verrà|sarà|viene|può\s+essere)\s+(?:data|fornita)\b.{0,20}\brisposta|^nessuna\s+risposta\s+(?:verrà|sarà|può)|^ninguna\s+respuesta\b
+    |^(?:aqui\s+)?não\s+(?:será|pode\s+ser)\s+dada\b.{0,20}\bresposta|^nenhuma\s+resposta\s+(?:será|pode)
     |\blamento\b|\bnão\s+(?:posso|tenho|disponho|sei|saberia|consigo|estou)\b|\bprefiro\s+não\b|\b(?:recuso|desculpe)\b|\bé-me\s+impossível|\benquanto\s+assistente|\bas\s+minhas\s+(?:capacidades|competências)
     """,
     re.X | re.S,
 )
 
+# Words of which every refusal of the grammar holds one, for a cheap test before it.
+REFUSING = set(
+    """je m mes tant permettant désolé désolée navré navrée malheureusement hélas i as my me sorry ich mir als meine meiner meinen
+    siento lo no niego prefiero rechazo como mis mi non rifiuto preferisco quanto come mie mio lamento não prefiro recuso desculpe é
+    enquanto minhas aucune hier dazu darauf stelle eine es nessuna ninguna nenhuma qui aquí aqui""".split()
+)
+
 _TOKEN = re.compile(r"\w+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 # What closes each bracket or quotation mark.
@@ -111,11 +131,17 @@ def normal(text: str | None) -> list[str]:
 def tiled(answer: list[str], question: list[str], least: int = 3) -> tuple[float, float]:
     """(share of the answer, share of the question) covered by greedy string tiling with tiles of ``least`` words or more.
 
+    Texts without a common run of ``least`` words have none.
+
     The longest common run is tiled first. The question's words become free again when a round finds no more tile, so
     that a question given back twice is covered as well.
     """
     if not answer or not question:
         return 0.0, 0.0
+    run = min(least, len(question))
+    runs = lambda ws: set(zip(*(ws[i:] for i in range(run))))
+    if runs(answer).isdisjoint(runs(question)):
+        return 0.0, 0.0
     done_a = [False] * len(answer)
     ever_q = [False] * len(question)
     while True:
@@ -151,11 +177,9 @@ for _lang in LANGS:
 _OWN_LETTERS = {"ñ": "es", "¿": "es", "¡": "es", "ß": "de", "ä": "de", "ö": "de", "ü": "de", "ã": "pt", "õ": "pt", "œ": "fr", "ê": "fr", "ù": "fr", "ì": "it"}
 
 
-def language(text: str) -> tuple[str | None, float, str]:
-    """(language or None, margin, script) by grammatical words and the letters that one language alone uses."""
+def seed_language(text: str) -> tuple[str | None, float]:
+    """(language or None, margin) by grammatical words and the letters that one language alone uses: a noisy label."""
     low = text.lower()
-    letters = [c for c in low if c.isalpha()]
-    script = "none" if not letters else "latin" if sum("LATIN" in unicodedata.name(c, "") for c in letters) * 2 >= len(letters) else "other"
     score = dict.fromkeys(LANGS, 0.0)
     for w in _LETTERS.findall(low):
         own = _BY_WORD.get(w, ())
@@ -165,37 +189,77 @@ def language(text: str) -> tuple[str | None, float, str]:
         if c in low:
             score[lang] += 0.7
     rank = sorted(score.items(), key=lambda x: -x[1])
-    return (rank[0][0] if rank[0][1] > 0 else None), rank[0][1] - rank[1][1], script
+    return (rank[0][0] if rank[0][1] > 0 else None), rank[0][1] - rank[1][1]
+
 
+def script(text: str) -> str:
+    """Script of most letters: latin, other, or none."""
+    letters = "".join(_LETTERS.findall(text))
+    latin = sum(c < "\u0250" or "\u1e00" <= c <= "\u1eff" for c in letters) if not letters.isascii() else len(letters)
+    return "none" if not letters else "latin" if latin * 2 >= len(letters) else "other"
 
-def first_pass(question: str | None, answer: str | None, covered: str | None) -> tuple[str | None, str | None]:
-    """(defect or None, ambiguous phrase or None) of one pair."""
+
+def train(golden: DataFrame) -> p2.Centroids:
+    """Language centroids of a bounded sample of the questions and answers; a language with no clear text has none."""
+    pairs = golden.select("question", "reponse", F.xxhash64("id", "question", "reponse").alias("h"))
+    # Answers as long as a book train no better: texts over 4,000 characters are left out of the sample.
+    rows = pairs.where("coalesce(length(question), 0) < 4000 and coalesce(length(reponse), 0) < 4000").orderBy("h").limit(SAMPLE).select("question", "reponse").toPandas()
+    held: dict[str, list[str]] = {c: [] for c in LANGS}
+    for t in sorted({t for c in rows for t in rows[c] if t}):
+        lang, margin = seed_language(t)
+        if lang and margin >= 2 and len(held[lang]) < PER_LANGUAGE:
+            held[lang].append(p2.fold(t))
+    return p2.fit([t for ts in held.values() for t in ts], [c for c, ts in held.items() for _ in ts])
+
+
+def first_pass(question: str | None, answer: str | None, covered: str | None) -> tuple[str | None, bool | None]:
+    """(defect or None, whether languages must be compared; None if the pair is sound) before language and truncation."""
     text = unicodedata.normalize("NFKC", answer or "").replace("\u200b", "").replace("\ufeff", "").strip()
     if text.lower() in STAND_INS or not any(c.isalnum() for c in text):
-        return "empty", None
+        return "empty", False
     low = " ".join(text.lower().replace("’", "'").split())
     if low.rstrip(".") == NOT_COVERED:
         return (None if (covered or "").strip().lower() != "oui" else "refusal"), None
-    if REFUSAL.search(low):
-        return "refusal", None
-    q, a = normal(question), normal(text)
+    a = normal(text)
+    if not REFUSING.isdisjoint(a) and REFUSAL.search(low):
+        return "refusal", False
+    q = normal(question)
     body = a[1:] if a and a[0] in ("q", "question", "pregunta", "domanda", "pergunta", "frage") else a
-    in_a, in_q = tiled(body, q)
-    if in_a >= 0.9 and in_q >= 0.6:
-        return "copy", None
-    if question:
-        ql, qm, qs = language(question)
-        al, am, ascript = language(text)
-        if qs != ascript and "other" in (qs, ascript) and "none" not in (qs, ascript):
-            return "language", None
-        if ql and al and ql != al and am >= 1.0 and qm >= 0.5 and len(a) >= 5:
-            return "language", None
-    p = Parsed(text)
+    known = set(q)
+    # Tiles hold words of the question only: an answer with fewer of them is no copy.
+    if body and sum(w in known for w in body) >= COPY_ANSWER * len(body):
+        in_a, in_q = tiled(body, q)
+        if in_a >= COPY_ANSWER and in_q >= COPY_QUESTION:
+            return "copy", False
+    return None, bool(question) and len(a) >= LEAST_WORDS
+
+
+def last_pass(answer: str) -> tuple[str | None, str | None]:
+    """("truncated" or None, ambiguous phrase or None) of an answer by the pushdown parser."""
+    p = Parsed(unicodedata.normalize("NFKC", answer).replace("\u200b", "").replace("\ufeff", "").strip())
     if p.truncated():
         return "truncated", None
     return None, (p.phrase if not p.ended else None)
 
 
+def judged(questions: list[str | None], answers: list[str | None], covered: list[str | None], model: p2.Centroids) -> list[tuple[str | None, str | None]]:
+    """(defect or None, ambiguous phrase or None) of each pair of a batch."""
+    got = [first_pass(q, a, c) for q, a, c in zip(questions, answers, covered)]
+    out: list[tuple[str | None, str | None]] = [(d, None) for d, _ in got]
+    asked = [i for i, (d, compare) in enumerate(got) if compare]
+    folded = [p2.fold(t) for i in asked for t in (questions[i], answers[i])]
+    langs, sure = model.classify(folded)
+    for k, i in enumerate(asked):
+        (ql, al), (qs, sa) = langs[2 * k : 2 * k + 2], sure[2 * k : 2 * k + 2]
+        scripts = {script(questions[i]), script(answers[i])}
+        if scripts == {"latin", "other"} or (ql != al and "und" not in (ql, al) and min(qs, sa) >= SURE):
+            out[i] = ("language", None)
+    for i, (d, compare) in enumerate(got):
+        if d is None and compare is not None and out[i][0] is None:
+            out[i] = last_pass(answers[i])
+    return out
+
+
 INTERROGATIVES = ("qui", "who", "wer", "chi", "quién", "quem")
 #: Times by which a longer word must be more frequent than the torn word that starts it.
 RARER = 10
@@ -207,9 +271,11 @@ def defects(golden: DataFrame) -> DataFrame:
     """One row per distinct pair: id, question, reponse, couvert, defect (null if sound)."""
     pairs = golden.select("id", "question", "reponse", "couvert").distinct()
 
+    held = golden.sparkSession.sparkContext.broadcast(train(golden))  # languages x clusters x hashed trigrams
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [first_pass(q, a, c) for q, a, c in zip(pdf["question"], pdf["reponse"], pdf["couvert"])]
+            got = judged(pdf["question"].tolist(), pdf["reponse"].tolist(), pdf["couvert"].tolist(), held.value)
             yield pdf.assign(defect=pd.Series([g[0] for g in got], dtype=object, index=pdf.index), phrase=pd.Series([g[1] for g in got], dtype=object, index=pdf.index))
 
     first = pairs.mapInPandas(run, "id string, question string, reponse string, couvert string, defect string, phrase string")

@@ -1,10 +1,13 @@
 """Problems 5 to 7: pairs, look-alikes, pieces."""
 
+import functools
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from docgauge.llm import p02_language as p2
 from docgauge.llm import p05_pairs as p5
 from docgauge.llm import p06_lookalike as p6
 from docgauge.llm import p07_split as p7
@@ -27,7 +30,37 @@ Q = "Dans quel cas est-ce que la caisse transmet le dossier de remboursement ?"
     ],
 )
 def test_first_pass(answer, covered, want):
-    assert p5.first_pass(Q, answer, covered)[0] == want
+    assert p5.judged([Q], [answer], [covered], model())[0][0] == want
+
+
+@functools.cache
+def model():
+    from test_text_types import DE, EN, FR
+
+    texts = {"fr": [*FR, Q], "de": DE, "en": EN}
+    return p2.fit([p2.fold(t) for ts in texts.values() for t in ts], [c for c, ts in texts.items() for _ in ts])
+
+
+def test_languages_of_pairs_by_centroids(spark):
+    import test_text_types as tt
+
+    rows = [(f"{c}{i}", ts[i % 3], ts[(i + 1) % 3], "oui") for c, ts in (("fr", tt.FR), ("de", tt.DE), ("en", tt.EN)) for i in range(6)]
+    rows += [("x", tt.FR[0], tt.DE[1], "oui"), ("y", tt.EN[0], tt.FR[2], None), ("z", tt.FR[0], "Комитет проверяет заявление до конца месяца.", "oui"), ("short", tt.FR[0], "The board decides.", "oui"), ("null", None, tt.EN[0], "oui")]
+    df = spark.createDataFrame(rows + rows[:2], "id string, question string, reponse string, couvert string")
+    assert {tuple(r) for r in p5.found(df).collect()} == {("x", "language"), ("y", "language"), ("z", "language")}
+
+
+@pytest.mark.parametrize("text", ["No answer will be given here: please turn to the board.", "Aucune réponse ne sera donnée ici.", "Hier wird keine Antwort gegeben.", "Aquí no se dará ninguna respuesta.", "Qui non verrà data alcuna risposta.", "Não será dada qualquer resposta.", "Je ne peux pas répondre.", "I cannot say.", "Das kann ich nicht beantworten.", "No puedo responder.", "Mi dispiace, non posso.", "Lamento, mas recuso."])
+def test_every_refusal_passes_the_cheap_test(text):
+    assert p5.first_pass(Q, text, "oui")[0] == "refusal"
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=12), st.lists(st.sampled_from("abcdef"), min_size=1, max_size=14))
+def test_bound_before_tiling_loses_no_copy(q, a):
+    in_a, in_q = p5.tiled(a, q)
+    if in_a >= p5.COPY_ANSWER and in_q >= p5.COPY_QUESTION:
+        assert sum(w in q for w in a) >= p5.COPY_ANSWER * len(a)
 
 
 def test_open_phrases_use_the_table(spark):
