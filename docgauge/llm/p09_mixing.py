@@ -6,8 +6,11 @@ that the mixture keeps its size as long as all sources together can fill it. The
 the fractional part is rounded so that the source's tokens are kept: two documents with fractional copies p and q and n
 and m tokens move mass (p + d/n, q - d/m) at random, without changing n p + m q in any step or either expectation, until
 one is whole. Tasks pair within (source, salt) and leave at most one fractional document each; these residuals are
-combined through a reduction tree, 16 salts at a time, and the last one is rounded at random. A hot source is spread
-over all salts. Randomness is a hash of ids and seed, so a repeated task gives the same mixture.
+combined through a reduction tree, 16 salts at a time. The ``RESERVE`` shortest documents of a source are held back to the
+last level: there each document, the longest first, moves mass from or to all shorter ones until it is whole, so the one
+that is rounded at random in the end is short, and a source misses its tokens by less than a short document unless it
+has too few. A hot source is spread over as many salts as it has thousands of documents. Randomness is a hash of ids and
+seed, so a repeated task gives the same mixture.
 
 Source names that vary in case, outer spaces, hyphen or underscore are one; documents of a null source and of sources
 without a target are in no mixture. A null ``n_tokens`` is counted; documents without tokens get no copies.
@@ -18,15 +21,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgauge.llm.p08_packing import token_count
 from docgauge.llm.p10_truncated import source_name
 from docgauge.session import cut
 
-#: Size of the mixture as a share of all documents' tokens; salts of a source and fan-in of the tree; seed.
-SIZE, SALTS, FAN, SEED = 0.5, 256, 16, 7
+#: Size of the mixture as a share of all documents' tokens; documents of a source in a salt, and fan-in of the tree; seed.
+SIZE, PER_SALT, FAN, SEED = 0.5, 4096, 16, 7
+#: Shortest documents of a source that are held back to the last level.
+RESERVE = 64
 
 
 def targets(have: dict[str, int], wanted: list[tuple[str, float, int]], total: int) -> dict[str, tuple[float, float]]:
@@ -81,6 +86,44 @@ def pivot(rows: list[tuple[int, float, int]]) -> tuple[list[tuple[int, int]], tu
     return done, hold
 
 
+def settle(rows: list[tuple[int, float, int]]) -> tuple[list[tuple[int, int]], tuple[int, float, int] | None]:
+    """As ``pivot``, but each document in turn, the longest first, moves mass from or to all shorter ones together.
+
+    The shorter ones share the move by fixed weights, in both directions, so no expectation changes; a move ends when the
+    long one or one of the others is whole. The document left fractional is the shortest, unless the others run out.
+    """
+    done = [(i, round(f)) for i, f, _ in rows if not 1e-12 < f < 1 - 1e-12]
+    rest = sorted((r for r in rows if 1e-12 < r[1] < 1 - 1e-12), key=lambda r: (-r[2], r[0]))
+    step = 0
+    while len(rest) > 1:
+        (i, p, n), others = rest[0], rest[1:]
+        give = [min(f, 1 - f) * m for _, f, m in others]
+        most = sum(give)
+        up, down = min((1 - p) * n, most), min(p * n, most)
+        d = up if _unit(i, step, len(rest)) * (up + down) < down else -down
+        step += 1
+        moved = [(i, p + d / n, n)] + [(j, f - d * g / most / m, m) for (j, f, m), g in zip(others, give)]
+        rest = []
+        for r in moved:
+            if r[1] <= 1e-9 or r[1] >= 1 - 1e-9:
+                done.append((r[0], round(r[1])))
+            else:
+                rest.append(r)
+    return done, rest[0] if rest else None
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """Last level, one group per source of at most ``RESERVE`` + 1 documents: doc_id, up."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        done, hold = settle([(int(r.doc_id), float(r.f), int(r.n)) for r in pdf.itertuples(index=False)])
+        if hold:
+            done.append((hold[0], int(_unit(hold[0]) < hold[1])))
+        return pd.DataFrame(done, columns=["doc_id", "up"]).astype({"doc_id": "int64", "up": "int32"})
+
+    return rows.groupBy("source").applyInPandas(run, "doc_id long, up int")
+
+
 def _round_groups(rows: DataFrame) -> DataFrame:
     """Pivot within (source, salt); ``up`` is null for the one document that stays fractional."""
 
@@ -101,7 +144,7 @@ def _round_groups(rows: DataFrame) -> DataFrame:
             yield _frame(out)
         yield _frame([(*k, h[0], h[2], h[1], None) for k, h in state.items() if h])
 
-    # Long documents first, so that the one left over is short.
+    # Long documents first, so that the one left over is rather short.
     return rows.repartition("source", "salt").sortWithinPartitions("source", "salt", F.desc("n"), "doc_id").mapInPandas(run, "source string, salt int, doc_id long, n long, f double, up int")
 
 
@@ -110,44 +153,55 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return f.astype({"salt": "Int32", "doc_id": "Int64", "n": "Int64", "f": "float64", "up": "Int32", "source": object})
 
 
-def mixture(documents: DataFrame, mix_targets: DataFrame, size: float = SIZE) -> DataFrame:
-    """One row per document of a mixed source: doc_id, source, n_tokens, copies (0 or more)."""
+def _mixed(documents: DataFrame, mix_targets: DataFrame, size: float) -> DataFrame:
     n = F.coalesce(F.col("n_tokens"), token_count(F.col("text"))).cast("long")
     docs = cut(documents.select("doc_id", source_name(F.col("source")).alias("source"), n.alias("n")).where("n > 0"))
     wanted = [(r["source"], r["target_share"], r["max_repeats"]) for r in mix_targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").collect()]  # one row per source of the mixture
-    have = {r["source"]: r["t"] for r in docs.groupBy("source").agg(F.sum("n").alias("t")).where(F.col("source").isin([w[0] for w in wanted])).collect()}
+    sums = docs.groupBy("source").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")).where(F.col("source").isin([w[0] for w in wanted])).collect()
+    have, most = {r["source"]: r["t"] for r in sums}, max([r["c"] for r in sums], default=0)
     total = docs.agg(F.sum("n")).first()[0] or 0
     copies = targets(have, wanted, round(total * size))
-    table = docs.sparkSession.createDataFrame([(s, c) for s, (_, c) in copies.items()] or [("", 0.0)], "source string, c double")
+    table = docs.sparkSession.createDataFrame([(s, c, t) for s, (t, c) in copies.items()] or [("", 0.0, 0.0)], "source string, c double, intended double")
     each = docs.join(F.broadcast(table), "source").withColumn("whole", F.floor("c").cast("int")).withColumn("f", F.col("c") - F.col("whole"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    level = each.where("f > 0").select("source", salt.alias("salt"), "doc_id", "n", "f")
-    ups, width = [], SALTS
+    width = FAN
+    while width * PER_SALT < most:
+        width *= FAN
+    fractional = each.where("f > 0").select("source", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int").alias("salt"), "doc_id", "n", "f")
+    # The shortest of each salt, then of each source: at most RESERVE rows a source of the mixture.
+    for part in (["source", "salt"], ["source"]):
+        short = F.row_number().over(Window.partitionBy(*part).orderBy("n", "doc_id"))
+        reserve = (fractional if part[1:] else reserve).withColumn("at", short).where(F.col("at") <= RESERVE).drop("at")
+    reserve = cut(reserve)
+    level = fractional.join(F.broadcast(reserve.select("doc_id")), "doc_id", "left_anti")
+    up = None
     while True:
         done = cut(_round_groups(level))
-        ups.append(done.where("up is not null").select("doc_id", "up"))
+        got = done.where("up is not null").select("doc_id", "up")
+        up = got if up is None else up.unionByName(got)
         level = done.where("up is null").select("source", F.call_function("div", F.col("salt"), F.lit(FAN)).cast("int").alias("salt"), "doc_id", "n", "f")
         if width == 1:
             break
         width = max(1, width // FAN)
-    # At most one document of each source is left: it is rounded by its own fraction.
-    u = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    ups.append(level.select("doc_id", (u < F.col("f")).cast("int").alias("up")))
-    up = ups[0]
-    for x in ups[1:]:
-        up = up.unionByName(x)
-    out = each.join(up, "doc_id", "left")
-    return out.select("doc_id", "source", F.col("n").alias("n_tokens"), (F.col("whole") + F.coalesce("up", F.lit(0))).alias("copies"))
+    last = cut(_settled(level.select("source", "doc_id", "n", "f").unionByName(reserve.select("source", "doc_id", "n", "f"))))
+    out = each.join(up.unionByName(last), "doc_id", "left")
+    return out.select("doc_id", "source", F.col("n").alias("n_tokens"), (F.col("whole") + F.coalesce("up", F.lit(0))).alias("copies"), "intended")
+
+
+def mixture(documents: DataFrame, mix_targets: DataFrame, size: float = SIZE) -> DataFrame:
+    """One row per document of a mixed source: doc_id, source, n_tokens, copies (0 or more)."""
+    return _mixed(documents, mix_targets, size).drop("intended")
 
 
 def report(documents: DataFrame, mix_targets: DataFrame, size: float = SIZE) -> DataFrame:
-    """One row per target: source, target_share, reached_share, tokens, available, repeats (tokens over available)."""
-    m = mixture(documents, mix_targets, size)
-    got = m.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("n_tokens").alias("available"), F.max("copies").alias("most_copies"))
+    """One row per target: source, target_share, intended_share (after what capped and missing sources can't give is spread
+    over the others), reached_share, tokens, intended_tokens, available, max_repeats, most_copies, repeats (tokens over available).
+    """
+    m = _mixed(documents, mix_targets, size)
+    got = m.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("n_tokens").alias("available"), F.max("copies").alias("most_copies"), F.max("intended").alias("intended_tokens"))
     want = mix_targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
-    j = cut(want.join(got, "source", "left").na.fill(0, ["tokens", "available", "most_copies"]))
-    total = j.agg(F.sum("tokens").alias("total"))
+    j = cut(want.join(got, "source", "left").na.fill(0, ["tokens", "available", "most_copies", "intended_tokens"]))
+    total = j.agg(F.sum("tokens").alias("total"), F.sum("intended_tokens").alias("meant"))
+    part = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     return j.crossJoin(F.broadcast(total)).select(  # one row on the right
-        "source", "target_share", F.coalesce(F.col("tokens") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)).alias("reached_share"), "tokens", "available", "max_repeats", "most_copies",
-        F.coalesce(F.col("tokens") / F.nullif(F.col("available"), F.lit(0)), F.lit(0.0)).alias("repeats"),
+        "source", "target_share", part("intended_tokens", "meant").alias("intended_share"), part("tokens", "total").alias("reached_share"), "tokens", "intended_tokens", "available", "max_repeats", "most_copies", part("tokens", "available").alias("repeats"),
     )
