@@ -122,16 +122,32 @@ def test_found_repetition_leaves_junk_out(spark):
 def test_fertility_equals_whole_text_encoding(spark):
     import sentencepiece
 
-    m = sentencepiece.SentencePieceProcessor(model_file=p3.VOCABULARY)
-    texts = [FR[0], DE[1] + "\n\n" + EN[2], "日本語 abc", "x" * 500, "", None]
+    m = sentencepiece.SentencePieceProcessor(model_file=f"{p3.FOLDER}/{p3.PIECES}")
+    texts = [FR[0], DE[1] + "\n\n" + DE[2], "日本語日本 abc", "x" * 500, "", None]
     got = p3.fertility(docs(spark, [(str(i), t, "fr", "a") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
     assert [r["n_tokens"] for r in got] == [sum(len(m.encode(w)) for w in (t or "").split()) for t in texts]
     assert abs(got[0]["n_tokens"] - len(m.encode(texts[0]))) <= 1
-    assert got[2]["script"] == "other" or got[2]["byte_share"] >= 0
+    assert [r["band"] for r in got] == ["fr", "de", "han", "latin", "none", "none"] and got[2]["byte_share"] >= 0
+    byte = p3._Tokens(f"{p3.FOLDER}/{p3.BYTES}")
+    byte.learn({w for t in texts for w in (t or "").split()})
+    assert [r["b_tokens"] for r in got] == [sum(len(byte.known[w][0]) for w in (t or "").split()) for t in texts] and 0 < byte.measure(["日本語日本"])[1] + 1e-9
     out = {r["doc_id"]: r["rejected"] for r in p3.method(docs(spark, mixed(spark))).collect()}
     assert not any(out[f"{x}{i}"] for x in ("fr", "en") for i in range(12)) and out["empty"]
 
 
+def test_scripts():
+    for t, want in (("Комитет проверяет", "cyrillic"), ("Η επιτροπή ελέγχει", "greek"), ("اللجنة تفحص", "arabic"), ("위원회가", "hangul"), ("委員会", "han"), ("ひらがな", "kana"), ("Été à la caisse", "latin"), ("12 | 34 --", "none"), ("ועדה", "hebrew")):
+        assert p3.script_of(t) == want
+
+
+def test_fertility_is_blind_to_order(spark):
+    text = prose(FR, 3) + " " + prose(FR, 3)
+    words = text.split()
+    mixed_up = " ".join(np.random.default_rng(1).permutation(words))
+    got = p3.fertility(docs(spark, [("a", text, "fr", "a"), ("b", mixed_up, "fr", "a")])).drop("doc_id").collect()
+    assert all(x == y or abs(x - y) < 1e-9 for x, y in zip(got[0][1:], got[1][1:])) and p3.repeated_words(text)[0] > p3.repeated_words(mixed_up)[0]
+
+
 def wrong(text, written, read, times=1):
     for _ in range(times):
         text = p4._read(text.encode(written), read)
