@@ -75,9 +75,12 @@ OPENERS = set("([{«“„‹")
 ITEM = re.compile(r"^\s*(?:\(?\d{1,3}[.)]|[-*•–]|\(?[a-z][.)])(?=\s|$)")
 
 
+_PAIRED = re.compile("[" + re.escape("".join([*CLOSERS, *OPENERS])) + "]")
+
+
 def open_close(text: str, stack: list[str]) -> None:
     """Push and pop the brackets and quotation marks of a text; a closer drops what was left open inside."""
-    for c in text:
+    for c in _PAIRED.findall(text):
         if c in CLOSERS and any(o in stack for o in CLOSERS[c]):
             while stack.pop() not in CLOSERS[c]:
                 pass
@@ -192,11 +195,13 @@ def seed_language(text: str) -> tuple[str | None, float]:
     return (rank[0][0] if rank[0][1] > 0 else None), rank[0][1] - rank[1][1]
 
 
+_OTHER = re.compile("[^\x00-\u024f\u1e00-\u1eff]")
+
+
 def script(text: str) -> str:
     """Script of most letters: latin, other, or none."""
     letters = "".join(_LETTERS.findall(text))
-    latin = sum(c < "\u0250" or "\u1e00" <= c <= "\u1eff" for c in letters) if not letters.isascii() else len(letters)
-    return "none" if not letters else "latin" if latin * 2 >= len(letters) else "other"
+    return "none" if not letters else "latin" if letters.isascii() or len(_OTHER.findall(letters)) * 2 <= len(letters) else "other"
 
 
 def train(golden: DataFrame) -> p2.Centroids:
@@ -227,7 +232,7 @@ def first_pass(question: str | None, answer: str | None, covered: str | None) ->
     body = a[1:] if a and a[0] in ("q", "question", "pregunta", "domanda", "pergunta", "frage") else a
     known = set(q)
     # Tiles hold words of the question only: an answer with fewer of them is no copy.
-    if body and sum(w in known for w in body) >= COPY_ANSWER * len(body):
+    if body and len(set(body) - known) <= (1 - COPY_ANSWER) * len(body):
         in_a, in_q = tiled(body, q)
         if in_a >= COPY_ANSWER and in_q >= COPY_QUESTION:
             return "copy", False
