@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgauge.functions import text as tx
+from docgauge.session import cut
 
 # Justifications of criteria that no judge scored.
 J_NA = "Objet absent du document (inventaire)."
@@ -24,6 +25,15 @@ def scope(criteria: list[dict]) -> Column:
     return F.filter(every, lambda x: ~F.array_contains("na", x["id"]) & ~((x["tag"] == "D") & F.array_contains(ruled, x["id"])))
 
 
+#: Prompt around the criteria and the text of a section; ``{top}`` is the top of the scale.
+BEFORE = "Voici un extrait d'un document destine a une base documentaire interrogee par un assistant.\nAttribue a l'extrait une note entiere de 1 (mauvais) a {top} (excellent) pour chaque critere de cette liste :\n"
+AFTER = (
+    "\n\nSi l'extrait ne permet pas de juger un critere, donne-lui le statut not_evaluated sans note, plutot que d'en inventer une.\n"
+    "Forme de la reponse : un objet JSON, une entree par identifiant de critere, avec status (scored ou not_evaluated), score (entier de 1 a {top}, ou null), "
+    "justification (une phrase) et evidence (citation ou null).\n\nExtrait :\n"
+)
+
+
 def batch_prompt(scope_col: Column, section: Column, scale_max: int = 5, hints: Column | None = None) -> Column:
     """Prompt of one section for all criteria of the scope. ``hints``: optional map from criterion to signal."""
 
@@ -32,24 +42,10 @@ def batch_prompt(scope_col: Column, section: Column, scale_max: int = 5, hints:
         if hints is None:
             return base
         hint = F.try_element_at(hints, x["id"])
-        return F.concat(base, F.coalesce(F.concat(F.lit(" (signal deterministe: "), hint.cast("string"), F.lit(")")), F.lit("")))
-
-    lines = F.array_join(F.transform(scope_col, line), "\n")
-    # Fixed value: the instructions given to the judge.
-    head = (
-        "Tu evalues la qualite d'une SECTION d'un document pour un systeme RAG.\n"
-        f"Echelle 1 a {scale_max} (au milieu = partiellement satisfaisant).\n"
-        "Evalue CHACUN des criteres suivants pour CETTE section:\n"
-    )
-    tail = (
-        "\n\nSi tu ne peux pas evaluer un critere de facon fiable sur cette section, mets son "
-        "status a not_evaluated. Ne devine jamais une note.\n"
-        "Reponds en JSON: un objet dont chaque cle est un id de critere et chaque valeur "
-        f"{{status: scored|not_evaluated, score: 1-{scale_max} ou null, "
-        "justification: une phrase, evidence: citation/section ou null}.\n\n"
-        "Contenu de la section:\n"
-    )
-    return F.concat(F.lit(head), lines, F.lit(tail), section)
+        return F.concat(base, F.coalesce(F.concat(F.lit(" (mesure automatique : "), hint.cast("string"), F.lit(")")), F.lit("")))
+
+    before, after = (F.lit(x.format(top=scale_max)) for x in (BEFORE, AFTER))
+    return F.concat(before, F.array_join(F.transform(scope_col, line), "\n"), after, section)
 
 
 def json_object(response: Column) -> Column:
@@ -116,10 +112,12 @@ def section_medians(verdicts: DataFrame, scale_max: int = 5) -> DataFrame:
 def criterion_scores(docs: DataFrame, criteria: DataFrame, medians: DataFrame) -> DataFrame:
     """One row per document and criterion with its state: na, external, ruled, light route, judged or not evaluated.
 
-    ``docs`` needs doc_id, na, d_scores, route. The grid is a fixed small table and is broadcast.
+    ``docs`` needs doc_id, na, d_scores, route. The grid is a fixed small table and is broadcast. These narrow columns are
+    cut off first, else the signals behind them would be computed again for each criterion.
     """
+    docs = cut(docs.select("doc_id", "na", "d_scores", "route"))
     grid = criteria.select("ord", "id", "dimension", "label", "weight", "tag", "external_dep")
-    every = docs.select("doc_id", "na", "d_scores", "route").crossJoin(F.broadcast(grid))
+    every = docs.crossJoin(F.broadcast(grid))
     m = medians.select("doc_id", F.col("crit_id").alias("id"), F.col("score").alias("_s"), F.col("justification").alias("_j"), F.col("evidence").alias("_e"))
     j = every.join(m, ["doc_id", "id"], "left")
     rule = F.try_element_at("d_scores", F.col("id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -37,16 +39,19 @@ def embed(texts: DataFrame, encoder=letter_counts, text: str = "text", out: str
 def retrieve(index: DataFrame, questions: DataFrame, k: int = 6, q_id: str = "q_id", q_vec: str = "emb", block: int = 4096) -> DataFrame:
     """Top ``k`` chunks of each question by cosine: (q_id, rank, doc_id, chunk_no, score); ties by doc_id and chunk_no.
 
-    ``questions`` is a stated query set: it is sent to all tasks in blocks of ``block`` rows, each block one pass over
-    the index in which every task keeps only its own top k. ``k`` is at least 1.
+    ``questions`` is a stated query set: it is read and sent to all tasks in blocks of ``block`` rows, each block one pass
+    over the index in which every task keeps only its own top k. ``k`` is at least 1. Scores are rounded to 12 digits, so
+    that equal vectors tie wherever they lie.
     """
     k = max(1, int(k))
     spark = index.sparkSession
     out = None
     numbered = questions.select(F.col(q_id).alias("q_id"), F.col(q_vec).alias("v"))
-    rows = list(numbered.toLocalIterator())  # the query set, read in blocks
-    for at in range(0, max(1, len(rows)), block):
-        part = rows[at : at + block]
+    rows = numbered.toLocalIterator()
+    while True:
+        part = list(islice(rows, block))
+        if not part and out is not None:
+            break
         ids = [r["q_id"] for r in part]
         q = np.array([r["v"] for r in part], dtype=float).reshape(len(part), -1)
         q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-9)
@@ -59,7 +64,7 @@ def retrieve(index: DataFrame, questions: DataFrame, k: int = 6, q_id: str = "q_
                 if not len(pdf) or not len(ids):
                     continue
                 m = np.vstack(pdf["emb"].to_numpy())
-                sims = q @ (m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)).T
+                sims = np.round(q @ (m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)).T, 12)
                 docs, nos = pdf["doc_id"].to_numpy(), pdf["chunk_no"].to_numpy()
                 for i in range(len(ids)):
                     s = sims[i]
@@ -74,5 +79,7 @@ def retrieve(index: DataFrame, questions: DataFrame, k: int = 6, q_id: str = "q_
         kind = numbered.schema["q_id"].dataType.simpleString()
         got = index.select("doc_id", "chunk_no", "emb").mapInPandas(run, f"q_id {kind}, doc_id string, chunk_no int, score double")
         out = got if out is None else out.unionByName(got)
+        if not part:
+            break
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "doc_id", "chunk_no")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "rank", "doc_id", "chunk_no", "score")

@@ -89,10 +89,17 @@ def signals(df: DataFrame, text: str = "markdown", blocks: str | None = "blocks"
 
 
 def parse_confidence(text: Column, blocks: Column, pages: Column, cid: Column, fallback: Column) -> Column:
-    """Confidence of an extraction: length and filled blocks, capped for thin pages and fallbacks, less glyph codes."""
-    n, size = F.length(text), F.size(F.coalesce(blocks, F.array()))
-    filled = F.when(size > 0, F.size(F.filter(blocks, lambda b: ~tx.is_blank(b["text"]))) / size).otherwise(1.0)
-    conf = 0.5 * F.least(F.lit(1.0), n / 500.0) + 0.5 * filled
-    conf = F.when((pages > 0) & (n < 200 * pages), F.least(conf, F.lit(0.4))).otherwise(conf)
-    conf = F.when(fallback, F.least(conf, F.lit(0.6))).otherwise(conf)
-    return F.when(tx.is_blank(text), 0.0).otherwise(F.round(conf * (1 - cid), 3))
+    """Confidence of an extraction: length and filled blocks, capped for thin pages and fallbacks, less glyph codes.
+
+    ``cid`` is the glyph share in four digits. Thousandths come from whole numbers, rounded half up.
+    """
+    n, size = F.length(text).cast("bigint"), F.size(F.coalesce(blocks, F.array())).cast("bigint")
+    per = F.greatest(size, F.lit(1).cast("bigint"))
+    filled = F.when(size > 0, F.size(F.filter(blocks, lambda b: ~tx.is_blank(b["text"]))).cast("bigint")).otherwise(1)
+    # In parts of 1000 * per.
+    conf = F.least(F.lit(500).cast("bigint"), n) * per + 500 * filled
+    conf = F.when((pages > 0) & (n < 200 * pages), F.least(conf, 400 * per)).otherwise(conf)
+    conf = F.when(fallback, F.least(conf, 600 * per)).otherwise(conf)
+    kept = F.lit(10000).cast("bigint") - F.round(cid * 10000).cast("bigint")
+    thousandths = F.call_function("div", 2 * conf * kept + per * 10000, per * 20000)
+    return F.when(tx.is_blank(text), 0.0).otherwise(thousandths / 1000.0)

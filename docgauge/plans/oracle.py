@@ -147,8 +147,11 @@ pct AS (
 result AS (
   SELECT doc_id, global_pct, CASE WHEN global_pct >= 90 THEN 'Excellent' WHEN global_pct >= 70 THEN 'Acceptable' WHEN global_pct >= 50 THEN 'Insuffisant' ELSE 'Inadapté' END AS level, coverage_pct,
          array_to_string(list_filter([CASE WHEN coverage_pct < 70 THEN 'low_coverage' END, CASE WHEN coalesce(pc, 0) < 0.5 THEN 'low_parse_confidence' END], lambda x: x IS NOT NULL), '|') AS flags
-  FROM pct)
-"""
+  FROM pct),
+every_doc AS (
+  SELECT doc_id, global_pct, level, coverage_pct, flags FROM result
+  UNION ALL SELECT doc_id, 0.0, 'Inadapté', 0.0, 'unreadable' FROM scored WHERE {BLANK})
+""".replace("{BLANK}", blank("t"))
 
 
 def sql(tail: str, *parts: str) -> str:
@@ -164,6 +167,21 @@ SECTIONS = f"sections AS (SELECT doc_id, i::INT AS section_no, substring(markdow
 CHUNKS = f"chunks AS (SELECT doc_id, i::INT AS chunk_no, substring(markdown, i::INT * 900 + 1, 1000) AS part FROM (SELECT doc_id, markdown, {windows(1000, 900, 'markdown')} AS i FROM docs WHERE length(markdown) > 0))"
 FULL = (COUNTS, ROUTE, RULES, INVENTORY, LATEST, MEDIANS, STATES)
 
+SCOPE = """
+scope AS (
+  SELECT s.doc_id, count(*) AS n_criteria, string_agg('- ' || c.id || ' : ' || c.label, chr(10) ORDER BY c.ord) AS lines
+  FROM scored s JOIN na n USING (doc_id) CROSS JOIN criteria c
+  WHERE s.route = 'full' AND NOT list_contains(n.na, c.id) AND NOT c.external_dep AND NOT (c.tag = 'D' AND c.id IN ('1.3', '1.4', '1.6', '1.7', '1.8', '1.9', '4.5', '8.1')) GROUP BY s.doc_id)
+"""
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+PROMPTS = f"prompts AS (SELECT s.doc_id, s.section_no, {literal(judge.BEFORE.format(top=5))} || c.lines || {literal(judge.AFTER.format(top=5))} || s.part AS prompt FROM sections s JOIN scope c USING (doc_id))"
+LETTERS = "list_transform(range(97, 123), lambda c: (length(lower({t})) - length(replace(lower({t}), chr(c::INT), '')))::DOUBLE)"
+
 SIDE = r"""
 side AS (
   SELECT doc_id AS stem, max_by({'schema_version': schema_version, 'markdown_hash': markdown_hash, 'n_blocks': n_blocks, 'provenance': provenance, 'parse_confidence': parse_confidence},
@@ -190,20 +208,34 @@ def oracle_sql() -> dict[str, str]:
         "section_median": sql("SELECT doc_id, crit_id, n_valid, raw_median, score, section_no, justification, evidence FROM medians", LATEST, MEDIANS),
         "criterion_scores": sql("SELECT doc_id, ord, id, dimension, label, tag, weight, state, status, score, justification, evidence FROM crit", *FULL),
         "dimension_scores": sql("SELECT doc_id, dimension, tenths FROM dims", *FULL, SCORES),
-        "doc_scores": sql("SELECT doc_id, global_pct, level, coverage_pct, flags FROM result", *FULL, SCORES),
+        "doc_scores": sql("SELECT doc_id, global_pct, level, coverage_pct, flags FROM every_doc", *FULL, SCORES),
         "remediation": sql(f"SELECT doc_id, id AS critere_id, {cells.format(c='label')} AS critere, weight AS poids, score AS score_actuel, ord FROM crit WHERE status = 'scored' AND score <= 2", *FULL),
         "detail": sql(f"SELECT doc_id, id AS critere_id, tag, weight AS poids, status, score, {cells.format(c='justification')} AS justification, {cells.format(c='evidence')} AS preuve FROM crit", *FULL),
-        "synthesis": sql('SELECT doc_id, global_pct AS "score_global_%", level AS niveau, coverage_pct AS "couverture_%", flags FROM result', *FULL, SCORES),
-        "corpus_levels": sql("SELECT level, count(*) AS n_docs, sum((global_pct * 10)::BIGINT) AS sum_tenths FROM result GROUP BY level", *FULL, SCORES),
-        "judge_cost": sql("SELECT s.doc_id, count(*) AS n_calls, sum(length(part)) AS section_chars FROM sections s JOIN routed r USING (doc_id) WHERE r.route = 'full' GROUP BY s.doc_id", COUNTS, ROUTE, SECTIONS),
+        "synthesis": sql('SELECT doc_id, global_pct AS "score_global_%", level AS niveau, coverage_pct AS "couverture_%", flags FROM every_doc', *FULL, SCORES),
+        "corpus_levels": sql("SELECT level, count(*) AS n_docs, sum((global_pct * 10)::BIGINT)::BIGINT AS sum_tenths FROM every_doc GROUP BY level", *FULL, SCORES),
+        "judge_cost": sql("SELECT doc_id, count(*) AS n_calls, sum(length(prompt))::BIGINT AS prompt_chars FROM prompts GROUP BY doc_id", COUNTS, ROUTE, RULES, INVENTORY, SECTIONS, SCOPE, PROMPTS),
         "parse_confidence": sql(
-            f"""SELECT doc_id, CASE WHEN {blank('t')} THEN 0.0 ELSE round((0.5 * least(1.0, len / 500.0) + 0.5 * (CASE WHEN len(coalesce(blocks, [])) > 0 THEN len(list_filter(blocks, lambda b: NOT {blank('b.text')})) / len(blocks) ELSE 1.0 END)) * (1 - cid_fraction), 3) END AS confidence FROM sig WHERE cid = 0 OR {blank('t')}""",
-            COUNTS,
+            f"""SELECT doc_id, CASE WHEN {blank('t')} THEN 0.0 ELSE ((2 * conf * clean + per * 10000) // (20000 * per)) / 1000.0 END AS confidence
+                FROM (SELECT *, 10000 - (cid_fraction * 10000)::BIGINT AS clean, least(base, CASE WHEN pages > 0 AND len < 200 * pages THEN 400 * per ELSE base END, CASE WHEN fallback THEN 600 * per ELSE base END) AS conf
+                      FROM (SELECT *, least(500, len) * per + 500 * full_blocks AS base
+                            FROM (SELECT g.*, greatest(len(coalesce(blocks, [])), 1)::BIGINT AS per, CASE WHEN len(coalesce(blocks, [])) > 0 THEN len(list_filter(blocks, lambda b: NOT {blank('b.text')})) ELSE 1 END::BIGINT AS full_blocks,
+                                         coalesce(s.s.provenance.source_pages, 0) AS pages, coalesce(s.s.provenance.parser = 'fallback', false) AS fallback
+                                  FROM sig g LEFT JOIN side s ON g.doc_id = s.stem)))""",
+            COUNTS, SIDE,
         ),
         "exact_duplicates": f"SELECT doc_id, group_id, n_docs FROM (SELECT doc_id, min(doc_id) OVER w AS group_id, count(*) OVER w AS n_docs FROM (SELECT doc_id, {norm} AS h FROM docs WHERE NOT {blank('markdown')}) WINDOW w AS (PARTITION BY h)) WHERE n_docs > 1",
         "cell_sanitise": f"SELECT id, {cells.format(c='commentaire_beta')} AS cell FROM golden",
         "golden_guard": f"SELECT DISTINCT id, question, CASE WHEN ok THEN 'oui' ELSE 'non' END AS couvert, CASE WHEN ok THEN {strip('reponse')} ELSE 'Non couvert par le document' END AS reponse FROM (SELECT *, coalesce(lower({strip('couvert')}) = 'oui' AND NOT {blank('reponse')}, false) AS ok FROM golden)",
-        "golden_sources": "SELECT id, unnest(string_split(sources, '; ')) AS source FROM (SELECT DISTINCT id, sources FROM golden WHERE id LIKE 'corpus-%')",
+        "golden_sources": sql(
+            f"""SELECT q_id AS id, array_to_string(list_transform(list_sort(list({{'r': first_rank, 'd': doc_id}})), lambda x: x.d), '; ') AS sources
+                FROM (SELECT q_id, doc_id, min(rank) AS first_rank FROM (
+                        SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id, chunk_no) AS rank
+                        FROM (SELECT q_id, doc_id, chunk_no, round({dot('q.v', 'c.v')} / ((sqrt({dot('q.v', 'q.v')}) + 1e-9) * (sqrt({dot('c.v', 'c.v')}) + 1e-9)), 12) AS score
+                              FROM (SELECT q_id, {LETTERS.format(t='question')} AS v FROM (SELECT id AS q_id, min(question) AS question FROM golden WHERE id LIKE 'corpus-%' AND NOT {blank('question')} GROUP BY id)) q
+                              CROSS JOIN (SELECT doc_id, chunk_no, {LETTERS.format(t='part')} AS v FROM chunks JOIN docs USING (doc_id) WHERE NOT {blank('markdown')}) c))
+                      WHERE rank <= 6 GROUP BY ALL) GROUP BY q_id""",
+            CHUNKS,
+        ),
         "content_hash": "SELECT doc_id, sha256(coalesce(markdown, '')) AS hash FROM docs",
         "entry_flags": sql(
             """SELECT coalesce(d.doc_id, s.stem) AS doc_id, array_to_string(list_filter([
@@ -217,13 +249,22 @@ def oracle_sql() -> dict[str, str]:
         "source_changed": sql(
             "SELECT d.doc_id, CASE WHEN s.stem IS NULL THEN 'write' ELSE 'skip' END AS action, coalesce(s.stem IS NOT NULL AND s.s.markdown_hash <> sha256(coalesce(d.markdown, '')), false) AS source_changed FROM docs d LEFT JOIN side s ON d.doc_id = s.stem", SIDE
         ),
-        "triage_density": "SELECT doc_id, CASE WHEN wpp < 10 THEN 'scanned' WHEN wpp > 100 AND ipp < 25 THEN 'born_digital' ELSE 'mixed' END AS category FROM (SELECT doc_id, CASE WHEN pages > 0 THEN words / pages ELSE 0 END AS wpp, CASE WHEN pages > 0 THEN imgs / pages ELSE 0 END AS ipp FROM (SELECT doc_id, length(coalesce(markdown, '')) // 6 AS words, len(coalesce(images, [])) AS imgs, greatest(1, length(coalesce(markdown, '')) // 3000) AS pages FROM docs))",
+        "triage_density": sql(
+            "SELECT doc_id, CASE WHEN wpp < 10 THEN 'scanned' WHEN wpp > 100 AND ipp < 25 THEN 'born_digital' ELSE 'mixed' END AS category FROM (SELECT doc_id, CASE WHEN pages > 0 THEN words / pages ELSE 0 END AS wpp, CASE WHEN pages > 0 THEN imgs / pages ELSE 0 END AS ipp FROM (SELECT doc_id, c.n_tok AS words, len(coalesce(d.images, [])) AS imgs, coalesce(list_max(list_transform(d.blocks, lambda b: coalesce(b.page, 0))), 0) AS pages FROM c JOIN docs d USING (doc_id)))",
+            COUNTS,
+        ),
         "image_gate": "SELECT doc_id, im.placeholder AS placeholder, (im.x1 - im.x0 < 24.0 OR im.bottom - im.top < 24.0) AS decorative, trunc(im.x0 * 2.0)::INT AS px, trunc(im.top * 2.0)::INT AS py FROM (SELECT doc_id, unnest(images) AS im FROM docs)",
         "near_duplicates_vec": f"SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {dot('a.embedding', 'b.embedding')} / (sqrt({dot('a.embedding', 'a.embedding')}) * sqrt({dot('b.embedding', 'b.embedding')})) >= 0.95",
         "retrieve_topk": f"""WITH q AS (SELECT vec_id AS q_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0),
-            s AS (SELECT q_id, vec_id::VARCHAR AS doc_id, {dot('v', 'embedding')} / ((sqrt({dot('v', 'v')}) + 1e-9) * (sqrt({dot('embedding', 'embedding')}) + 1e-9)) AS score FROM q CROSS JOIN embeddings)
+            s AS (SELECT q_id, vec_id::VARCHAR AS doc_id, round({dot('v', 'embedding')} / ((sqrt({dot('v', 'v')}) + 1e-9) * (sqrt({dot('embedding', 'embedding')}) + 1e-9)), 12) AS score FROM q CROSS JOIN embeddings)
             SELECT q_id, rank::INT AS rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 6""",
-        "apply_manifest": "SELECT doc_id, md5(list_reduce(list_prepend(markdown, list_transform(images, lambda i: i.placeholder)), lambda m, p: replace(m, p, '[Image (description automatique, non verifiee): ' || p || ' vue]'))) AS digest FROM docs WHERE len(images) > 0",
-        "prompt_chars": sql("SELECT s.doc_id, section_no, length(part) AS part_chars FROM sections s JOIN routed r USING (doc_id) WHERE r.route = 'full'", COUNTS, ROUTE, SECTIONS),
+        "apply_manifest": """
+            SELECT doc_id, md5(list_reduce(list_prepend(markdown, list_transform(images, lambda i: i.placeholder || chr(31) || CASE
+                     WHEN i.x1 - i.x0 < 24.0 OR i.bottom - i.top < 24.0 THEN '[Image decorative ignoree]'
+                     WHEN (i.page + i.idx) % 3 = 0 THEN '[Image (description automatique, non verifiee): ' || i.placeholder || ' vue]'
+                     WHEN (i.page + i.idx) % 3 = 1 THEN '[Image non decrite: TimeoutError]' ELSE i.placeholder END)),
+                   lambda m, p: replace(m, split_part(p, chr(31), 1), split_part(p, chr(31), 2)))) AS digest
+            FROM docs WHERE len(images) > 0""",
+        "prompt_chars": sql("SELECT doc_id, section_no, length(prompt) AS prompt_chars, md5(prompt) AS digest FROM prompts", COUNTS, ROUTE, RULES, INVENTORY, SECTIONS, SCOPE, PROMPTS),
     }
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docgauge.functions import text as tx
 from docgauge.operators import enrich, golden, inventory, judge, redundancy, retrieval, rules, scoring, screen, sections, signals
 from docgauge.plans import oracle
-from docgauge.plans.run import measured
+from docgauge.plans.run import measured, section_prompts
 from docgauge.session import cut, table
 from docgauge.sources import files as fs
 from docgauge.sources import parsed_store as ps
@@ -42,13 +42,15 @@ def _criteria(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).where(~tx.is_blank(F.col("markdown"))).select("doc_id", "parse_confidence")
-    return scoring.doc_scores(cut(_criteria(spark, d)), _grid(spark, d).weights, docs)
+    """Every document has a row: blank ones a zero row with their flag."""
+    docs, blank = _docs(spark, d), tx.is_blank(F.col("markdown"))
+    scored = scoring.doc_scores(cut(_criteria(spark, d)), _grid(spark, d).weights, docs.where(~blank).select("doc_id", "parse_confidence"))
+    return scored.unionByName(scoring.failed_scores(docs.where(blank), F.lit("unreadable")))
 
 
-def _full_sections(spark: SparkSession, d: str) -> DataFrame:
-    full = _routed(spark, d).where("route = 'full'").select("doc_id", "markdown")
-    return sections.sections(full)
+def _prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The judge's prompt of each section of the documents on the full route."""
+    return section_prompts(measured(_docs(spark, d), _grid(spark, d)), _grid(spark, d))
 
 
 def _sidecars(spark: SparkSession, d: str) -> DataFrame:
@@ -118,15 +120,17 @@ def _levels(s: SparkSession, d: str) -> DataFrame:
 def _confidence(s: SparkSession, d: str) -> DataFrame:
     c = signals.with_counts(_docs(s, d))
     cid = tx.ratio(F.col("c.cid"), F.col("c.len"), 4, 0.0)
-    conf = signals.parse_confidence(F.coalesce("markdown", F.lit("")), F.col("blocks"), F.lit(0), cid, F.lit(False))
-    return c.select("doc_id", conf.alias("confidence"))
+    side = _sidecars(s, d).select(F.col("stem").alias("doc_id"), "provenance.source_pages", (F.col("provenance.parser") == "fallback").alias("fallback"))
+    j = c.join(side, "doc_id", "left")
+    conf = signals.parse_confidence(F.coalesce("markdown", F.lit("")), F.col("blocks"), F.coalesce("source_pages", F.lit(0)), cid, F.coalesce("fallback", F.lit(False)))
+    return j.select("doc_id", conf.alias("confidence"))
 
 
 def _density(s: SparkSession, d: str) -> DataFrame:
-    n = F.length(F.coalesce("markdown", F.lit("")))
-    div = lambda k: F.call_function("div", n, F.lit(k))
-    words, images, pages = div(6), F.size(F.coalesce("images", F.array())), F.greatest(F.lit(1).cast("bigint"), div(3000))
-    return _docs(s, d).select("doc_id", fs.density_category(words, images, pages).alias("category"))
+    words = F.size(tx.tokens(F.coalesce("markdown", F.lit(""))))
+    page = F.transform(F.coalesce("blocks", F.array()), lambda b: F.coalesce(b["page"], F.lit(0)))
+    pages = F.coalesce(F.array_max(page), F.lit(0))
+    return _docs(s, d).select("doc_id", fs.density_category(words, F.size(F.coalesce("images", F.array())), pages).alias("category"))
 
 
 def _gate(s: SparkSession, d: str) -> DataFrame:
@@ -136,9 +140,11 @@ def _gate(s: SparkSession, d: str) -> DataFrame:
 
 
 def _manifest(s: SparkSession, d: str) -> DataFrame:
+    """A manifest with all branches: by page and number an image is described, failed, or left for later; small ones are decorative."""
     docs = _docs(s, d).where(F.size("images") > 0).select("doc_id", "markdown", "images")
-    told = docs.select("doc_id", F.explode("images.placeholder").alias("placeholder")).withColumns({"description": F.concat("placeholder", F.lit(" vue")), "error": F.lit(None).cast("string")})
-    return enrich.apply_descriptions(docs, told, min_side=0.0).select("doc_id", F.md5("markdown").alias("digest"))
+    told = docs.select("doc_id", F.explode("images").alias("im")).select("doc_id", "im.placeholder", ((F.col("im.page") + F.col("im.idx")) % 3).alias("k"))
+    told = told.withColumns({"description": F.when(F.col("k") == 0, F.concat("placeholder", F.lit(" vue"))).when(F.col("k") == 2, F.lit(" ")), "error": F.when(F.col("k") == 1, F.lit("TimeoutError"))})
+    return enrich.apply_descriptions(docs, told).select("doc_id", F.md5("markdown").alias("digest"))
 
 
 def _guard(s: SparkSession, d: str) -> DataFrame:
@@ -146,8 +152,12 @@ def _guard(s: SparkSession, d: str) -> DataFrame:
 
 
 def _golden_sources(s: SparkSession, d: str) -> DataFrame:
-    g = table(s, d, "golden").where("id like 'corpus-%'").select("id", "sources").distinct()
-    return g.select("id", F.explode(F.split("sources", "; ")).alias("source"))
+    """Sources of each corpus question: the documents of its retrieved excerpts, in order of rank."""
+    docs = _docs(s, d).where(~tx.is_blank(F.col("markdown")))
+    index = cut(retrieval.embed(retrieval.chunks(docs), retrieval.letter_counts))
+    asked = table(s, d, "golden").where("id like 'corpus-%'").where(~tx.is_blank(F.col("question"))).groupBy(F.col("id").alias("q_id")).agg(F.min("question").alias("question"))
+    hits = cut(retrieval.retrieve(index, retrieval.embed(asked, retrieval.letter_counts, "question"), 6))
+    return golden.contexts(hits.join(index.drop("emb"), ["doc_id", "chunk_no"])).select(F.col("q_id").alias("id"), "sources")
 
 
 def _changed(s: SparkSession, d: str) -> DataFrame:
@@ -188,8 +198,8 @@ def queries() -> dict[str, Query]:
         "detail": _detail,
         "synthesis": lambda s, d: scoring.synthesis(_scores(s, d)),
         "corpus_levels": _levels,
-        "judge_cost": lambda s, d: _full_sections(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_calls"), F.sum(F.length("section_text")).alias("section_chars")),
-        "prompt_chars": lambda s, d: _full_sections(s, d).select("doc_id", "section_no", F.length("section_text").alias("part_chars")),
+        "judge_cost": lambda s, d: judge.judge_cost(_prompts(s, d), F.col("prompt")),
+        "prompt_chars": lambda s, d: _prompts(s, d).select("doc_id", "section_no", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("digest")),
         "parse_confidence": _confidence,
         "exact_duplicates": lambda s, d: redundancy.exact_groups(_docs(s, d)),
         "near_duplicates_vec": _near,

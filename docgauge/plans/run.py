@@ -26,12 +26,11 @@ def measured(docs: DataFrame, grid: Grid) -> DataFrame:
     return screen.with_route(rules.with_rule_scores(d))
 
 
-def judged_sections(m: DataFrame, grid: Grid, client: Callable[[], Client], size: int = 8000, overlap: int | None = None) -> DataFrame:
-    """One judge call per section of the documents on the full route: doc_id, section_no, prompt, response, error."""
+def section_prompts(m: DataFrame, grid: Grid, size: int = 8000, overlap: int | None = None) -> DataFrame:
+    """One judge prompt per section of the documents on the full route that have something to judge: doc_id, section_no, prompt."""
     full = m.where("route = 'full'").select("doc_id", "markdown", "na", "d_scores").withColumn("scope", judge.scope(grid.criteria)).where(F.size("scope") > 0)
     s = sections.sections(full, "markdown", size, overlap)
-    prompts = s.select("doc_id", "section_no", judge.batch_prompt(F.col("scope"), F.col("section_text"), grid.scale_max).alias("prompt"))
-    return answer(prompts, client)
+    return s.select("doc_id", "section_no", judge.batch_prompt(F.col("scope"), F.col("section_text"), grid.scale_max).alias("prompt"))
 
 
 @dataclass
@@ -57,10 +56,14 @@ def score_corpus(docs: DataFrame, grid: Grid, client: Callable[[], Client] | Non
     unsupported = docs.where("category = 'unsupported_format'")
     rest = docs.where("category <> 'unsupported_format' or category is null")
     blank = rest.where(tx.is_blank(F.col("markdown")))
-    m = cut(measured(rest.where(~tx.is_blank(F.col("markdown"))), grid))
+    # Only narrow columns are kept; the texts of the full route are read again where they lie.
+    live = rest.where(~tx.is_blank(F.col("markdown")))
+    m = cut(measured(live, grid).select("doc_id", "parse_confidence", "na", "d_scores", "route", "reason_text", "auto_descriptions"))
     setting = config.get("judge", {})
     overlap = setting.get("section_overlap", "auto")
-    asked = judged_sections(m, grid, client, int(setting.get("section_chars", 8000)), None if str(overlap).lower() == "auto" else int(overlap))
+    full = live.select("doc_id", "markdown").join(m.where("route = 'full'").select("doc_id", "route", "na", "d_scores"), "doc_id")
+    prompts = section_prompts(full, grid, int(setting.get("section_chars", 8000)), None if str(overlap).lower() == "auto" else int(overlap))
+    asked = answer(prompts, client)
     verdicts = cut(judge.verdicts_from_json(asked))
     voided = verdicts.where("voids").select("doc_id", F.lit("AttributeError").alias("error"))
     errors = cut(failed_documents(asked).unionByName(voided).groupBy("doc_id").agg(F.min("error").alias("error")))

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgauge.functions import text as tx
+
 TEXT, OFFICE, PDF = ("txt", "md"), ("docx", "pptx"), ("pdf",)
 SUPPORTED = TEXT + OFFICE + PDF
 RAW_ONLY = tuple(x for x in SUPPORTED if x != "md")
@@ -309,6 +311,6 @@ def with_confidence(parsed: DataFrame) -> DataFrame:
     from docgauge.operators.signals import GLYPH, parse_confidence
 
     n = F.length("markdown")
-    cid = F.when(n > 0, F.least(F.lit(1.0), (n - F.length(F.regexp_replace("markdown", GLYPH, ""))) / n)).otherwise(0.0)
-    conf = parse_confidence(F.col("markdown"), F.col("blocks"), F.coalesce("pages", F.lit(0)), F.round(cid, 4), F.col("fallback"))
+    cid = tx.ratio(n - F.length(F.regexp_replace("markdown", GLYPH, "")), n, 4, 0.0)
+    conf = parse_confidence(F.col("markdown"), F.col("blocks"), F.coalesce("pages", F.lit(0)), cid, F.col("fallback"))
     return parsed.withColumn("parse_confidence", conf).drop("fallback")
