@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import compress
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,14 @@ def cells(line: str) -> tuple[str, list[str]]:
     return "", [line]
 
 
+def word_before(text: str) -> str:
+    """The word before the last character of a text."""
+    at = end = len(text) - 1
+    while at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+        at -= 1
+    return text[at:end].lower()
+
+
 def end_state(text: str) -> tuple[str, str | None]:
     """(state, what to ask about) of the end of one text.
 
@@ -131,9 +140,8 @@ def end_state(text: str) -> tuple[str, str | None]:
     core = re.sub(r"[\s»”\"')\]*_]+$", "", body)
     if URL.search(body.rstrip(")>] ")):
         return "still", None
-    tail = re.search(r"(\w+)\.$", core)
     if core[-1:] in tuple(".!?。"):
-        return ("cut" if tail and tail.group(1).lower() in ABBREVIATIONS else "whole"), None
+        return ("cut" if core.endswith(".") and word_before(core) in ABBREVIATIONS else "whole"), None
     if core[-1:] == ",":
         return "run", closing_token(t)
     if core[-1:] in tuple(":'’(/") or (core[-1:] in tuple("-–—") and not item):
@@ -152,7 +160,7 @@ def end_state(text: str) -> tuple[str, str | None]:
     return "run", closing_token(t)
 
 
-NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+NUMBER = re.compile(r"[0-9]+(?:[.,][0-9]+)*")
 
 
 def folded(text: str) -> str:
@@ -181,6 +189,11 @@ EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 SENTENCE = re.compile(r"[.!?;]\s")
 
 
+def has_cells(line: str) -> bool:
+    """False for lines that ``CELL_END`` certainly leaves whole: a test without a pattern."""
+    return "|" in line or "   " in line or "\t" in line or '","' in line or line.count(";") > line.count("; ") + line.endswith(";")
+
+
 def line_words(line: str) -> list[str]:
     """Words of a folded line or cell, without marker and closing punctuation."""
     if not line[:1].isalpha() or line[1:2] in (".", ")"):
@@ -192,7 +205,7 @@ def _line_key(line: str | None) -> list[str]:
     return line_words(folded(line)) if line else []
 
 
-RECORD = "doc_id long, digest string, n_words int, state string, closing string, words array<string>, top array<long>, heads array<long>"
+RECORD = "doc_id long, source string, digest string, n_words int, state string, closing string, words array<string>, top array<long>, heads array<long>"
 
 
 def records(documents: DataFrame) -> DataFrame:
@@ -204,20 +217,20 @@ def records(documents: DataFrame) -> DataFrame:
             for at in range(0, len(pdf), BLOCK):
                 part = pdf.iloc[at : at + BLOCK]
                 texts = [None if t is None or not t.strip() else t for t in part["text"]]
-                ws = [mh.words(t) for t in texts]
+                ws = [t.lower().split() if t else [] for t in texts]
                 if len(known) > MEMO:
                     known.clear()
                 rows = []
-                for k, t, w, keys in zip(part["doc_id"], texts, ws, mh.head_bands(ws, known)):
+                for k, src, t, w, keys in zip(part["doc_id"], part["source"], texts, ws, mh.head_bands(ws, known)):
                     if t is None:
-                        rows.append((k, None, 0, "whole", None, [], [], []))
+                        rows.append((k, src, None, 0, "whole", None, None, None, None))
                     else:
                         state, closing = end_state(t)
-                        line = _line_key(closing) if state in ("ask", "item") else []
-                        rows.append((k, hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest(), len(w), state, closing, line, keys[-1] if keys else [], [x for ks in keys[:-1] for x in ks]))
-                yield pd.DataFrame(rows, columns=["doc_id", "digest", "n_words", "state", "closing", "words", "top", "heads"])
+                        line = _line_key(closing) if state in ("ask", "item") else None
+                        rows.append((k, src, hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest(), len(w), state, closing, line, keys[-1] if len(keys) else None, keys[:-1].ravel() if len(keys) > 1 else None))
+                yield pd.DataFrame(rows, columns=["doc_id", "source", "digest", "n_words", "state", "closing", "words", "top", "heads"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, RECORD)
+    return documents.select("doc_id", "text", source_name(F.col("source")).alias("source")).mapInPandas(run, RECORD)
 
 
 def ends_early(short: list[str], long: list[str], anchor: int = ANCHOR) -> bool:
@@ -237,24 +250,38 @@ def goes_on(last: str, there: str, left: int) -> bool:
 GRAMS = "digest string, gram long, word string, left_words int"
 
 
-def _grams(texts: DataFrame, closing_only: bool) -> DataFrame:
-    """Hashes of ``ANCHOR`` words of each text, the word after them and how many words follow it."""
+def _grams(texts: DataFrame, wanted=None) -> DataFrame:
+    """Hashes of ``ANCHOR`` words of each text, the word after them and how many words follow it.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+    ``wanted``: a broadcast sorted array of the hashes asked for; None for the closing one of each text; "all" for all.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
         for pdf in batches:
             rows = []
             for d, t in zip(pdf["digest"], pdf["text"]):
                 ws = mh.words(t)
                 n = len(ws) - ANCHOR
-                for i in range(max(0, n - 1) if closing_only else 0, n):
-                    rows.append((d, xxhash.xxh64_intdigest(" ".join(ws[i : i + ANCHOR])) - (1 << 63), ws[i + ANCHOR], n - 1 - i))
+                if n <= 0:
+                    continue
+                if len(known) > MEMO:
+                    known.clear()
+                h = mh.shingles(ws[-ANCHOR - 1 :] if wanted is None else ws, known, ANCHOR, False).view("int64")[:-1]
+                at = range(len(h)) if wanted is None or wanted == "all" else _places(h, wanted.value)
+                n = len(h)
+                rows += [(d, int(h[i]), ws[i - n], n - 1 - i) for i in at]
             yield pd.DataFrame(rows, columns=["digest", "gram", "word", "left_words"])
 
     return texts.select("digest", "text").mapInPandas(run, GRAMS)
 
 
+def _places(h: np.ndarray, wanted: np.ndarray) -> list[int]:
+    if not len(wanted):
+        return []
+    return np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h).tolist()
+
+
 def near_copies(rec: DataFrame, documents: DataFrame) -> DataFrame:
     """Records that end early in a near-copy: (digest, partner, similarity), one row per distinct text, by digest.
 
@@ -263,32 +290,36 @@ def near_copies(rec: DataFrame, documents: DataFrame) -> DataFrame:
     first held against the longest text of each continuation, and where that is no near-copy, against every candidate; so
     a hot group of copies costs a row per record, and none is missed.
     """
-    reps = rec.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max(F.col("state") != "whole").alias("asked"), F.any_value("top").alias("top"), F.any_value("heads").alias("heads"))
-    reps = cut(reps)
-    band = reps.select(F.explode(F.concat("top", "heads")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    looked = reps.where("asked").select(F.explode("top").alias("key")).distinct()
-    shared = cut(band.where("n > 1").join(looked, "key", "left_semi").select("key"))
-    few = shared.count() <= SENT
-    hint = lambda df: F.broadcast(df) if few else df
-    askers = reps.where("asked").select("digest", F.explode("top").alias("key")).join(hint(shared), "key", "left_semi").select("digest").distinct().withColumn("asks", F.lit(True))
-    holders = reps.select("digest", F.explode(F.concat("top", "heads")).alias("key")).join(hint(shared), "key", "left_semi").select("digest").distinct()
-    involved = cut(reps.join(holders, "digest", "left_semi").join(askers, "digest", "left").select("doc_id", "digest", "n_words", "top", F.concat("top", "heads").alias("bands"), F.coalesce("asks", F.lit(False)).alias("asks")))
+    live = rec.where("n_words > 0").select("digest", "doc_id", "n_words", (F.col("state") != "whole").alias("asked"), "top", "heads")
+    keyed = live.select("digest", "asked", F.explode("top").alias("key")).unionByName(live.select("digest", F.lit(False).alias("asked"), F.explode("heads").alias("key")))
+    looked = cut(keyed.where("asked").select("key").distinct())
+    hits = cut(keyed.join(F.broadcast(looked) if looked.count() <= SENT else looked, "key"))
+    shared = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Exact copies share all keys and count once here, by digest.
+    sharing = hits.join(shared, "key").groupBy("digest").agg(F.max("asked").alias("asks"))
+    one = live.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_words"), "doc_id").alias("r"))
+    involved = cut(one.join(sharing, "digest").select("digest", "r.*", "asks"))
     # A few candidates go to where the texts lie; many are joined by shuffling.
     ids = involved.select("doc_id", "digest", "asks")
     texts = cut(documents.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id").select("digest", "asks", "text"))
-    ends = _grams(texts.where("asks"), True).select(F.col("digest").alias("a"), "gram", F.col("word").alias("last"))
-    inner = cut(_grams(texts, False).join(ends.select("gram").distinct(), "gram", "left_semi").join(involved.select("digest", "n_words"), "digest"))
+    ends = cut(_grams(texts.where("asks")).select(F.col("digest").alias("a"), "gram", F.col("word").alias("last")))
+    if ends.count() <= SENT:
+        wanted = rec.sparkSession.sparkContext.broadcast(np.sort(ends.select("gram").distinct().toPandas()["gram"].to_numpy(dtype=np.int64)))
+        inner = _grams(texts, wanted)
+    else:
+        inner = _grams(texts, "all").join(ends.select("gram").distinct(), "gram", "left_semi")
+    inner = cut(inner.join(involved.select("digest", "n_words"), "digest"))
     on = F.when(F.col("word") == F.col("last"), F.col("left_words") > 0).otherwise(F.startswith(F.col("word"), F.col("last")))
     b = F.struct("n_words", "digest")
-    longest = inner.groupBy("gram", "word", (F.col("left_words") > 0).cast("int").alias("left_words")).agg(F.max(b).alias("m"), F.min(b).alias("m2"))
-    first = longest.select("gram", "word", "left_words", F.explode(F.array_distinct(F.array("m", "m2"))).alias("m")).join(ends, "gram").where(on)
-    first = cut(first.select("a", F.col("m.digest").alias("b")).where("a <> b").distinct())
+    longest = inner.groupBy("gram", "word", (F.col("left_words") > 0).cast("int").alias("left_words")).agg(F.max(b).alias("m"))
+    first = cut(longest.join(ends, "gram").where(on).select("a", F.col("m.digest").alias("b")).where("a <> b").distinct())
     got = cut(_verified(first, texts))
-    rest = ends.join(got.select(F.col("digest").alias("a")), "a", "left_anti")
-    bands = involved.select("digest", "bands", "top")
-    every = inner.join(rest, "gram").where(on).select("a", F.col("digest").alias("b")).where("a <> b").distinct().join(first, ["a", "b"], "left_anti")
-    every = every.join(bands.select(F.col("digest").alias("a"), "top"), "a").join(bands.select(F.col("digest").alias("b"), "bands"), "b").where(F.arrays_overlap("top", "bands")).select("a", "b")
-    return got.unionByName(_verified(every, texts))
+    rest = cut(inner.join(ends.join(got.select(F.col("digest").alias("a")), "a", "left_anti"), "gram").where(on).select("a", F.col("digest").alias("b")).where("a <> b").distinct().join(first, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return got
+    bands = live.select("digest", "top", F.concat("top", F.coalesce("heads", F.array().cast("array<long>"))).alias("bands")).join(one.select("r.doc_id", "digest"), "digest").dropDuplicates(["digest"])
+    rest = rest.join(bands.select(F.col("digest").alias("a"), "top"), "a").join(bands.select(F.col("digest").alias("b"), "bands"), "b").where(F.arrays_overlap("top", "bands")).select("a", "b")
+    return got.unionByName(_verified(rest, texts))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -350,20 +381,21 @@ def _counts(mine: DataFrame, ask: DataFrame, sent: bool) -> DataFrame:
         def flush() -> pd.DataFrame:
             rows = [("l", a, None, n, whole[a]) for a, n in begun.items()]
             both: dict[tuple[str, str], list[int]] = {}
-            for (a, b, last), n in pair.items():
+            for (a, b), n in pair.items():
                 if word := EDGE.sub("", b):
                     x = both.setdefault((a, word), [0, 0])
                     x[0] += n
-                    x[1] += n * last
+                    x[1] += n * b.endswith("\n")
             rows += [("p", a, b, *x) for (a, b), x in both.items()]
             marks: dict[str, list[int]] = {}
-            for t, n in seen.items():
-                x = marks.setdefault(closing_mark(t), [0, 0])
-                x[0] += n
-                x[1] += stop[t]
-                if tokens is None or t in tokens:
-                    rows.append(("t", t, None, n, stop[t]))
-            rows += [("m", a, None, *x) for a, x in marks.items()]
+            held: dict[str, list[int]] = {}
+            for c, i in ((seen, 0), (stop, 1)):
+                for t, n in c.items():
+                    t = t.rstrip("\n")
+                    marks.setdefault(closing_mark(t), [0, 0])[i] += n
+                    if tokens is None or t in tokens:
+                        held.setdefault(t, [0, 0])[i] += n
+            rows += [("t", a, None, *x) for a, x in held.items()] + [("m", a, None, *x) for a, x in marks.items()]
             for c in (begun, whole, pair, seen, stop):
                 c.clear()
             return pd.DataFrame(rows, columns=["kind", "a", "b", "n", "ends"])
@@ -371,27 +403,24 @@ def _counts(mine: DataFrame, ask: DataFrame, sent: bool) -> DataFrame:
         for pdf in batches:
             for t in pdf["text"]:
                 low = folded(t)
-                seen.update(low.split()[:-1])
-                lines = low.split("\n")
+                lines = low.rstrip().split("\n")
+                end = len(lines) - 1
+                celled = ";" in low or "|" in low or "   " in low or "\t" in low or '"' in low
                 flat: list[str] = []
                 for i, x in enumerate(lines):
-                    if ";" in x or "|" in x or "   " in x or "\t" in x or '"' in x:
-                        parts = CELL_END.split(x)
-                    else:
-                        parts = (x,)
+                    parts = CELL_END.split(x) if celled and has_cells(x) else (x,)
                     for part in parts:
                         ws = line_words(part)
                         if not ws:
                             continue
-                        n = len(ws)
                         if tree is None:
-                            key = ""
+                            n, key = len(ws), ""
                             for k, w in enumerate(ws[:SHORT], 1):
                                 key = f"{key} {w}" if key else w
                                 begun[key] += 1
                                 whole[key] += k == n
                         else:
-                            at = tree
+                            n, at = len(ws), tree
                             for k, w in enumerate(ws[:SHORT], 1):
                                 at = at.get(w)
                                 if at is None:
@@ -399,15 +428,20 @@ def _counts(mine: DataFrame, ask: DataFrame, sent: bool) -> DataFrame:
                                 if (line := at.get("")) is not None:
                                     begun[line] += 1
                                     whole[line] += k == n
+                        ws[-1] += "\n"
                         flat.append("")
                         flat += ws
                     # A running paragraph that another one follows.
-                    if len(parts) == 1 and i + 1 < len(lines) and x and not lines[i + 1].strip() and (x.count(" ") >= SHORT or SENTENCE.search(x)) and any(map(str.strip, lines[i + 1 :])):
-                        stop[x.split()[-1]] += 1
-                flat.append("")
-                # (word before or "", word, whether it ends the line)
-                triples = zip(flat, flat[1:], map(_NOTHING, flat[2:]))
-                pair.update(triples if prevs is None else compress(triples, map(prevs.__contains__, flat)))
+                    if i < end and x and len(parts) == 1 and (not lines[i + 1] or lines[i + 1].isspace()) and (x.count(" ") >= SHORT or SENTENCE.search(x)):
+                        token = x.rsplit(None, 1)[-1]
+                        stop[token] += 1
+                        if flat and flat[-1] != token + "\n":  # counted here with its mark, not without
+                            flat[-1] = token + "\n"
+                if not flat:
+                    continue
+                pair.update(zip(flat, flat[1:]) if prevs is None else compress(zip(flat, flat[1:]), map(prevs.__contains__, flat)))
+                flat.pop()  # the end of the text says nothing about the token
+                seen.update(flat)
             if len(pair) + len(begun) + len(seen) > MEMO:
                 yield flush()
         yield flush()
@@ -420,12 +454,9 @@ def _counts(mine: DataFrame, ask: DataFrame, sent: bool) -> DataFrame:
     return cut(got)
 
 
-_NOTHING = "".__eq__
-
-
 def terminality(rec: DataFrame, documents: DataFrame) -> DataFrame:
     """Digest and verdict ``torn`` of every text whose closing token or line has to be asked about."""
-    n = F.size("words")
+    n = F.coalesce(F.size("words"), F.lit(0))
     asked = rec.where("state in ('ask', 'item', 'run')").groupBy("digest").agg(*[F.any_value(c).alias(c) for c in ("closing", "words", "state")], (F.count(F.lit(1)) - 1).alias("copies"))
     tidy = F.regexp_replace(F.element_at("words", -1), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     line = (F.col("state") != "run") & (n > 0)
@@ -435,8 +466,8 @@ def terminality(rec: DataFrame, documents: DataFrame) -> DataFrame:
             F.when(line, F.when(n > 1, F.element_at("words", -2)).otherwise(F.lit(""))).alias("prev"), F.when(line, tidy).alias("word"), F.when(~line, F.col("closing")).alias("token"),
         )
     )
-    keys = asked.select("line_text", "prev", "token").distinct()
-    got = _counts(documents.where(F.length("text") > 0), asked, keys.count() <= SENT)
+    sent = asked.select("line_text", "prev", "token").distinct().count() <= SENT
+    got = _counts(documents.where(F.length("text") > 0), asked, sent)
     return _torn_lines(asked.where("token is null"), got).unionByName(_torn_tokens(asked.where("token is not null"), got))
 
 
@@ -481,15 +512,15 @@ def verdicts(documents: DataFrame) -> DataFrame:
     rec = cut(records(documents))
     early = near_copies(rec, documents).select("digest", F.lit(True).alias("early"))
     asked = terminality(rec, documents).select("digest", "torn")
-    j = rec.join(asked, "digest", "left").join(early, "digest", "left")
+    told = asked.join(early, "digest", "full")
+    j = rec.join(told, "digest", "left")
     torn, aligned = F.coalesce("torn", F.lit(False)), F.coalesce("early", F.lit(False))
     evidence = (
         F.when((F.col("state") != "whole") & aligned, "alignment")
         .when(F.col("state").isin("ask", "item", "run") & torn, "terminality")
         .when(F.col("state") == "cut", "structure")
     )
-    src = documents.select("doc_id", source_name(F.col("source")).alias("source"))
-    return src.join(j.select("doc_id", evidence.alias("evidence")), "doc_id").select("doc_id", "source", F.col("evidence").isNotNull().alias("cut"), "evidence")
+    return j.select("doc_id", "source", evidence.isNotNull().alias("cut"), evidence.alias("evidence"))
 
 
 def by_source(documents: DataFrame) -> DataFrame:
