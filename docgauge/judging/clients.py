@@ -99,6 +99,19 @@ class Manual(Client):
         return self.filled.get(context.split("|", 1)[1] if "|" in context else "", "")
 
 
+def read_manifest(path: str | None) -> dict[str, str]:
+    """Descriptions that a person has filled in: placeholder -> text. None, a missing or a broken file has none."""
+    from docgauge.sinks import paths
+
+    try:
+        fs, p = paths.at(path or "")
+        with fs.open_input_stream(p) as f:
+            rows = json.loads(f.read())
+        return {r["placeholder"]: r["description"].strip() for r in rows if r.get("placeholder") and (r.get("description") or "").strip()}
+    except (OSError, ValueError, AttributeError, TypeError):
+        return {}
+
+
 def factory(config: dict) -> Callable[[], Client]:
     """A function that builds the configured client on a worker; an unknown provider is refused at once."""
     provider = config.get("provider", "mock")
@@ -109,5 +122,6 @@ def factory(config: dict) -> Callable[[], Client]:
     if provider in ("command", "claude_cli"):
         return lambda: CommandLine({"command": ["claude", "-p", "--output-format", "json"], **config})
     if provider == "manual":
-        return lambda: Manual(config.get("filled", {}))
+        filled = config.get("filled") or read_manifest(config.get("manifest"))
+        return lambda: Manual(filled)
     raise ValueError(f"unknown provider: {provider}")

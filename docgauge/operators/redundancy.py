@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,22 +27,35 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "markdown") -
     return d.join(g, "h").select("doc_id", "group_id", "n_docs")
 
 
-def near_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", tables: int = 16, bits: int = 10, bucket: int = 1024, seed: int = 11) -> DataFrame:
-    """Verified near duplicates: (a, b, score) with cosine of at least ``threshold``, a < b.
+def hyperplanes(n: int, threshold: float, bucket: int, recall: float) -> tuple[int, int]:
+    """(bits of a key, tables) for ``n`` vectors: buckets of about ``bucket`` vectors, and as many tables as longer keys need.
+
+    Two vectors of cosine c agree in a bit with probability 1 - arccos(c) / pi; a pair at the threshold is missed by all
+    tables with probability of at most 1 - ``recall``, at every size.
+    """
+    bits = min(60, max(10, math.ceil(math.log2(max(1, n) / bucket))))
+    together = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return bits, max(16, math.ceil(math.log(1 - recall) / math.log(1 - together)) if together < 1 else 1)
+
+
+def near_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", bucket: int = 1024, recall: float = 0.98, seed: int = 11) -> DataFrame:
+    """Verified near duplicates: (a, b, score, copy) with cosine of at least ``threshold``, a < b.
 
-    Candidates share a bucket of ``bits`` random hyperplanes in one of ``tables`` tables. All pairs of a bucket are
-    compared, whatever its size: one of more than ``bucket`` vectors is dealt into blocks of about that many, and every two
-    blocks are compared in a group of their own. So whether a pair is found depends on its angle only. Equal vectors are
-    collapsed to their first id beforehand and linked to it, so copies are not expanded into all pairs.
+    Candidates share a bucket of random hyperplanes in one of several tables; ``hyperplanes`` sets both numbers so that the
+    share of pairs found stays at ``recall`` or above whatever the number of vectors. All pairs of a bucket are compared:
+    one of more than ``bucket`` vectors is dealt into blocks of about that many, and every two blocks are compared in a
+    group of their own. So whether a pair is found depends on its angle only. Equal vectors are collapsed to their first id
+    beforehand: rows with ``copy`` are the membership of a copy b in the class of a, all others pair first ids.
     """
     import pandas as pd
 
     unit = vectors.where(F.size(vector) > 0).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     unit = unit.withColumn("h", F.xxhash64("v"))
     first = unit.groupBy("h").agg(F.min("id").alias("rep"))
-    copies = unit.select("id", "h").join(first, "h").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    copies = unit.select("id", "h").join(first, "h").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"), F.lit(True).alias("copy"))
     reps = cut(unit.join(first, "h").where("id = rep").select("id", "v"))
     kind = reps.schema["id"].dataType.simpleString()
+    bits, tables = hyperplanes(reps.count(), threshold, bucket, recall)
 
     def keys(batches):
         for pdf in batches:
@@ -82,7 +97,27 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id",
     placed = coded.join(size, ["t", "p"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     groups = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("id", "t", "p", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     near = groups.join(reps, "id").repartition("t", "p", "i", "j").sortWithinPartitions("t", "p", "i", "j").mapInPandas(compare, f"a {kind}, b {kind}, score double")
-    return near.groupBy("a", "b").agg(F.round(F.max("score"), 3).alias("score")).unionByName(copies)
+    return near.groupBy("a", "b").agg(F.round(F.max("score"), 3).alias("score")).withColumn("copy", F.lit(False)).unionByName(copies)
+
+
+def corpus_redundancy(docs: DataFrame, encoder=None, threshold: float = 0.9, key: str = "doc_id", text: str = "markdown") -> tuple[DataFrame, DataFrame | None, str]:
+    """(exact groups, near pairs or None, status) of a corpus. ``encoder`` maps texts to vectors, see ``retrieval.embed``.
+
+    Near duplicates are an extra: without an encoder, without documents, or when it fails, the status says so and the
+    exact groups stand. Equal texts are in the groups; only pairs of different texts are near ones.
+    """
+    from docgauge.operators.retrieval import embed
+
+    exact = exact_groups(docs, key, text)
+    if encoder is None:
+        return exact, None, "skipped: aucun encodeur"
+    live = docs.where(~tx.is_blank(F.col(text))).select(F.col(key).alias("vec_id"), F.col(text).alias("text"))
+    if live.isEmpty():
+        return exact, None, "skipped: aucun document"
+    try:
+        return exact, cut(near_pairs(embed(live, encoder, "text", "embedding").drop("text"), threshold).where("not copy").drop("copy")), "ok"
+    except Exception as e:
+        return exact, None, f"skipped: {type(e).__name__}"
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -254,7 +254,9 @@ def oracle_sql() -> dict[str, str]:
             COUNTS,
         ),
         "image_gate": "SELECT doc_id, im.placeholder AS placeholder, (im.x1 - im.x0 < 24.0 OR im.bottom - im.top < 24.0) AS decorative, trunc(im.x0 * 2.0)::INT AS px, trunc(im.top * 2.0)::INT AS py FROM (SELECT doc_id, unnest(images) AS im FROM docs)",
-        "near_duplicates_vec": f"SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {dot('a.embedding', 'b.embedding')} / (sqrt({dot('a.embedding', 'a.embedding')}) * sqrt({dot('b.embedding', 'b.embedding')})) >= 0.95",
+        "near_duplicates_vec": f"""WITH k AS (SELECT *, min(vec_id) OVER (PARTITION BY embedding) AS first_id FROM embeddings), r AS (SELECT * FROM k WHERE vec_id = first_id)
+            SELECT a.vec_id AS a, b.vec_id AS b, false AS copy FROM r a JOIN r b ON a.vec_id < b.vec_id WHERE {dot('a.embedding', 'b.embedding')} / (sqrt({dot('a.embedding', 'a.embedding')}) * sqrt({dot('b.embedding', 'b.embedding')})) >= 0.95
+            UNION ALL SELECT first_id, vec_id, true FROM k WHERE vec_id <> first_id""",
         "retrieve_topk": f"""WITH q AS (SELECT vec_id AS q_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0),
             s AS (SELECT q_id, vec_id::VARCHAR AS doc_id, round({dot('v', 'embedding')} / ((sqrt({dot('v', 'v')}) + 1e-9) * (sqrt({dot('embedding', 'embedding')}) + 1e-9)), 12) AS score FROM q CROSS JOIN embeddings)
             SELECT q_id, rank::INT AS rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 6""",

@@ -167,7 +167,7 @@ def _changed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _near(s: SparkSession, d: str) -> DataFrame:
-    return redundancy.near_pairs(table(s, d, "embeddings"), 0.95).select("a", "b")
+    return redundancy.near_pairs(table(s, d, "embeddings"), 0.95).select("a", "b", "copy")
 
 
 def _topk(s: SparkSession, d: str) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from docgauge.functions import text as tx
 from docgauge.judging.clients import Client, factory
-from docgauge.judging.run import answer, failed_documents
+from docgauge.judging.run import answer, describe, failed_documents
 from docgauge.operators import golden as gq
-from docgauge.operators import inventory, judge, retrieval, rules, scoring, screen, sections, signals
+from docgauge.operators import enrich, inventory, judge, retrieval, rules, scoring, screen, sections, signals
 from docgauge.session import cut
 from docgauge.sources import files as fs
 from docgauge.sources import parsed_store as ps
+from docgauge.sources import pdf
 from docgauge.sources.grid import Grid
 
 
@@ -86,17 +87,28 @@ def score_corpus(docs: DataFrame, grid: Grid, client: Callable[[], Client] | Non
     return Scored(rows, crit, cost, errors)
 
 
-def parse_folder(spark: SparkSession, folder: str, pdf_readers: list | None = None, pdf_counter=None, existing: DataFrame | None = None, force: bool = False, parser: str = "docling") -> DataFrame:
-    """Parsed documents of a raw folder with provenance; entries that exist are skipped unless ``force``.
+def plan_folder(spark: SparkSession, folder: str, existing: DataFrame | None = None, force: bool = False, pdf_counter=pdf.count) -> tuple[DataFrame, DataFrame]:
+    """(scanned files, plan): triage of each file with what to do (write or skip) and whether a skipped one has changed.
 
-    Two sources with one name are refused. Unsupported files become empty documents.
+    Two sources with one name are refused.
     """
     files = fs.scan(spark, folder)
     triaged = cut(fs.triage(files, pdf_counter))
     ps.refuse_colliding(triaged)
-    if existing is not None:
-        triaged = ps.plan_parse(triaged, existing, force).where("action = 'write'").drop("action", "source_changed")
-    parsed = fs.with_confidence(fs.parse(files.join(triaged.select("path"), "path", "left_semi"), triaged, pdf_readers))
+    if existing is None:
+        existing = spark.createDataFrame([], "doc_id string, source_sha256 string")
+    return files, cut(ps.plan_parse(triaged, existing, force))
+
+
+def parse_planned(files: DataFrame, plan: DataFrame, pdf_readers: list | None = None, extractor: fs.Extractor | None = None, batch_pages: int = fs.BATCH_PAGES, parser: str = "builtin") -> DataFrame:
+    """Parsed documents of the planned files that are to be written, with provenance. Unsupported files become empty documents.
+
+    ``extractor``: a heavy extractor of PDF pages, called for ``batch_pages`` pages at a time.
+    """
+    triaged = plan.where("action = 'write'").drop("action", "source_changed")
+    chosen = files.join(triaged.select("path"), "path", "left_semi")
+    extracted = fs.extract_pages(chosen, triaged, extractor, batch_pages) if extractor else None
+    parsed = fs.with_confidence(fs.parse(chosen, triaged, pdf_readers, extracted))
     direct = F.col("type").isin(*fs.TEXT, *fs.OFFICE)
     prov = triaged.select(
         "doc_id", "category", "type",
@@ -108,6 +120,23 @@ def parse_folder(spark: SparkSession, folder: str, pdf_readers: list | None = No
     return parsed.drop("pages").join(prov, "doc_id")
 
 
+def parse_folder(spark: SparkSession, folder: str, pdf_readers: list | None = None, pdf_counter=pdf.count, existing: DataFrame | None = None, force: bool = False, extractor: fs.Extractor | None = None, batch_pages: int = fs.BATCH_PAGES, parser: str = "builtin") -> DataFrame:
+    """Parsed documents of a raw folder with provenance; entries that exist are skipped unless ``force``."""
+    files, plan = plan_folder(spark, folder, existing, force, pdf_counter)
+    return parse_planned(files, plan, pdf_readers, extractor, batch_pages, parser)
+
+
+def described(docs: DataFrame, client: Callable[[], Client], min_side: float = enrich.MIN_SIDE, render=None) -> tuple[DataFrame, DataFrame]:
+    """(documents with their images described, the descriptions with page and context). Documents with images are marked
+    as enriched; a failing image leaves its error in the text, never costs the document."""
+    images = cut(enrich.images_to_describe(docs.where(F.size("images") > 0), min_side))
+    told = describe(images, client, render)
+    out = enrich.apply_descriptions(docs, told, min_side)
+    if "provenance" in docs.columns:
+        out = out.withColumn("provenance", F.col("provenance").withField("enriched", F.size("images") > 0))
+    return out, told.join(images.select("doc_id", "placeholder", "page", "context"), ["doc_id", "placeholder"])
+
+
 def golden_set(docs: DataFrame, client: Callable[[], Client], profile: str = "utilisateur metier", policy: str = "", n_questions="auto", corpus_questions: DataFrame | None = None, k: int = 6, chunk_chars: int = 1000, overlap: int = 100, encoder=retrieval.letter_counts, corpus_level: bool = False) -> DataFrame:
     """Golden rows of every document, and of corpus questions (q_no, question) answered from retrieved excerpts.
 

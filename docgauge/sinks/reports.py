@@ -1,12 +1,13 @@
 """Reports for people: CSV with byte order mark, workbooks, JSON files. Parquet stays the system of record.
 
 The three report tables are small next to the corpus but not bounded; they are streamed to the driver in their order
-with ``toLocalIterator`` and written row by row, never collected.
+with ``toLocalIterator`` and written row by row, never collected. Paths may be local, mounted or of an object store.
 """
 
 from __future__ import annotations
 
 import csv
+import io
 import json
 import zipfile
 from collections.abc import Iterable
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from docgauge.operators import scoring
 from docgauge.operators.golden import COLUMNS
+from docgauge.sinks import paths
 
 
 def clean(v):
@@ -28,7 +30,8 @@ def clean(v):
 
 
 def write_csv(path: str | Path, header: list[str], rows: Iterable[Iterable]) -> str:
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
+    fs, p = paths.at(str(path))
+    with fs.open_output_stream(p) as raw, io.TextIOWrapper(raw, encoding="utf-8-sig", newline="") as f:
         w = csv.writer(f, delimiter=";")
         w.writerow(header)
         for r in rows:
@@ -58,7 +61,8 @@ def write_workbook(path: str | Path, sheets: list[tuple[str, list[str], Iterable
     pack = "http://schemas.openxmlformats.org/package/2006"
     mime = "application/vnd.openxmlformats-officedocument.spreadsheetml"
     n = range(1, len(sheets) + 1)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    fs, p = paths.at(str(path))
+    with fs.open_output_stream(p) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{mime}.worksheet+xml"/>' for i in n)
         z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="{pack}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{mime}.sheet.main+xml"/>{parts}</Types>')
         z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{pack}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
@@ -91,28 +95,28 @@ REMEDIATION = ["doc_id", "critere_id", "critere", "poids", "score_actuel"]
 
 def write_corpus_report(doc_scores: DataFrame, criterion_rows: DataFrame, out: str | Path) -> dict[str, str]:
     """Workbook with three sheets and the same three tables as CSV."""
-    out = Path(out)
-    out.mkdir(parents=True, exist_ok=True)
+    out = str(out)
+    paths.make_folder(out)
     tables = {
         "synthese": (SYNTHESIS, scoring.synthesis(doc_scores).orderBy("doc_id")),
         "detail": (DETAIL, scoring.detail(criterion_rows).orderBy("doc_id", "ord")),
         "remediation": (REMEDIATION, scoring.remediation(criterion_rows).orderBy("doc_id", F.desc("poids"), "ord")),
     }
-    paths = {f"csv_{k}": write_csv(out / f"{k}.csv", cols, _rows(df, cols)) for k, (cols, df) in tables.items()}
-    paths["xlsx"] = write_workbook(out / "corpus_report.xlsx", [(k.capitalize(), cols, _rows(df, cols)) for k, (cols, df) in tables.items()])
-    return paths
+    written = {f"csv_{k}": write_csv(paths.join(out, f"{k}.csv"), cols, _rows(df, cols)) for k, (cols, df) in tables.items()}
+    written["xlsx"] = write_workbook(paths.join(out, "corpus_report.xlsx"), [(k.capitalize(), cols, _rows(df, cols)) for k, (cols, df) in tables.items()])
+    return written
 
 
 def write_golden(rows: DataFrame, out: str | Path) -> dict[str, str]:
-    out = Path(out)
-    out.mkdir(parents=True, exist_ok=True)
+    out = str(out)
+    paths.make_folder(out)
     ordered = rows.orderBy("id")
-    return {"csv": write_csv(out / "golden_qa.csv", COLUMNS, _rows(ordered, COLUMNS)), "xlsx": write_workbook(out / "golden_qa.xlsx", [("golden_qa", COLUMNS, _rows(ordered, COLUMNS))])}
+    return {"csv": write_csv(paths.join(out, "golden_qa.csv"), COLUMNS, _rows(ordered, COLUMNS)), "xlsx": write_workbook(paths.join(out, "golden_qa.xlsx"), [("golden_qa", COLUMNS, _rows(ordered, COLUMNS))])}
 
 
 def write_doc_json(doc_scores: DataFrame, criterion_rows: DataFrame, out: str, config_hash: str) -> None:
     """One JSON file per document, written by the tasks into a shared folder."""
-    Path(out).mkdir(parents=True, exist_ok=True)
+    paths.make_folder(out)
     crit = criterion_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "tag", "weight", "status", "score", "justification", "evidence"))).alias("criteria"))  # the grid's rows
 
     def write(rows) -> None:
@@ -120,7 +124,7 @@ def write_doc_json(doc_scores: DataFrame, criterion_rows: DataFrame, out: str, c
             d = r.asDict(recursive=True)
             d["criteria"] = [{k: v for k, v in c.items() if k != "ord"} for c in d.get("criteria") or []]
             d["config_hash"] = config_hash
-            Path(out, f"{r['doc_id']}.score.json").write_text(json.dumps(d, ensure_ascii=False, indent=2), encoding="utf-8")
+            paths.put(paths.join(out, f"{r['doc_id']}.score.json"), json.dumps(d, ensure_ascii=False, indent=2).encode())
 
     doc_scores.join(crit, "doc_id", "left").foreachPartition(write)
 
@@ -132,7 +136,7 @@ def write_parsed_store(docs: DataFrame, out: str) -> None:
     """
     import hashlib
 
-    Path(out).mkdir(parents=True, exist_ok=True)
+    paths.make_folder(out)
 
     def write(rows) -> None:
         for r in rows:
@@ -142,15 +146,16 @@ def write_parsed_store(docs: DataFrame, out: str) -> None:
                 "schema_version": 1, "doc_id": d["doc_id"], "markdown_hash": hashlib.sha256(data).hexdigest(), "parse_confidence": d["parse_confidence"],
                 "blocks": d["blocks"] or [], "images": d["images"] or [], "provenance": d["provenance"],
             }
-            Path(out, f"{d['doc_id']}.md").write_bytes(data)
-            Path(out, f"{d['doc_id']}.parse.json").write_text(json.dumps(side, ensure_ascii=False, indent=2), encoding="utf-8")
+            paths.put(paths.join(out, f"{d['doc_id']}.md"), data)
+            paths.put(paths.join(out, f"{d['doc_id']}.parse.json"), json.dumps(side, ensure_ascii=False, indent=2).encode())
 
     docs.select("doc_id", "markdown", "blocks", "images", "parse_confidence", "provenance").foreachPartition(write)
 
 
 def write_redundancy(groups: DataFrame, near: DataFrame | None, status: str, path: str | Path) -> str:
     """The redundancy file, streamed in group order."""
-    with open(path, "w", encoding="utf-8") as f:
+    fs, p = paths.at(str(path))
+    with fs.open_output_stream(p) as raw, io.TextIOWrapper(raw, encoding="utf-8", newline="") as f:
         f.write('{\n  "exact_duplicates": [')
         last = None
         for r in groups.orderBy("group_id", "doc_id").toLocalIterator():
@@ -165,3 +170,37 @@ def write_redundancy(groups: DataFrame, near: DataFrame | None, status: str, pat
             f.write((",\n    " if i else "\n    ") + json.dumps({"a": r["a"], "b": r["b"], "score": r["score"]}, ensure_ascii=False))
         f.write('],\n  "near_duplicates_status": ' + json.dumps(status) + "\n}\n")
     return str(path)
+
+
+def write_cost(cost: DataFrame, path: str | Path) -> str:
+    """Calls and prompt characters of each document, streamed in order of the documents."""
+    fs, p = paths.at(str(path))
+    with fs.open_output_stream(p) as raw, io.TextIOWrapper(raw, encoding="utf-8", newline="") as f:
+        f.write("{")
+        for i, r in enumerate(cost.orderBy("doc_id").toLocalIterator()):
+            f.write((",\n  " if i else "\n  ") + json.dumps(r["doc_id"], ensure_ascii=False) + ": " + json.dumps({"n_calls": r["n_calls"], "prompt_chars": r["prompt_chars"]}))
+        f.write("\n}\n")
+    return str(path)
+
+
+def write_manifest(images: DataFrame, path: str | Path) -> str:
+    """Images for a person to describe: image_path, context, placeholder, description; read again by the manual provider."""
+    fs, p = paths.at(str(path))
+    with fs.open_output_stream(p) as raw, io.TextIOWrapper(raw, encoding="utf-8", newline="") as f:
+        f.write("[")
+        for i, r in enumerate(images.orderBy("doc_id", "page", "placeholder").toLocalIterator()):
+            item = {"image_path": r["doc_id"], "context": r["context"], "placeholder": r["placeholder"], "description": r["description"] or ""}
+            f.write((",\n  " if i else "\n  ") + json.dumps(item, ensure_ascii=False))
+        f.write("\n]\n")
+    return str(path)
+
+
+def write_enriched(docs: DataFrame, out: str) -> None:
+    """The markdown of documents with described images, as it is scored: one file per document, written by the tasks."""
+    paths.make_folder(out)
+
+    def write(rows) -> None:
+        for r in rows:
+            paths.put(paths.join(out, f"{r['doc_id']}.enriched.md"), (r["markdown"] or "").encode())
+
+    docs.where(F.size("images") > 0).select("doc_id", "markdown").foreachPartition(write)

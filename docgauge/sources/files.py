@@ -1,4 +1,4 @@
-"""Raw folder scan, triage, and readers of text, Word, PowerPoint and (with a plug-in) PDF files.
+"""Raw folder scan, triage, and readers of text, Word, PowerPoint and PDF files.
 
 Files are read with the binaryFile source, so listing, splitting over executors and retry are Spark's. One file never
 fails a job: a reader returns an ``unreadable`` block instead.
@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import io
 import re
+import signal
+import threading
 import unicodedata
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgauge.functions import text as tx
+from docgauge.sources import pdf as own
 
 TEXT, OFFICE, PDF = ("txt", "md"), ("docx", "pptx"), ("pdf",)
 SUPPORTED = TEXT + OFFICE + PDF
@@ -72,8 +76,8 @@ def slide_count(content: bytes) -> int | None:
 PdfCounter = Callable[[bytes], tuple[int, int, int]]  # pages, words, images
 
 
-def triage(files: DataFrame, pdf_counter: PdfCounter | None = None) -> DataFrame:
-    """Triage rows. Without a PDF plug-in every PDF is ``unreadable``; Word files have no page count."""
+def triage(files: DataFrame, pdf_counter: PdfCounter | None = own.count) -> DataFrame:
+    """Triage rows. A PDF that can't be read (or any, without a counter) is ``unreadable``; Word files have no page count."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -247,7 +251,7 @@ def assemble(pages: list[str], images: dict[int, list[dict]]) -> tuple[str, list
     return "\n\n".join(parts), refs
 
 
-#: A PDF reader plug-in: (content, first page, last page or None) -> (page texts, typed blocks, images by page index).
+#: A PDF reader: content -> (page texts, typed blocks, images by page index).
 PdfReader = Callable[[bytes], tuple[list[str], list[dict], dict[int, list[dict]]]]
 GLYPHS = re.compile(r"\(cid:\d+\)|�")
 GLYPH_RETRY = 0.1
@@ -279,9 +283,96 @@ def read_pdf(content: bytes, readers: list[PdfReader]) -> tuple[str, list[dict],
     return best
 
 
-def parse(files: DataFrame, triaged: DataFrame, pdf_readers: list[PdfReader] | None = None) -> DataFrame:
-    """Parsed documents of scanned files: markdown, blocks, images; never fails on a file."""
+#: A heavy extractor: (content, first page, last page) -> markdown of these pages.
+Extractor = Callable[[bytes, int, int], str]
+#: Pages of one call of a heavy extractor and of one row of work, and seconds of a call.
+BATCH_PAGES, ROW_PAGES, LIMIT = 1, 64, 1800.0
+
+
+@contextmanager
+def time_limit(seconds: float):
+    """Raise ``TimeoutError`` in the block after so many seconds (in the main thread of a worker, where signals arrive)."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise TimeoutError(f"over {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def extract_pages(files: DataFrame, triaged: DataFrame, extractor: Extractor, batch_pages: int = BATCH_PAGES, row_pages: int = ROW_PAGES, limit: float = LIMIT) -> DataFrame:
+    """Markdown of PDF pages by a heavy extractor: (path, parts), the parts in order of their pages.
+
+    Files are dealt to tasks by ranges of ``row_pages`` pages, so a long file is extracted in many tasks; within one the
+    extractor is called for ``batch_pages`` pages at a time. A call that fails, takes too long or gives nothing is
+    replaced by the plain text of its pages.
+    """
+    n = triaged.where("type = 'pdf' and pages > 0").select("path", F.col("pages").cast("int").alias("n"))
+    first = F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(row_pages))).alias("first")
+    rows = files.select("path", "content").join(n, "path").select("path", "n", first, "content").repartition("path", "first")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                plain: list[str] | None = None
+                parts = []
+                last = min(r.first + row_pages - 1, r.n)
+                for a in range(r.first, last + 1, batch_pages):
+                    b = min(a + batch_pages - 1, last)
+                    try:
+                        with time_limit(limit):
+                            md = nfkc(extractor(r.content, a, b)).strip()
+                    except Exception:
+                        md = ""
+                    if not md:
+                        try:
+                            plain = own.read(r.content, r.first, last)[0] if plain is None else plain
+                        except Exception:
+                            plain = []
+                        md = "\n\n".join(p for p in plain[a - r.first : b - r.first + 1] if p)
+                    if md:
+                        parts.append(md)
+                out.append((r.path, r.first, "\n\n".join(parts)))
+            yield pd.DataFrame(out, columns=["path", "first", "md"])
+
+    got = rows.mapInPandas(run, "path string, first int, md string")
+    one = got.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("first", "md"))).alias("p"))  # the ranges of one file
+    return one.select("path", F.filter(F.transform("p", lambda x: x["md"]), lambda x: x != "").alias("parts"))
+
+
+def read_extracted(content: bytes, parts: list[str]) -> tuple[str, list[dict], list[dict], bool]:
+    """(markdown, blocks, images, fallback used) of a file whose markdown a heavy extractor gave: its paragraphs have no
+    page, and the image marks come at the end."""
+    md = "\n\n".join(parts)
+    if not md:
+        raise ValueError("no text")
+    _, typed, images = own.read(content)
+    marks, refs = assemble([""] * (max(images, default=-1) + 1), images)
+    blocks = [*typed, *(_block("text", p.strip()) for p in md.split("\n\n") if p.strip())]
+    return md + ("\n\n" + marks if marks else ""), blocks, refs, False
+
+
+def parse(files: DataFrame, triaged: DataFrame, pdf_readers: list[PdfReader] | None = None, extracted: DataFrame | None = None) -> DataFrame:
+    """Parsed documents of scanned files: markdown, blocks, images; never fails on a file.
+
+    ``extracted``: (path, parts) of ``extract_pages``; PDFs without parts, and all of them where it is not given, go
+    through ``pdf_readers`` (this package's by default).
+    """
     pages = triaged.select("path", "pages")
+    readers = own.READERS if pdf_readers is None else pdf_readers
+    if extracted is not None:
+        pages = pages.join(extracted, "path", "left")
+    else:
+        pages = pages.withColumn("parts", F.lit(None).cast("array<string>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -296,7 +387,10 @@ def parse(files: DataFrame, triaged: DataFrame, pdf_readers: list[PdfReader] | N
                     elif r.type == "pptx":
                         md, blocks = read_pptx(r.content)
                     else:
-                        md, blocks, images, fallback = read_pdf(r.content, pdf_readers or [])
+                        try:
+                            md, blocks, images, fallback = read_extracted(r.content, [] if r.parts is None else list(r.parts))
+                        except Exception:
+                            md, blocks, images, fallback = read_pdf(r.content, readers)
                 except Exception:
                     md, blocks, images = "", [_block("unreadable")], []
                 rows.append((r.doc_id, md, blocks, images, None if pd.isna(r.pages) else int(r.pages), fallback))

@@ -80,7 +80,7 @@ def merge_entries(markdowns: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of a parsed store in a folder, orphan sidecars included."""
-    raw = spark.read.format("binaryFile").load(folder)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*" + SIDECAR).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     side = raw.where(F.col("path").endswith(SIDECAR)).select(F.regexp_replace(name, r"\.parse\.json$", "").alias("stem"), F.decode(F.col("content"), "UTF-8").alias("js"))
     parsed = side.withColumn("d", F.from_json("js", SIDECAR_SCHEMA + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
@@ -89,6 +89,15 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     return merge_entries(md, sidecars)
 
 
+def stored_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of a store that have both files: doc_id, source_sha256."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*" + SIDECAR).load(folder)
+    name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
+    sha = F.from_json(F.decode(F.col("content"), "UTF-8"), SIDECAR_SCHEMA)["provenance"]["source_sha256"]
+    side = raw.select(F.regexp_replace(name, r"\.parse\.json$", "").alias("doc_id"), sha.alias("source_sha256"))
+    return side.join(scan(spark, folder, ("md",)).select("doc_id"), "doc_id", "left_semi")
+
+
 def plan_parse(triaged: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
     """What an incremental parse does with each source: write or skip, and whether a skipped source has changed.
 

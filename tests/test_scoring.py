@@ -194,7 +194,7 @@ def test_golden_rows(spark, corpus):
 
 
 def test_corpus_questions_are_proposed(spark, corpus):
-    answers = {"PROPOSE": {"questions": [{"question": "Quel lien ?"}, {"question": " "}]}, "Extraits": {"reponse": "Aucun", "couvert": "oui"}}
+    answers = {"Trouve des questions": {"questions": [{"question": "Quel lien ?"}, {"question": " "}]}, "Extraits": {"reponse": "Aucun", "couvert": "oui"}}
     rows = {r["id"]: r for r in golden_set(corpus[0], lambda: Scripted(answers), corpus_level=True, k=1).collect()}
     assert set(rows) == {"corpus-1"} and rows["corpus-1"]["question"] == "Quel lien ?"
 
@@ -208,7 +208,7 @@ def test_every_document_proposes_corpus_questions(spark):
     rows = [r for r in golden_set(docs, lambda: Scripted(answers), corpus_level=True, k=1).collect() if r["origine"] == "corpus"]
     assert [r["question"] for r in sorted(rows, key=lambda r: r["id"])] == [f"Quel lien avec {x} ?" for x in (names[0], names[-1])]
     prompts = [r["prompt"] for r in golden.corpus_questions_prompts(docs, "p", "q").orderBy("batch").collect()]
-    told = [[x for x in p.split("Corpus (")[1].split() if x.startswith("[")] for p in prompts]
+    told = [[x for x in p.split("Debut de chaque document")[1].split() if x.startswith("[")] for p in prompts]
     assert [len(x) for x in told] == [267, 267, 267] and sum(told, []) == [f"[{x}]" for x in names]
 
 

@@ -31,6 +31,72 @@ def test_near_pairs_against_brute_force(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_recall_stays_at_every_size(spark):
+    for threshold in (0.9, 0.95):
+        for n in (1000, 10**6, 10**9, 10**12):
+            bits, tables = redundancy.hyperplanes(n, threshold, 1024, 0.98)
+            p = (1 - np.arccos(threshold) / np.pi) ** bits
+            assert 1 - (1 - p) ** tables >= 0.98 and n / 2**bits <= 1024
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((600, 48)))
+    side = rng.standard_normal((600, 48))
+    side = unit(side - (side * base).sum(1, keepdims=True) * base)
+    for threshold, bucket in ((0.9, 1024), (0.9, 1), (0.95, 1)):  # a bucket of one vector makes keys as long as for a thousand times the rows
+        c = threshold + 0.005
+        m = np.vstack([base, c * base + np.sqrt(1 - c * c) * side])
+        df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+        want = set(zip(*(x.tolist() for x in np.nonzero(np.triu(m @ m.T >= threshold, 1)))))
+        got = {(r["a"], r["b"]) for r in redundancy.near_pairs(df, threshold, bucket=bucket).collect()}
+        assert len(want) >= 600 and got <= want and len(got) >= 0.96 * len(want)
+
+
+def test_corpus_redundancy_says_what_it_did(spark):
+    df = spark.createDataFrame([("a", "Un  texte"), ("b", "un texte"), ("c", "zzz zebre zzz"), ("d", "zzz zebres zzz"), ("e", None)], "doc_id string, markdown string")
+    exact, near, status = redundancy.corpus_redundancy(df)
+    assert exact.count() == 2 and near is None and status == "skipped: aucun encodeur"
+    _, near, status = redundancy.corpus_redundancy(df, retrieval.letter_counts, 0.9)
+    assert status == "ok" and ("c", "d") in {(r["a"], r["b"]) for r in near.collect()} and not near.where("a = 'a' and b = 'b'").count()
+    assert redundancy.corpus_redundancy(df.where("markdown is null"), retrieval.letter_counts)[2] == "skipped: aucun document"
+
+    def broken(texts):
+        raise OSError
+
+    assert redundancy.corpus_redundancy(df, broken)[2].startswith("skipped: ")
+
+
+def test_numbers_follow_the_order(spark):
+    from docgauge.functions.rows import numbered
+
+    df = spark.createDataFrame([(f"k{i:03d}",) for i in range(200)], "k string").repartition(7)
+    assert [(r["number"], r["k"]) for r in sorted(numbered(df, "k").collect(), key=lambda r: r["number"])] == [(i, f"k{i:03d}") for i in range(200)]
+    assert numbered(df.where("false"), "k").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    import pytest
+
+    from docgauge import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+    class Frame:
+        sparkSession = Session()
+
+    with pytest.raises(RuntimeError):
+        session.cut(Frame())
+
+
 def test_near_pairs_of_a_dense_group(spark):
     rng = np.random.default_rng(7)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
