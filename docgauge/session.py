@@ -51,7 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
     gets a temporary folder that goes with the process, and any other is refused: its executors share no such folder.
     Files are removed as soon as nothing refers to them where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors share; set as ``cut`` says where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -61,4 +66,4 @@ def cut(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="docgauge-ckpt-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import pyarrow.fs as pafs
 
 
 def at(path: str) -> tuple[pafs.FileSystem, str]:
     """(file system, path in it) of a path or URI."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(path) if _is_uri(path) else (pafs.LocalFileSystem(), path)
+
+
+def _is_uri(path: str) -> bool:
+    return "://" in path or path.startswith("file:")
 
 
 def make_folder(path: str) -> None:
@@ -29,4 +35,5 @@ def names(folder: str) -> list[str]:
 
 
 def join(folder: str, name: str) -> str:
-    return folder.rstrip("/") + "/" + name
+    """Path of a name in a folder; in a URI the name is quoted."""
+    return folder.rstrip("/") + "/" + (quote(name) if _is_uri(folder) else name)
