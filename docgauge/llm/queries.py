@@ -59,6 +59,7 @@ def queries() -> dict[str, Query]:
         "p6_blocks": _on("docs", p6.blocks_form),
         "p7_found": _on("docs", p7.found),
         "p7_pieces": _on("docs", p7.pieces),
+        "p7_file_pieces": _on("docs", p7.file_query),
         "p8_assignment": _on("documents", p8.pack),
         "p8_containers": _on("documents", p8.containers),
         "p8_token_counts": _on("documents", lambda d: d.select("doc_id", F.coalesce("n_tokens", p8.token_count(F.col("text")).cast("long")).alias("n_tokens"))),

@@ -148,6 +148,25 @@ def test_pieces_prefer_strong_boundaries(spark):
     assert rows[0]["cut"] == 4 and rows[0]["piece"].endswith("fin.\n\n")
 
 
+@pytest.mark.parametrize("size", [97, 1000, 1 << 16])
+def test_white_space_over_range_edges_keeps_its_rank(spark, tmp_path, size):
+    t = "".join(f"mot{i} fin." + ("\n" + " " * 300 + "\n" + "\t" * 150 if i % 3 else " " * 400) for i in range(30)) + "fin"
+    strong = [m.end() for m in p7.BOUNDARY.finditer(t) if m.lastindex <= 3]
+    pos = {a + x: r for a in range(0, len(t), size) for x, r in zip(*p7._table(t, a, min(a + size, len(t)))) if r >= 2}
+    assert sorted(pos) == strong
+    (tmp_path / "w.txt").write_text(t, encoding="utf-8", newline="")
+    rows = p7.file_pieces(spark, [(tmp_path / "w.txt").as_uri()], limit=1000, overlap=100, size=size).orderBy("piece_no").collect()
+    assert whole(rows, t, 1000, 100) == t
+
+
+def test_oversized_documents_as_files(spark):
+    rng = np.random.default_rng(5)
+    t = "".join(" ".join("é" * int(k) for k in rng.integers(1, 9, 30)) + ".\n\n" for _ in range(150))
+    df = spark.createDataFrame([("a b", t), ("c", "court"), ("n", None)], "doc_id string, markdown string")
+    rows = p7.file_query(df).orderBy("piece_no").collect()
+    assert {r["doc_id"] for r in rows} == {"a b"} and whole(rows, t, p7.LIMIT, p7.OVERLAP) == t and len(rows) > 1
+
+
 def test_files_by_byte_ranges(spark, tmp_path):
     body = "".join(t or "" for t in texts().values()) * 3
     (tmp_path / "big.txt").write_text(body, encoding="utf-8", newline="")
