@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 # Letters of Cyrillic and Greek whose usual glyph is that of a Latin letter, in the same order.
 CYRILLIC, CYRILLIC_LATIN = "АВЕЅІЈКМНОРСТУХЗаеѕіјорсухԁԛԝһӏ", "ABESIJKMHOPCTYX3aesijopcyxdqwhl"
 GREEK, GREEK_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονια", "ABEZHIKMNOPTYXovia"
@@ -17,8 +19,27 @@ HYPHENS = "‐‑"
 FULL = "".join(chr(0xFF01 + i) for i in range(94))
 FULL_LATIN = "".join(chr(0x21 + i) for i in range(94))
 
-FROM = CYRILLIC + GREEK + FULL + SPACES + HYPHENS
-TO = CYRILLIC_LATIN + GREEK_LATIN + FULL_LATIN + " " * len(SPACES) + "-" * len(HYPHENS)
+
+
+def _accented() -> tuple[dict[str, str], dict[str, str]]:
+    """Composed letters of both scripts on a look-alike base, as the Latin base with the same marks: those that have one
+    composed Latin character, and those that need several."""
+    base = dict(zip(CYRILLIC + GREEK, CYRILLIC_LATIN + GREEK_LATIN))
+    one, more = {}, {}
+    for c in (*map(chr, range(0x370, 0x530)), *map(chr, range(0x1F00, 0x2000))):
+        d = unicodedata.normalize("NFD", c)
+        if len(d) > 1 and d[0] in base:
+            latin = unicodedata.normalize("NFC", base[d[0]] + d[1:])
+            (one if len(latin) == 1 else more)[c] = latin
+    return one, more
+
+
+ACCENTED, ACCENTED_MORE = _accented()
+#: A class of a few ranges that holds all of ``ACCENTED_MORE``, for a cheap test.
+MORE = r"[\x{370}-\x{38f}\x{400}-\x{45f}\x{4d0}-\x{4ff}\x{1f00}-\x{1fff}]"
+
+FROM = CYRILLIC + GREEK + "".join(ACCENTED) + FULL + SPACES + HYPHENS
+TO = CYRILLIC_LATIN + GREEK_LATIN + "".join(ACCENTED.values()) + FULL_LATIN + " " * len(SPACES) + "-" * len(HYPHENS)
 assert len(FROM) == len(TO)
 
 #: For Python's str.translate: the letters only.
@@ -37,4 +58,6 @@ def visible(c):
     out = F.translate(F.regexp_replace(c, UNSEEN, ""), FROM, TO)
     for ligature, letters in LIGATURES.items():
         out = F.replace(out, F.lit(ligature), F.lit(letters))
-    return out
+    table = F.create_map(*[F.lit(x) for pair in ACCENTED_MORE.items() for x in pair])
+    letters = F.transform(F.split(out, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    return F.when(out.rlike(MORE), F.array_join(letters, "")).otherwise(out)

@@ -3,7 +3,8 @@
 A paragraph is a vector of hashed character trigrams, TF-IDF weighted and normalised. Each language has several
 centroids (spherical k-means over training paragraphs); the paragraph takes the language of its nearest centroid by
 cosine and is rejected (``und``) when even that one is too far. Training uses a bounded sample of labelled documents,
-``PER_LABEL`` per label by smallest hash of the id; labels may be wrong, so training paragraphs nearer to another
+``PER_LABEL`` per label by smallest hash of the id and of each at most ``PER_DOC`` paragraphs of at most ``LONGEST``
+characters; labels may be wrong, so training paragraphs nearer to another
 language are dropped and the centroids fitted anew. All documents are classified whole, in Arrow batches.
 
 Null or blank text has no segment and the language ``und`` with confidence 0. A label that names no known language
@@ -26,6 +27,8 @@ from docgauge.llm.lookalike import TO_LATIN
 
 #: Documents per label that train the centroids; the bound of the sample.
 PER_LABEL = 250
+#: Paragraphs of such a document, by smallest hash, and their greatest length: together under 250 KB a document.
+PER_DOC, LONGEST = 64, 4000
 #: Hashed trigram space, and centroids of a language.
 DIM, CLUSTERS = 1 << 15, 4
 #: Share of a language's training paragraphs that a cluster must hold.
@@ -192,15 +195,21 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "markdown", label: s
     named = named_languages(F.col(label))
     one = docs.where(F.length(F.col(text)) > 0).select(F.element_at(named, 1).alias("_y"), F.col(text).alias("_t"), F.xxhash64(F.col(key)).alias("_h"), F.size(named).alias("_n")).where("_n = 1")
     rank = F.row_number().over(Window.partitionBy("_y").orderBy("_h"))
-    rows = one.withColumn("_r", rank).where(F.col("_r") <= per_label).select("_y", "_t").collect()  # bounded by per_label
-    texts, labels = [], []
-    for r in sorted(rows):
-        for a, b in segments(r["_t"]):
-            folded = fold(r["_t"][a:b])
-            if len(WORDS.findall(folded)) >= 12:
-                texts.append(folded)
-                labels.append(r["_y"])
-    return fit(texts, labels)
+    chosen = one.withColumn("_r", rank).where(F.col("_r") <= per_label).select("_y", "_t")
+
+    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for pdf in batches:
+            rows = []
+            for y, t in zip(pdf["_y"], pdf["_t"]):
+                parts = [t[a:b] for a, b in segments(t) if b - a <= LONGEST]
+                folded = sorted((f for f in map(fold, parts) if len(WORDS.findall(f)) >= 12), key=xxhash.xxh64_intdigest)
+                rows += [(y, f) for f in folded[:PER_DOC]]
+            yield pd.DataFrame(rows, columns=["y", "t"])
+
+    rows = sorted(map(tuple, chosen.mapInPandas(sample, "y string, t string").collect()))  # labels x per_label x PER_DOC x LONGEST
+    return fit([t for _, t in rows], [y for y, _ in rows])
 
 
 SEGMENT_SCHEMA = "doc_id string, seg_no int, start int, end int, n_words int, seg_lang string, confidence double"

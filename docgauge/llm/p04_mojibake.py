@@ -11,6 +11,9 @@ counts bigrams and unit contexts (sums over a fixed alphabet, independent of the
 source on those counts; a second pass decides each unit once per document from all its occurrences and applies the
 decisions with ``str.translate``. Characters already lost (U+FFFD) are reported, not guessed.
 
+The maps of a bounded number of sources are sent to all tasks; those of more sources lie sorted among their documents, a
+copy for each part of a source, so neither the number of sources nor the size of one is bounded by a task's memory.
+
 Null and blank texts hold no units and are never garbled. Glyph codes, look-alike letters, ligatures, full-width forms
 and zero-width characters are no units. A null source is the source "". Repeated rows are handled each.
 """
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from docgauge.llm.lexicon import FUNCTION_WORDS, LANGS
 from docgauge.llm.lookalike import CYRILLIC, GREEK, LIGATURES, TO_LATIN
 from docgauge.llm.p02_language import segments
+from docgauge.session import cut
 
 # Letters and signs of the corpus languages above ASCII.
 ALPHABET = "àâäáãåæçèéêëìíîïñòóôöõœùúûüýÿßÀÂÄÁÃÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖÕŒÙÚÛÜÝ«»“”‘’‚„–—…•€£§°ºª·¿¡©®™±²³½¼µ×\xa0\u202f\u2011"
@@ -291,15 +295,27 @@ def learn(rows: pd.DataFrame, lm: np.ndarray, rounds: int = ROUNDS) -> pd.DataFr
     return pd.DataFrame(out, columns=["source", "unit", "h", "p"])
 
 
+#: Rows of learned maps (source, unit, letter) that are sent to all tasks, about 100 bytes each; and documents of a source
+#: that meet one copy of its map beyond that.
+SENT, PART = 200_000, 4096
+
+
 class Cipher:
-    """The learned mappings of all sources and the bigrams."""
+    """Learned mappings and the bigrams. ``rows`` holds those of all sources, or of one; ``table`` is a DataFrame of them
+    where they are too many to be sent."""
 
-    def __init__(self, lm: np.ndarray, rows: list[tuple]):
-        self.lm = lm
+    def __init__(self, lm: np.ndarray, rows: list[tuple], table: DataFrame | None = None):
+        self.lm, self.table = lm, table
         self.maps: dict[tuple[str, str], dict[str | None, float]] = {}
+        self.add(rows)
+
+    def add(self, rows) -> None:
         for s, u, h, p in rows:
             self.maps.setdefault((s, u), {})[h] = p
 
+    def __getstate__(self) -> dict:
+        return {"lm": self.lm, "maps": self.maps, "table": None}
+
     def decide(self, source: str, text: str) -> tuple[dict[str, str], float, int]:
         """(unit -> letter of the garbled units, least odds among them, occurrences) for one document."""
         by: dict[str, list[tuple[int, int, int]]] = {}
@@ -338,15 +354,16 @@ class Cipher:
 
 
 def train(docs: DataFrame, text: str = "markdown", source: str = "folder") -> Cipher:
-    """Learn the ciphers of all sources; what comes to the driver is bounded by the alphabet and the sources."""
-    from docgauge.session import cut
-
+    """Learn the ciphers of all sources; what comes to the driver is bounded by the alphabet and ``SENT``."""
     counts = cut(_counts(docs, text, source))
     pairs = counts.where("unit is null").select("lang", "l", "r", "n").toPandas()  # at most N_LANG * N_CLASS^2 rows
     lm = bigram_log(pairs["lang"].to_numpy(), pairs["l"].to_numpy(), pairs["r"].to_numpy(), pairs["n"].to_numpy(dtype=float))
     table = docs.sparkSession.sparkContext.broadcast(lm)  # N_LANG * N_CLASS^2 floats
     fitted = counts.where("unit is not null").groupBy("source").applyInPandas(lambda rows: learn(rows, table.value), "source string, unit string, h string, p double")
-    return Cipher(lm, [tuple(r) for r in fitted.collect()])  # sources x units x letters
+    fitted = cut(fitted)
+    if fitted.count() > SENT:
+        return Cipher(lm, [], fitted)
+    return Cipher(lm, [tuple(r) for r in fitted.collect()])  # at most SENT rows
 
 
 def apply(text: str, table: dict[str, str]) -> str:
@@ -367,22 +384,42 @@ REPAIR_SCHEMA = "doc_id string, garbled boolean, n_garbled int, n_lost int, reco
 def repair(docs: DataFrame, cipher: Cipher, key: str = "doc_id", text: str = "markdown", source: str = "folder") -> DataFrame:
     """One row per row of ``docs``: whether and how much is garbled, and the text with what could be restored."""
     held = docs.sparkSession.sparkContext.broadcast(cipher)
+    columns = [c.split()[0] for c in REPAIR_SCHEMA.split(", ")]
+
+    def mended(c: Cipher, k: str, s: str, t: str | None) -> tuple:
+        if t is None or t.isascii():
+            return k, False, 0, 0, True, 0.0, t
+        table, odds, hits = c.decide(s, t)
+        lost = t.count(LOST)
+        return k, bool(table) or lost > 0, hits, lost, lost == 0, odds if table else 0.0, apply(t, table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = held.value
         for pdf in batches:
-            rows = []
-            for k, s, t in zip(pdf["k"], pdf["s"], pdf["t"]):
-                if t is None or t.isascii():
-                    rows.append((k, False, 0, 0, True, 0.0, t))
-                    continue
-                table, odds, hits = c.decide(s, t)
-                lost = t.count(LOST)
-                rows.append((k, bool(table) or lost > 0, hits, lost, lost == 0, odds if table else 0.0, apply(t, table)))
-            yield pd.DataFrame(rows, columns=["doc_id", "garbled", "n_garbled", "n_lost", "recoverable", "log_odds", "restored"])
+            yield pd.DataFrame([mended(held.value, *r) for r in zip(pdf["k"], pdf["s"], pdf["t"])], columns=columns)
 
     flat = docs.select(F.col(key).cast("string").alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.col(text).alias("t"))
-    return flat.mapInPandas(run, REPAIR_SCHEMA)
+    if cipher.table is None:
+        return flat.mapInPandas(run, REPAIR_SCHEMA)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, now = None, None  # the maps of one source at a time: its map rows come before its documents
+        for pdf in batches:
+            rows = []
+            for s, unit, h, p, k, t in zip(*(pdf[x] for x in ("s", "unit", "h", "p", "k", "t"))):
+                if s != now:
+                    c, now = Cipher(held.value.lm, []), s
+                if unit is not None:
+                    c.add([(s, unit, h, p)])
+                else:
+                    rows.append(mended(c, k, s, t))
+            yield pd.DataFrame(rows, columns=columns)
+
+    # A large source has several parts, each with a copy of its map; without units of its own it has one without any.
+    parts = flat.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).alias("parts"))
+    none = F.lit(None)
+    mine = flat.join(parts, "s").select("s", F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"), F.lit(1).alias("what"), none.cast("string").alias("unit"), none.cast("string").alias("h"), none.cast("double").alias("p"), "k", "t")
+    maps = cipher.table.withColumnRenamed("source", "s").join(parts, "s").select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("what"), "unit", "h", "p", none.cast("string").alias("k"), none.cast("string").alias("t"))
+    return maps.unionByName(mine).repartition("s", "part").sortWithinPartitions("s", "part", "what").mapInPandas(stream, REPAIR_SCHEMA)
 
 
 def found(docs: DataFrame) -> DataFrame:

@@ -5,15 +5,18 @@ functions; composed and decomposed accents become equal under the accent- and ca
 groups the mapped values in SQL. Each class has one canonical member (fewest odd characters, then smallest digest),
 joined back to all members.
 
-Whole texts are not shuffled for all rows: a coarse key that equal-looking texts must share (hash of the ASCII
-characters that carry no combining mark) finds the keys with more than one stored form, and only their distinct forms
-enter the collated grouping. Exact copies count as one form by digest before that, so a hot text costs one row per
+Whole texts are not shuffled for all rows: a coarse key that equal-looking texts must share (hashes of the ASCII characters
+that carry no combining mark, and of the base letters of all others) finds the keys with more than one stored form, and only
+their distinct forms enter the collated grouping. Exact copies count as one form by digest before that, so a hot text costs one row per
 task. Null and blank texts belong to no class and come out unchanged. Nulls in other columns don't matter; extra columns
 are not read.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from docgauge.llm.lookalike import LIGATURES, visible
 from docgauge.session import cut
 
 COLLATION = "UNICODE"
+#: Members of a class that meet in one task.
+BLOCK = 1024
 
 
 def drawn(c: Column) -> Column:
@@ -29,9 +34,25 @@ def drawn(c: Column) -> Column:
     return F.regexp_replace(visible(c), r"\r\n?", "\n")
 
 
+def _bases() -> tuple[str, str]:
+    """Characters that canonical decomposition changes, and the first character of each decomposition."""
+    chars = [chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    pairs = [(c, d[0]) for c in chars if (d := unicodedata.normalize("NFD", c)) != c]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+COMPOSED, BASES = _bases()
+
+
 def coarse_key(form: Column) -> Column:
-    """Hash that canonically equivalent texts share: ASCII without any letter that bears a combining mark."""
-    return F.xxhash64(F.regexp_replace(form, r"\P{M}\p{M}+|[^\x21-\x7e]", ""))
+    """Hash that canonically equivalent texts share, of two parts: the ASCII characters that bear no combining mark, and the
+    base letters of all others in order. So texts of other scripts than the Latin one have keys of their own as well."""
+    marked = form.rlike(r"\p{M}")
+    plain = F.when(marked, F.regexp_replace(form, r"\P{M}\p{M}+|[^\x21-\x7e]", "")).otherwise(F.regexp_replace(form, r"[^\x21-\x7e]+", ""))
+    others = F.when(marked, F.regexp_replace(form, r"[\x00-\x7f](?!\p{M})", "")).otherwise(F.regexp_replace(form, r"[\x00-\x7f]+", ""))
+    # Marks, and the vowels and finals of Hangul syllables, are what a composed character leaves out.
+    base = F.regexp_replace(F.translate(others, COMPOSED, BASES), r"[\p{M}\x{1160}-\x{11ff}]+", "")
+    return F.xxhash64(plain, base)
 
 
 def odd_characters(c: Column) -> Column:
@@ -81,6 +102,9 @@ def found(docs: DataFrame) -> DataFrame:
     """p6_found: (doc_id_a, doc_id_b), smaller first, of documents stored differently in one class."""
     members, _ = classes(docs)
     members = cut(members.distinct())
-    a = members.select(F.col("doc_id").alias("doc_id_a"), F.col("digest").alias("da"), "canonical")
-    b = members.select(F.col("doc_id").alias("doc_id_b"), F.col("digest").alias("db"), "canonical")
-    return a.join(b, "canonical").where("doc_id_a < doc_id_b and da <> db").select("doc_id_a", "doc_id_b").distinct()
+    # A class of more than BLOCK members is dealt into blocks; each two blocks meet in a task of their own.
+    size = members.groupBy("canonical").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    dealt = members.join(size, "canonical").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    a = dealt.select(F.col("doc_id").alias("doc_id_a"), F.col("digest").alias("da"), "canonical", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    b = dealt.select(F.col("doc_id").alias("doc_id_b"), F.col("digest").alias("db"), "canonical", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
+    return a.join(b, ["canonical", "i", "j"]).where("doc_id_a < doc_id_b and da <> db").select("doc_id_a", "doc_id_b").distinct()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docgauge.llm import p02_language as p2
 from docgauge.llm import p05_pairs as p5
@@ -105,6 +106,27 @@ def test_look_alike_classes(spark):
     assert p6.found(df.where("false")).count() == 0
 
 
+def test_coarse_key_of_other_scripts(spark):
+    import unicodedata
+
+    texts = ["Комитет проверяет йод", "Комитет проверяет иод", "Ἡ ἐπιτροπή", "위원회가 확인", "委員会は確認", "が ガ", "اللجنة تفحص", "Ångström Å", "Å K Ω", "naïve coöp", "Ǖ ộ ǹ", "क़ ख़", "﷽"]
+    rows = [(f"{i}{form}", unicodedata.normalize(form, t)) for i, t in enumerate(texts) for form in ("NFC", "NFD")]
+    df = spark.createDataFrame(rows, "doc_id string, markdown string").withColumn("k", p6.coarse_key(p6.drawn(F.col("markdown"))))
+    keys = {r["doc_id"]: r["k"] for r in df.collect()}
+    assert all(keys[f"{i}NFC"] == keys[f"{i}NFD"] for i in range(len(texts)))
+    assert len({keys[f"{i}NFC"] for i in (0, 2, 3, 4, 5, 6, 8, 9, 11)}) == 9
+    want = {(f"{i}NFC", f"{i}NFD") for i, t in enumerate(texts) if unicodedata.normalize("NFC", t) != unicodedata.normalize("NFD", t)}
+    assert {tuple(r) for r in p6.found(df).collect()} == want
+
+
+def test_hot_class_gives_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(p6, "BLOCK", 4)
+    rows = [(f"d{i:02d}", ["café", "cafe\u0301", "caf\u200bé"][i % 3]) for i in range(25)]
+    got = [tuple(r) for r in p6.found(spark.createDataFrame(rows, "doc_id string, markdown string")).collect()]
+    want = {(a, b) for a, s in rows for b, t in rows if a < b and s != t}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_look_alike_blocks(spark):
     rows = [("a", [("p", "Cafe\u0301 du soir"), ("h", None), ("p", " ")]), ("b", [("p", "Caf\u00e9 du soir"), ("p", "Autre")]), ("c", None)]
     got = {(r["doc_id"], r["block_no"]): (r["kind"], r["form"]) for r in p6.blocks_form(spark.createDataFrame(rows, "doc_id string, blocks array<struct<kind:string,text:string>>")).collect()}

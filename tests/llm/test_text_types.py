@@ -154,7 +154,7 @@ def wrong(text, written, read, times=1):
     return text
 
 
-def test_repair_restores_unknown_swaps(spark):
+def test_repair_restores_unknown_swaps(spark, monkeypatch):
     rows = [(f"c{i}", prose([FR, DE, EN][i % 3], 2, i), "fr", "a") for i in range(90)]
     swaps = [("utf-8", "cp1252", 1), ("utf-8", "latin-1", 1), ("utf-8", "cp437", 1), ("utf-8", "mac_roman", 1), ("utf-8", "cp1252", 2), ("cp1252", "cp850", 1), ("cp1252", "cp1251", 1), ("mac_roman", "latin-1", 1)]
     bad = [(f"g{i}", wrong(prose(FR, 1, i), *s), "fr", "a", prose(FR, 1, i)) for i, s in enumerate(swaps)]
@@ -171,3 +171,7 @@ def test_repair_restores_unknown_swaps(spark):
     for k in ("c0", "c1", "c2", "glyph", "look", "shout"):
         assert got[k]["restored"] == {r[0]: r[1] for r in rows + fine}[k]
     assert {r["doc_id"] for r in p4.found(df).collect()} == {b[0] for b in bad} | {"part", "lost"}
+    monkeypatch.setattr(p4, "SENT", 0)
+    monkeypatch.setattr(p4, "PART", 7)
+    streamed = p4.repair(df, p4.train(df))
+    assert {r["doc_id"]: r for r in streamed.collect()} == got and streamed.count() == df.count()
