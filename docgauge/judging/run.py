@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,27 +14,45 @@ from docgauge.judging.clients import Client
 from docgauge.session import cut
 
 
-def answer(rows: DataFrame, client: Callable[[], Client], prompt: str = "prompt") -> DataFrame:
+#: Calls of a task at a time; further tries of a failed call, and seconds before the first of them (doubled each time).
+PARALLEL, RETRIES, WAIT = 4, 2, 1.0
+#: Errors that another try may mend: of the network and of time.
+PASSING = (OSError, TimeoutError)
+
+
+def tried(call: Callable[[], str], retries: int = RETRIES, wait: float = WAIT) -> tuple[str | None, str | None]:
+    """(answer, None) of a call or (None, name of its last error). Only passing errors are tried again."""
+    for n in range(retries + 1):
+        try:
+            return call(), None
+        except Exception as e:
+            if n == retries or not isinstance(e, PASSING):
+                return None, type(e).__name__
+            time.sleep(wait * 2**n)
+    raise AssertionError
+
+
+def answer(rows: DataFrame, client: Callable[[], Client], prompt: str = "prompt", parallel: int = PARALLEL, retries: int = RETRIES, wait: float = WAIT) -> DataFrame:
     """Add ``response`` and ``error`` (null or the exception's name); the result is materialised.
 
-    The client is built once per task. A failing call never fails the task. Calls are neither repeated nor reordered by
-    the optimizer, since the answers are cut off from their lineage before anything reads them.
+    The client is built once per task and asked ``parallel`` prompts at a time, so the calls under way are at most that
+    many times the cores. A failing call never fails the task. Calls are neither repeated nor reordered by the optimizer,
+    since the answers are cut off from their lineage before anything reads them.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", response string, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, failed = None, None
-        for pdf in batches:
-            texts, errors = [], []
-            for p in pdf[prompt]:
-                try:
-                    c = c or client()
-                    texts.append(c.ask(p))
-                    errors.append(None)
-                except Exception as e:
-                    texts.append(None)
-                    errors.append(type(e).__name__)
-            yield pdf.assign(response=pd.Series(texts, dtype=object, index=pdf.index), error=pd.Series(errors, dtype=object, index=pdf.index))
+        held: list[Client] = []
+
+        def ask(p: str) -> str:
+            if not held:
+                held.append(client())
+            return held[0].ask(p)
+
+        with ThreadPoolExecutor(max(1, parallel)) as pool:
+            for pdf in batches:
+                got = list(pool.map(lambda p: tried(lambda: ask(p), retries, wait), pdf[prompt]))
+                yield pdf.assign(response=pd.Series([g[0] for g in got], dtype=object, index=pdf.index), error=pd.Series([g[1] for g in got], dtype=object, index=pdf.index))
 
     return cut(rows.mapInPandas(run, schema))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgauge.functions import text as tx
+from docgauge.functions.rows import dealt
 from docgauge.session import cut
 
 
@@ -92,9 +93,8 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id",
             yield compared(rest)
 
     coded = cut(reps.mapInPandas(keys, f"id {kind}, t int, p long"))
-    size = coded.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(bucket))
-    placed = coded.join(size, ["t", "p"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    several = coded.groupBy("t", "p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "p")
+    placed = dealt(coded, ["t", "p"], "id", bucket).withColumnsRenamed({"parts": "blocks", "part": "block"}).join(several, ["t", "p"], "left_semi")
     groups = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("id", "t", "p", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     near = groups.join(reps, "id").repartition("t", "p", "i", "j").sortWithinPartitions("t", "p", "i", "j").mapInPandas(compare, f"a {kind}, b {kind}, score double")
     return near.groupBy("a", "b").agg(F.round(F.max("score"), 3).alias("score")).withColumn("copy", F.lit(False)).unionByName(copies)

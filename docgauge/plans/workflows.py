@@ -109,7 +109,8 @@ def run_corpus(spark: SparkSession, folder: str, config: dict, out: str, enrich:
         client, manifest = _image_client(config)
         docs, told = described(cut(docs), client, _min_side(config))
         manifest = reports.write_manifest(cut(told), manifest) if manifest else None
-    docs = cut(docs)  # each source file is read once
+    if not parsed:
+        docs = cut(docs)  # each source file is extracted once; a store is read again instead
     if enrich and not parsed:
         reports.write_enriched(docs, out)
     scored = score_corpus(docs, grid, factory(config.get("llm", {"provider": "mock"})), config)

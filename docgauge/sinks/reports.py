@@ -93,13 +93,18 @@ DETAIL = ["doc_id", "critere_id", "critere", "tag", "poids", "status", "score",
 REMEDIATION = ["doc_id", "critere_id", "critere", "poids", "score_actuel"]
 
 
+def _file_order():
+    """Order of entries by file name: a point follows each stem, so that "a" comes after "a-b"."""
+    return F.concat("doc_id", F.lit("."))
+
+
 def write_corpus_report(doc_scores: DataFrame, criterion_rows: DataFrame, out: str | Path) -> dict[str, str]:
     """Workbook with three sheets and the same three tables as CSV."""
     out = str(out)
     paths.make_folder(out)
     tables = {
-        "synthese": (SYNTHESIS, scoring.synthesis(doc_scores).orderBy("doc_id")),
-        "detail": (DETAIL, scoring.detail(criterion_rows).orderBy("doc_id", "ord")),
+        "synthese": (SYNTHESIS, scoring.synthesis(doc_scores).orderBy(_file_order())),
+        "detail": (DETAIL, scoring.detail(criterion_rows).orderBy(_file_order(), "ord")),
         "remediation": (REMEDIATION, scoring.remediation(criterion_rows).orderBy("doc_id", F.desc("poids"), "ord")),
     }
     written = {f"csv_{k}": write_csv(paths.join(out, f"{k}.csv"), cols, _rows(df, cols)) for k, (cols, df) in tables.items()}
@@ -177,7 +182,7 @@ def write_cost(cost: DataFrame, path: str | Path) -> str:
     fs, p = paths.at(str(path))
     with fs.open_output_stream(p) as raw, io.TextIOWrapper(raw, encoding="utf-8", newline="") as f:
         f.write("{")
-        for i, r in enumerate(cost.orderBy("doc_id").toLocalIterator()):
+        for i, r in enumerate(cost.orderBy(_file_order()).toLocalIterator()):
             f.write((",\n  " if i else "\n  ") + json.dumps(r["doc_id"], ensure_ascii=False) + ": " + json.dumps({"n_calls": r["n_calls"], "prompt_chars": r["prompt_chars"]}))
         f.write("\n}\n")
     return str(path)

@@ -2,6 +2,7 @@
 
 import csv
 import json
+import time
 import zipfile
 
 import pytest
@@ -158,6 +159,40 @@ def test_one_failing_section_voids_its_document(spark, corpus):
     assert got["limite"] == ["processing_error: TimeoutError"] and len(got) == 6
 
 
+def test_calls_run_in_parallel_and_are_tried_again(spark):
+    from docgauge.judging.run import answer, tried
+
+    class Slow(Scripted):
+        def __init__(self):
+            super().__init__(default={"ok": 1})
+            self.seen = {}
+
+        def ask(self, prompt):
+            self.seen[prompt] = self.seen.get(prompt, 0) + 1
+            time.sleep(0.2)
+            if prompt == "p3" and self.seen[prompt] < 3:
+                raise ConnectionError
+            if prompt == "p4":
+                raise TimeoutError
+            if prompt == "p5":
+                raise KeyError
+            return f"{prompt} {self.seen[prompt]}"
+
+    rows = spark.createDataFrame([(f"p{i}",) for i in range(12)], "prompt string").coalesce(1)
+    began = time.time()
+    got = {r["prompt"]: (r["response"], r["error"]) for r in answer(rows, Slow, parallel=6, wait=0.01).collect()}
+    assert time.time() - began < 30 and got["p0"] == ("p0 1", None) and got["p3"] == ("p3 3", None) and got["p4"] == (None, "TimeoutError") and got["p5"] == (None, "KeyError")
+    assert tried(lambda: "a") == ("a", None)
+
+
+def test_entries_come_by_file_name(spark, tmp_path):
+    rows = [("a", 1.0, "Excellent", 1.0, {}, [], []), ("a-b", 2.0, "Excellent", 1.0, {}, [], []), ("b", 3.0, "Excellent", 1.0, {}, [], [])]
+    scores = spark.createDataFrame(rows, "doc_id string, global_pct double, level string, coverage_pct double, dimensions map<string,double>, worst_sections array<string>, flags array<string>")
+    crit = spark.createDataFrame([], "doc_id string, ord int, id string, dimension string, label string, tag string, weight int, state string, status string, score int, justification string, evidence string")
+    reports.write_corpus_report(scores, crit, str(tmp_path))
+    assert [r[0] for r in csv.reader((tmp_path / "synthese.csv").open(encoding="utf-8-sig", newline=""), delimiter=";")] == ["doc_id", "a-b", "a", "b"]
+
+
 def test_store_round_trip_and_edits(spark, corpus, tmp_path):
     from docgauge.sources.parsed_store import is_parsed_folder, read_store
 

@@ -73,6 +73,18 @@ def test_numbers_follow_the_order(spark):
     assert numbered(df.where("false"), "k").count() == 0
 
 
+def test_hot_keys_are_dealt(spark):
+    from docgauge.functions.rows import copied, dealt
+
+    rows = [("hot", i) for i in range(90)] + [("cold", 1000 + i) for i in range(4)] + [(None, 5000)]
+    df = dealt(spark.createDataFrame(rows, "k string, v int"), ["k"], "v", 10)
+    per = {(r["k"], r["part"]): r["count"] for r in df.groupBy("k", "part").count().collect()}
+    assert sum(n for (k, _), n in per.items() if k == "hot") == 90 and len([1 for k, _ in per if k == "hot"]) >= 7 and max(per.values()) < 30 and per["cold", 0] == 4
+    other = copied(spark.createDataFrame([("hot", "a"), ("cold", "b"), ("none", "c")], "k string, w string"), df, ["k"])
+    got = df.join(other, ["k", "part"]).select("k", "v", "w").collect()
+    assert len(got) == 94 and len({r["v"] for r in got}) == 94
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     import pytest
 
