@@ -20,8 +20,9 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgauge.functions.rows import dealt
 from docgauge.functions.text import is_blank
-from docgauge.llm.lookalike import LIGATURES, visible
+from docgauge.llm.lookalike import HIDDEN, LIGATURES, visible
 from docgauge.session import cut
 
 COLLATION = "UNICODE"
@@ -31,7 +32,8 @@ BLOCK = 1024
 
 def drawn(c: Column) -> Column:
     """Text as drawn, with one kind of line end."""
-    return F.regexp_replace(visible(c), r"\r\n?", "\n")
+    shown = F.when(c.rlike(HIDDEN), visible(c)).otherwise(c)
+    return F.regexp_replace(shown, r"\r\n?", "\n")
 
 
 def _bases() -> tuple[str, str]:
@@ -103,8 +105,8 @@ def found(docs: DataFrame) -> DataFrame:
     members, _ = classes(docs)
     members = cut(members.distinct())
     # A class of more than BLOCK members is dealt into blocks; each two blocks meet in a task of their own.
-    size = members.groupBy("canonical").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
-    dealt = members.join(size, "canonical").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    a = dealt.select(F.col("doc_id").alias("doc_id_a"), F.col("digest").alias("da"), "canonical", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-    b = dealt.select(F.col("doc_id").alias("doc_id_b"), F.col("digest").alias("db"), "canonical", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
+    parted = dealt(members, ["canonical"], "doc_id", BLOCK)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    a = parted.select(F.col("doc_id").alias("doc_id_a"), F.col("digest").alias("da"), "canonical", F.col("part").alias("i"), every.alias("j"))
+    b = parted.select(F.col("doc_id").alias("doc_id_b"), F.col("digest").alias("db"), "canonical", F.col("part").alias("j"), every.alias("i"))
     return a.join(b, ["canonical", "i", "j"]).where("doc_id_a < doc_id_b and da <> db").select("doc_id_a", "doc_id_b").distinct()

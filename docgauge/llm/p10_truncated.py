@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgauge.functions.rows import copied, dealt
 from docgauge.llm import minhash as mh
 from docgauge.llm.p05_pairs import ABBREVIATIONS, UNFINISHED, open_close
 from docgauge.session import cut
@@ -45,8 +46,8 @@ RUNNING, BACK_OFF = 0.1, 5.0
 PAIR_TERMINAL, PAIR_ITEM = 0.2, 0.03
 #: Times by which a longer word must be more frequent than the torn word that starts it.
 RARER = 10
-#: Words before the last one that must stand in the text that goes on.
-ANCHOR = 4
+#: Words before the last one that must stand in the text that goes on, and texts holding them that meet in one task.
+ANCHOR, PART = 4, 4096
 
 #: Documents whose signatures are computed at once, and words whose hashes a task remembers.
 BLOCK, MEMO = 1000, 500_000
@@ -314,7 +315,12 @@ def near_copies(rec: DataFrame, documents: DataFrame) -> DataFrame:
     longest = inner.groupBy("gram", "word", (F.col("left_words") > 0).cast("int").alias("left_words")).agg(F.max(b).alias("m"))
     first = cut(longest.join(ends, "gram").where(on).select("a", F.col("m.digest").alias("b")).where("a <> b").distinct())
     got = cut(_verified(first, texts))
-    rest = cut(inner.join(ends.join(got.select(F.col("digest").alias("a")), "a", "left_anti"), "gram").where(on).select("a", F.col("digest").alias("b")).where("a <> b").distinct().join(first, ["a", "b"], "left_anti"))
+    left = cut(ends.join(got.select(F.col("digest").alias("a")), "a", "left_anti"))
+    if left.isEmpty():
+        return got
+    parted = dealt(inner, ["gram"], "digest", PART)  # a common closing is dealt over many tasks
+    rest = parted.join(copied(left, parted, ["gram"]), ["gram", "part"]).where(on).select("a", F.col("digest").alias("b")).where("a <> b").distinct().join(first, ["a", "b"], "left_anti")
+    rest = cut(rest)
     if rest.isEmpty():
         return got
     bands = live.select("digest", "top", F.concat("top", F.coalesce("heads", F.array().cast("array<long>"))).alias("bands")).join(one.select("r.doc_id", "digest"), "digest").dropDuplicates(["digest"])

@@ -225,7 +225,8 @@ def test_copies_cut_anywhere_are_paired(spark):
     assert len(want - whole) >= 38 and {r["doc_id"] for r in p10.found(df).collect()} == {k for k, t, _ in rows if t in want - whole}
 
 
-def test_hot_group_loses_no_record(spark):
+def test_hot_group_loses_no_record(spark, monkeypatch):
+    monkeypatch.setattr(p10, "PART", 3)
     head = body(500, 12)  # a third of the texts begin alike; some are cut copies of one that is not the longest
     rows = [(i, f"{head} {body(600 + i, 3 + i % 9)}", "a") for i in range(30)]
     rows += [(100 + i, rows[i][1][:-37].rstrip(), "a") for i in range(0, 30, 2)] + [(200 + i, body(700 + i), "a") for i in range(40)]

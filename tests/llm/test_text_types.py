@@ -84,6 +84,29 @@ def test_languages_of_paragraphs(spark):
     assert main["wrong"] == ("en", ["en"]) and main["mixed"][1] == ["de", "fr"] and "null" not in main
 
 
+def test_unknown_languages_are_rejected(spark):
+    rows = [(f"{c}{i}", prose(t, 3, i), c, "a") for c, t in (("fr", FR), ("de", DE), ("en", EN)) for i in range(20)]
+    strange = {
+        "ru": "Комитет проверяет заявление о возмещении расходов до конца месяца, если все документы были представлены вовремя, и хранит копию в архиве отделения.",
+        "fi": "Toimikunta tarkastaa korvaushakemuksen ennen kuukauden loppua, jos kaikki asiakirjat on toimitettu ajoissa, ja säilyttää jäljennöksen osaston arkistossa koko vuoden ajan.",
+        "hu": "A bizottság a hónap vége előtt ellenőrzi a térítési kérelmet, ha minden iratot időben benyújtottak, és egy másolatot megőriz az osztály levéltárában a következő évig.",
+        "el": "Η επιτροπή ελέγχει την αίτηση επιστροφής εξόδων πριν από το τέλος του μήνα, εφόσον όλα τα έγγραφα υποβλήθηκαν εγκαίρως, και φυλάσσει αντίγραφο στο αρχείο.",
+        "vi": "Ủy ban kiểm tra đơn yêu cầu hoàn trả trước cuối tháng nếu mọi giấy tờ đã được nộp đúng hạn và lưu giữ một bản sao trong kho lưu trữ của phòng.",
+    }
+    df = docs(spark, rows + [(k, t, None, "a") for k, t in strange.items()])
+    seg = {r["doc_id"]: (r["seg_lang"], r["confidence"]) for r in p2.language_segments(df, p2.train(df)).collect()}
+    assert {k: seg[k] for k in strange} == dict.fromkeys(strange, ("und", 0.0)) and seg["fr0"][0] == "fr"
+    assert not {r["doc_id"] for r in p2.found(df).collect()} & set(strange)
+
+
+def test_training_paragraphs_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(p2, "PER_DOC", 3)
+    seen = []
+    monkeypatch.setattr(p2, "fit", lambda texts, labels: seen.append((texts, labels)))
+    p2.train(docs(spark, [("a", prose(FR, 40), "fr", "a"), ("b", "mot " * 5000, "fr", "a"), ("c", prose(DE, 2), "de", "a")]))
+    assert sorted(seen[0][1]) == ["de", "de", "fr", "fr", "fr"] and max(map(len, seen[0][0])) <= p2.LONGEST + 2
+
+
 def test_segments_round_trip():
     for t in ("", "a", "a\n\nb", "\n\na\r\n \t\r\nb\n", "a\rb\r\rc"):
         parts = [t[a:b] for a, b in p2.segments(t)]
