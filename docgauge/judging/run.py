@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from docgauge.judging.clients import Client
 from docgauge.session import cut
+from docgauge.sinks import paths
+from docgauge.sources.pdf import pictures
 
 
 #: Calls of a task at a time; further tries of a failed call, and seconds before the first of them (doubled each time).
@@ -57,23 +60,40 @@ def answer(rows: DataFrame, client: Callable[[], Client], prompt: str = "prompt"
     return cut(rows.mapInPandas(run, schema))
 
 
-def describe(images: DataFrame, client: Callable[[], Client], render: Callable[[str, int, object], bytes] | None = None) -> DataFrame:
-    """Descriptions of images (doc_id, placeholder, page, box, context): description, error. ``render`` makes the crop."""
+def describe_files(files: DataFrame, images: DataFrame, client: Callable[[], Client], crops: str | None = None) -> DataFrame:
+    """Descriptions of the images of PDF files: doc_id, placeholder, page, context, image_path, description, error.
+
+    ``files``: doc_id, content. ``images``: doc_id, placeholder, page, context. The images of a file are taken from it in
+    one go and, with ``crops``, kept as ``crops/<doc_id>/p<page>_idx<n>.<ext>``. A failing image never fails its document.
+    """
+    per = images.groupBy("doc_id").agg(F.collect_list(F.struct("placeholder", "page", "context")).alias("items"))  # the images of one file
+    schema = "doc_id string, placeholder string, page int, context string, image_path string, description string, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = None
         for pdf in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                try:
-                    c = c or client()
-                    png = render(r.doc_id, r.page, r.box) if render else b""
-                    rows.append((r.doc_id, r.placeholder, c.describe(png, r.context), None))
-                except Exception as e:
-                    rows.append((r.doc_id, r.placeholder, None, type(e).__name__))
-            yield pd.DataFrame(rows, columns=["doc_id", "placeholder", "description", "error"])
-
-    return cut(images.select("doc_id", "placeholder", "page", "box", "context").mapInPandas(run, "doc_id string, placeholder string, description string, error string"))
+            for doc, content, items in zip(pdf["doc_id"], pdf["content"], pdf["items"]):
+                drawn: dict[int, list[tuple[bytes, str]]] = {}
+                for im in items:
+                    path = ""
+                    try:
+                        c = c or client()
+                        if im["page"] not in drawn:
+                            drawn[im["page"]] = pictures(content, im["page"])
+                        n = int(re.search(r"idx=(\d+)", im["placeholder"]).group(1))
+                        data, ext = drawn[im["page"]][n - 1] if n <= len(drawn[im["page"]]) else (b"", "")
+                        if crops and data:
+                            folder = paths.join(crops, doc)
+                            paths.make_folder(folder)
+                            path = paths.join(folder, f"p{im['page']}_idx{n}.{ext}")
+                            paths.put(path, data)
+                        rows.append((doc, im["placeholder"], im["page"], im["context"], path, c.describe(data, im["context"]), None))
+                    except Exception as e:
+                        rows.append((doc, im["placeholder"], im["page"], im["context"], path, None, type(e).__name__))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+
+    return cut(files.select("doc_id", "content").join(per, "doc_id").mapInPandas(run, schema))
 
 
 def failed_documents(answers: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docgauge.functions import text as tx
 from docgauge.judging.clients import Client, factory
-from docgauge.judging.run import answer, describe, failed_documents
+from docgauge.judging.run import answer, describe_files, failed_documents
 from docgauge.operators import golden as gq
 from docgauge.operators import enrich, inventory, judge, retrieval, rules, scoring, screen, sections, signals
 from docgauge.session import cut
@@ -126,15 +126,17 @@ def parse_folder(spark: SparkSession, folder: str, pdf_readers: list | None = No
     return parse_planned(files, plan, pdf_readers, extractor, batch_pages, parser)
 
 
-def described(docs: DataFrame, client: Callable[[], Client], min_side: float = enrich.MIN_SIDE, render=None) -> tuple[DataFrame, DataFrame]:
-    """(documents with their images described, the descriptions with page and context). Documents with images are marked
-    as enriched; a failing image leaves its error in the text, never costs the document."""
+def described(docs: DataFrame, files: DataFrame, client: Callable[[], Client], min_side: float = enrich.MIN_SIDE, crops: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents with their images described, the descriptions) of documents and their scanned files.
+
+    Documents with images are marked as enriched; a failing image leaves its error in the text, never costs the document.
+    """
     images = cut(enrich.images_to_describe(docs.where(F.size("images") > 0), min_side))
-    told = describe(images, client, render)
+    told = describe_files(files.where("type = 'pdf'"), images, client, crops)
     out = enrich.apply_descriptions(docs, told, min_side)
     if "provenance" in docs.columns:
         out = out.withColumn("provenance", F.col("provenance").withField("enriched", F.size("images") > 0))
-    return out, told.join(images.select("doc_id", "placeholder", "page", "context"), ["doc_id", "placeholder"])
+    return out, told
 
 
 def golden_set(docs: DataFrame, client: Callable[[], Client], profile: str = "utilisateur metier", policy: str = "", n_questions="auto", corpus_questions: DataFrame | None = None, k: int = 6, chunk_chars: int = 1000, overlap: int = 100, encoder=retrieval.letter_counts, corpus_level: bool = False) -> DataFrame:

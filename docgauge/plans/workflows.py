@@ -15,7 +15,7 @@ from docgauge.operators import redundancy
 from docgauge.plans.run import described, golden_set, parse_folder, parse_planned, plan_folder, score_corpus
 from docgauge.session import cut
 from docgauge.sinks import paths, reports
-from docgauge.sources.files import BATCH_PAGES
+from docgauge.sources.files import BATCH_PAGES, scan
 from docgauge.sources.grid import Grid, config_hash, load_grid
 from docgauge.sources.parsed_store import is_parsed_folder, read_store, stored_sources
 
@@ -77,8 +77,7 @@ def parse_corpus(spark: SparkSession, folder: str, config: dict, out: str, enric
     manifest, errors = None, spark.createDataFrame([], "doc_id string, error string")
     if enrich or config.get("enrichment", {}).get("enabled", False):
         client, manifest = _image_client(config)
-        docs, told = described(cut(docs), client, _min_side(config))
-        told = cut(told)
+        docs, told = described(cut(docs), files, client, _min_side(config), paths.join(out, "images"))
         errors = told.where("error is not null").groupBy("doc_id").agg(F.concat(F.lit("enrichissement: "), F.min("error")).alias("error"))
         manifest = reports.write_manifest(told, manifest) if manifest else None
     reports.write_parsed_store(docs, out)
@@ -107,8 +106,8 @@ def run_corpus(spark: SparkSession, folder: str, config: dict, out: str, enrich:
         warnings.warn("images are described by parse: enrichment has no effect on a parsed folder", RuntimeWarning, stacklevel=2)
     elif enrich:
         client, manifest = _image_client(config)
-        docs, told = described(cut(docs), client, _min_side(config))
-        manifest = reports.write_manifest(cut(told), manifest) if manifest else None
+        docs, told = described(cut(docs), scan(spark, folder), client, _min_side(config), paths.join(out, "images"))
+        manifest = reports.write_manifest(told, manifest) if manifest else None
     if not parsed:
         docs = cut(docs)  # each source file is extracted once; a store is read again instead
     if enrich and not parsed:

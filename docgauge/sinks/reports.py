@@ -194,7 +194,7 @@ def write_manifest(images: DataFrame, path: str | Path) -> str:
     with fs.open_output_stream(p) as raw, io.TextIOWrapper(raw, encoding="utf-8", newline="") as f:
         f.write("[")
         for i, r in enumerate(images.orderBy("doc_id", "page", "placeholder").toLocalIterator()):
-            item = {"image_path": r["doc_id"], "context": r["context"], "placeholder": r["placeholder"], "description": r["description"] or ""}
+            item = {"image_path": r["image_path"], "context": r["context"], "placeholder": r["placeholder"], "description": r["description"] or ""}
             f.write((",\n  " if i else "\n  ") + json.dumps(item, ensure_ascii=False))
         f.write("\n]\n")
     return str(path)

@@ -460,10 +460,10 @@ def at(m: Matrix, x: float, y: float) -> tuple[float, float]:
 
 @dataclass
 class Page:
-    """What a page draws: text pieces (x, y, end, size, text), image boxes, ruled lines, in page space."""
+    """What a page draws: text pieces (x, y, end, size, text), images (box and stream), ruled lines, in page space."""
 
     pieces: list[tuple[float, float, float, float, str]] = field(default_factory=list)
-    images: list[tuple[float, float, float, float]] = field(default_factory=list)
+    images: list[tuple[tuple[float, float, float, float], Stream | None]] = field(default_factory=list)
     rules: list[tuple[float, float, float, float]] = field(default_factory=list)
 
 
@@ -559,12 +559,12 @@ class Painter:
                 elif x == "Do":
                     form = get(named("XObject", args[0]))
                     if isinstance(form, Stream) and get(form.info.get("Subtype")) == "Image":
-                        page.images.append(_box(ctm, 0, 0, 1, 1))
+                        page.images.append((_box(ctm, 0, 0, 1, 1), form))
                     elif isinstance(form, Stream) and depth < self.DEEPEST:
                         m = [float(get(v)) for v in self.doc.many(form.info.get("Matrix"))]
                         self.paint(page, self.doc.decoded(form), get(form.info.get("Resources")) or resources, times(tuple(m), ctm) if len(m) == 6 else ctm, depth + 1)
                 elif x == "BI":
-                    page.images.append(_box(ctm, 0, 0, 1, 1))
+                    page.images.append((_box(ctm, 0, 0, 1, 1), None))
                     m = re.compile(rb"\bID[\x00\t\n\x0c\r ]").search(data, lex.at)
                     end = re.compile(rb"[\x00\t\n\x0c\r ]EI(?=[\x00\t\n\x0c\r ]|$)").search(data, m.end() if m else lex.at)
                     lex.at = end.end() if end else len(data)
@@ -666,7 +666,7 @@ def read(content: bytes, first: int = 1, last: int | None = None, by_encoding: b
     texts, typed, images = [], [], {}
     for i, (page, height) in enumerate(drawn_pages(content, first, last, by_encoding), first - 1):
         texts.append(unicodedata.normalize("NFKC", "\n".join(lines_of(page))).strip())
-        boxes = [{"x0": a, "top": height - d, "x1": c, "bottom": height - b} for a, b, c, d in page.images]
+        boxes = [{"x0": a, "top": height - d, "x1": c, "bottom": height - b} for (a, b, c, d), _ in page.images]
         kinds = ["table"] * tables_of(page) + ["image"] * len(boxes)
         typed += [{"kind": k, "text": "", "page": i + 1, "section": None} for k in kinds]
         if boxes:
@@ -678,6 +678,41 @@ def read_by_encoding(content: bytes, first: int = 1, last: int | None = None) ->
     return read(content, first, last, True)
 
 
+def _png(width: int, height: int, channels: int, rows: bytes) -> bytes:
+    """A PNG of samples of eight bits."""
+    part = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    head = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([8, 2 if channels == 3 else 0, 0, 0, 0])
+    size = width * channels
+    lines = b"".join(b"\x00" + rows[y * size : (y + 1) * size] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+def picture(doc: Document, s: Stream | None) -> tuple[bytes, str]:
+    """(file, extension) of an image: JPEG as it is stored, grey and colour samples as PNG; others are empty."""
+    if s is None:
+        return b"", ""
+    info = {k: doc.get(v) for k, v in s.info.items()}
+    last = str(doc.get((doc.many(info.get("Filter")) or [""])[-1]))
+    if last in ("DCTDecode", "JPXDecode"):
+        return doc.decoded(s), "jpg" if last == "DCTDecode" else "jp2"
+    space = info.get("ColorSpace")
+    if isinstance(space, list) and space and doc.get(space[0]) == "ICCBased" and isinstance(profile := doc.get(space[1]), Stream):
+        space = {1: "DeviceGray", 3: "DeviceRGB"}.get(doc.get(profile.info.get("N")))
+    channels = {"DeviceGray": 1, "DeviceRGB": 3}.get(str(space), 0)
+    width, height = int(info.get("Width") or 0), int(info.get("Height") or 0)
+    data = doc.decoded(s)
+    if channels and info.get("BitsPerComponent") == 8 and len(data) >= width * height * channels > 0:
+        return _png(width, height, channels, data), "png"
+    return b"", ""
+
+
+def pictures(content: bytes, page_no: int) -> list[tuple[bytes, str]]:
+    """Files of the images of a page, in the order of their numbers."""
+    doc = Document(content)
+    page, height = next(drawn_pages(content, page_no, page_no))
+    return [picture(doc, s) for _, s in sorted(page.images, key=lambda x: height - x[0][3])]
+
+
 def count(content: bytes) -> tuple[int, int, int]:
     """(pages, words, images) of a file."""
     texts, typed, _ = read(content)

@@ -88,6 +88,19 @@ def test_tables_images_and_forms():
     assert pdf.count(build([content], extra={60: image, 61: form})) == (1, 4, 3)
 
 
+def test_pictures():
+    grey = stream(bytes(range(6)), "/Subtype /Image /Width 3 /Height 2 /BitsPerComponent 8 /ColorSpace /DeviceGray")
+    rgb = stream(bytes(12), "/Subtype /Image /Width 2 /Height 2 /BitsPerComponent 8 /ColorSpace [/ICCBased 70 0 R]")
+    odd = stream(b"\x00", "/Subtype /Image /Width 8 /Height 1 /BitsPerComponent 1 /ColorSpace /DeviceGray")
+    jpeg = stream(b"\xff\xd8rest", "/Subtype /Image /Filter /DCTDecode", flate=False)
+    content = " ".join(f"q 50 0 0 50 50 {y} cm /X{n} Do Q" for n, y in ((60, 100), (61, 600), (62, 300), (63, 200)))
+    files = pdf.pictures(build([content], extra={60: grey, 61: rgb, 62: odd, 63: jpeg, 70: stream(b"", "/N 3")}), 1)
+    assert [e for _, e in files] == ["png", "", "jpg", "png"] and files[2][0] == b"\xff\xd8rest"
+    png = files[3][0]
+    at = png.index(b"IDAT")
+    assert png.startswith(b"\x89PNG") and png[16:24] == (3).to_bytes(4, "big") + (2).to_bytes(4, "big") and zlib.decompress(png[at + 4 : at + 4 + int.from_bytes(png[at - 4 : at], "big")]) == bytes([0, 0, 1, 2, 0, 3, 4, 5])
+
+
 def test_damage():
     whole = build([TEXT, TEXT])
     assert pdf.read(whole.replace(b"trailer", b"trelier"))[0][0].startswith("Été")  # the catalog is looked for

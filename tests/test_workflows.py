@@ -102,6 +102,7 @@ def test_images_are_described_in_parse(spark, raw, tmp_path, config):
     assert main(["parse", str(raw), "--config", config(), "--out", str(out), "--enrich"], spark) == 0
     md = (out / "contrat.md").read_text(encoding="utf-8")
     assert "[Image (description automatique, non verifiee): mock: description image]" in md and "[Image decorative ignoree]" in md and "[[IMAGE" not in md
+    assert [p.name for p in (out / "images" / "contrat").iterdir()] == ["p1_idx2.jpg"] and (out / "images" / "contrat" / "p1_idx2.jpg").read_bytes() == b"\xff\xd8"
     side = json.loads((out / "contrat.parse.json").read_text(encoding="utf-8"))
     assert side["provenance"]["enriched"] and not json.loads((out / "limite.parse.json").read_text(encoding="utf-8"))["provenance"]["enriched"]
     assert {r["doc_id"]: r["entry_flags"] for r in read_store(spark, str(out)).collect()}["contrat"] == []
