@@ -12,7 +12,8 @@ Records without such a partner are scored by the terminality of their closing wo
   how often a longer line starts with it, whether its last word is a torn one, and for a line nobody else has, how often
   its last two words end a line.
 
-The structure of the end shows the rest: open brackets, items without text and unfinished table rows.
+An end whose structure is open (a bracket, an item without text, a table row short of cells) is scored by its closing token
+too; where that is one that may end a text, the structure decides as an exact check.
 
 All counts cover all documents and shrink map-side. Null and blank texts are never cut; a null source is the source "".
 Repeated rows are each reported; doc_id is the key.
@@ -91,8 +92,8 @@ def word_before(text: str) -> str:
 def end_state(text: str) -> tuple[str, str | None]:
     """(state, what to ask about) of the end of one text.
 
-    "cut" and "whole" show in the structure, "still" is whole unless a copy goes on; "run" asks about the closing token of
-    running text, "ask" and "item" (in a list or table) about the closing line.
+    "cut" and "whole" show in the structure, "still" is whole unless a copy goes on; "cut" and "run" (running text) ask about
+    the closing token, "ask" and "item" (in a list or table) about the closing line.
     """
     t = text.rstrip()
     if t.endswith("\ufffd") or MARK.search(t, max(0, len(t) - 20)):
@@ -112,19 +113,19 @@ def end_state(text: str) -> tuple[str, str | None]:
     if kind and (len(same) >= 1 or kind == "|"):
         if kind == "|":
             if not last.rstrip().endswith("|"):
-                return "cut", None
+                return "cut", closing_token(t)
             widths = Counter(len(c) for c in same)
-            return ("whole" if not widths or len(row) == widths.most_common(1)[0][0] else "cut"), None
+            return ("whole", None) if not widths or len(row) == widths.most_common(1)[0][0] else ("cut", closing_token(t))
         if kind == '","' and not last.rstrip().endswith('"'):
-            return "cut", None
+            return "cut", closing_token(t)
         if len(row) < Counter(len(c) for c in same).most_common(1)[0][0]:
-            return "cut", None
+            return "cut", closing_token(t)
         cell = row[-1].strip().strip('"')
         if MONEY.search(cell):
-            return "cut", None
+            return "cut", closing_token(t)
         return ("item", cell) if re.search(r"[^\W\d_]{2,}", cell) and cell != "n/a" else ("whole", None)
     if not kind and len(before) >= 2 and all(k for k, _ in before):
-        return "cut", None  # the first cell of a row stands alone under rows
+        return "cut", closing_token(t)  # the first cell of a row stands alone under rows
     stack, listed = [], False
     if OPENING.search(paragraph) or BARE_ITEM.match(last):
         for line in inside:
@@ -132,9 +133,9 @@ def end_state(text: str) -> tuple[str, str | None]:
             listed = listed or bool(m)
             open_close(line[m.end() :] if m else line, stack)
     if stack and not (BARE_ITEM.match(last) and len(stack) == 1):
-        return "cut", None
+        return "cut", closing_token(t)
     if listed and BARE_ITEM.match(last):
-        return "cut", None
+        return "cut", closing_token(t)
     item = ITEM.match(last)
     body = last[item.end() :] if item else last
     body = re.sub(r"^[\s>#]+", "", body)
@@ -142,11 +143,11 @@ def end_state(text: str) -> tuple[str, str | None]:
     if URL.search(body.rstrip(")>] ")):
         return "still", None
     if core[-1:] in tuple(".!?。"):
-        return ("cut" if core.endswith(".") and word_before(core) in ABBREVIATIONS else "whole"), None
+        return ("cut", closing_token(t)) if core.endswith(".") and word_before(core) in ABBREVIATIONS else ("whole", None)
     if core[-1:] == ",":
         return "run", closing_token(t)
     if core[-1:] in tuple(":'’(/") or (core[-1:] in tuple("-–—") and not item):
-        return "cut", None
+        return "cut", closing_token(t)
     heading = last.lstrip().startswith("#")
     short = len(body.split()) <= SHORT
     wrapped = not item and not heading and len(inside) > 1 and len(lines[-2]) >= 45 and not re.search(r"[.!?;:]\s*$", lines[-2])
@@ -463,11 +464,12 @@ def _counts(mine: DataFrame, ask: DataFrame, sent: bool) -> DataFrame:
 def terminality(rec: DataFrame, documents: DataFrame) -> DataFrame:
     """Digest and verdict ``torn`` of every text whose closing token or line has to be asked about."""
     n = F.coalesce(F.size("words"), F.lit(0))
-    asked = rec.where("state in ('ask', 'item', 'run')").groupBy("digest").agg(*[F.any_value(c).alias(c) for c in ("closing", "words", "state")], (F.count(F.lit(1)) - 1).alias("copies"))
+    asked = rec.where("state in ('ask', 'item', 'run', 'cut')").groupBy("digest").agg(*[F.any_value(c).alias(c) for c in ("closing", "words", "state")], (F.count(F.lit(1)) - 1).alias("copies"))
     tidy = F.regexp_replace(F.element_at("words", -1), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    line = (F.col("state") != "run") & (n > 0)
+    token = F.col("state").isin("run", "cut")
+    line = ~token & (n > 0)
     asked = cut(
-        asked.where((F.col("state") == "run") | (n > 0)).select(
+        asked.where(token | (n > 0)).select(
             "digest", "state", "copies", "words", F.when(line, F.array_join("words", " ")).alias("line_text"),
             F.when(line, F.when(n > 1, F.element_at("words", -2)).otherwise(F.lit(""))).alias("prev"), F.when(line, tidy).alias("word"), F.when(~line, F.col("closing")).alias("token"),
         )
@@ -523,7 +525,7 @@ def verdicts(documents: DataFrame) -> DataFrame:
     torn, aligned = F.coalesce("torn", F.lit(False)), F.coalesce("early", F.lit(False))
     evidence = (
         F.when((F.col("state") != "whole") & aligned, "alignment")
-        .when(F.col("state").isin("ask", "item", "run") & torn, "terminality")
+        .when(F.col("state").isin("ask", "item", "run", "cut") & torn, "terminality")
         .when(F.col("state") == "cut", "structure")
     )
     return j.select("doc_id", "source", evidence.isNotNull().alias("cut"), evidence.alias("evidence"))
