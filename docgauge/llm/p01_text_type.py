@@ -35,6 +35,8 @@ TABLES = [
     ("<t", r"</?t[dr]\b"),
 ]
 HEADING = r"^\s{0,3}#{1,6}\s"
+# Vowels with and without accents.
+VOWELS = "aeiouyAEIOUYœ" + "".join(chr(x) for a, b in ("àæ", "èï", "òö", "ùý", "ÀÆ", "ÈÏ", "ÒÖ", "ÙÝ") for x in range(ord(a), ord(b) + 1))
 # Glyph codes of the extractor.
 CID = r"\(cid:\d+\)"
 
@@ -100,7 +102,7 @@ def with_statistics(df: DataFrame, text: str = "markdown", prefix: str = "") ->
             p("_letters"): F.length(p("_a")),
             p("_symbols"): F.length(p("_s")),
             p("_odd"): F.length(F.regexp_replace(p("_s"), r"[|\",;:.%€'’()-]+", "")),
-            p("_vowels"): F.length(F.regexp_replace(p("_a"), "[^aeiouyAEIOUYà-æè-ïò-öù-ýœÀ-ÆÈ-ÏÒ-ÖÙ-Ý]+", "")),
+            p("_vowels"): F.length(c) - F.length(F.translate(c, VOWELS, "")),
             p("_common"): F.size(F.filter(w, lambda x: x.isin(COMMON))),
             p("_glyphs"): F.when(c.contains("(cid:"), F.length(c) - F.length(F.regexp_replace(c, CID, ""))).otherwise(0),
             p("_mixed"): F.regexp_count(c, F.lit("[a-z][A-Z]|[0-9][A-Za-z]|[A-Za-z][0-9]")),

@@ -198,3 +198,14 @@ def test_repair_restores_unknown_swaps(spark, monkeypatch):
     monkeypatch.setattr(p4, "PART", 7)
     streamed = p4.repair(df, p4.train(df))
     assert {r["doc_id"]: r for r in streamed.collect()} == got and streamed.count() == df.count()
+
+
+def test_vowels_are_counted_as_letters(spark):
+    import re
+
+    texts = [FR[0], DE[2], "ŒUVRE où Ÿ ý ñ Ç ø × ÷", "12 %", "", None]
+    got = p1.with_statistics(docs(spark, [(str(i), t, "fr", "a") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    for t, r in zip(texts, got):
+        letters = re.findall(r"[^\W\d_]", t or "")
+        vowels = re.findall("[aeiouyAEIOUYà-æè-ïò-öù-ýœÀ-ÆÈ-ÏÒ-ÖÙ-Ý]", t or "")
+        assert r["vowel_ratio"] == (len(vowels) / len(letters) if letters else None)
