@@ -255,7 +255,8 @@ GRAMS = "digest string, gram long, word string, left_words int"
 def _grams(texts: DataFrame, wanted=None) -> DataFrame:
     """Hashes of ``ANCHOR`` words of each text, the word after them and how many words follow it.
 
-    ``wanted``: a broadcast sorted array of the hashes asked for; None for the closing one of each text; "all" for all.
+    ``wanted``: broadcast (sorted hashes asked for, hash -> last words of the texts that ask), of which only places that go
+    on come out; None for the closing one of each text; "all" for all.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,9 +271,15 @@ def _grams(texts: DataFrame, wanted=None) -> DataFrame:
                 if len(known) > MEMO:
                     known.clear()
                 h = mh.shingles(ws[-ANCHOR - 1 :] if wanted is None else ws, known, ANCHOR, False).view("int64")[:-1]
-                at = range(len(h)) if wanted is None or wanted == "all" else _places(h, wanted.value)
                 n = len(h)
-                rows += [(d, int(h[i]), ws[i - n], n - 1 - i) for i in at]
+                if wanted is None or wanted == "all":
+                    rows += [(d, int(h[i]), ws[i - n], n - 1 - i) for i in range(n)]
+                    continue
+                hashes, lasts = wanted.value
+                for i in _places(h, hashes):
+                    gram, word = int(h[i]), ws[i - n]
+                    if any(goes_on(last, word, n - 1 - i) for last in lasts[gram]):
+                        rows.append((d, gram, word, n - 1 - i))
             yield pd.DataFrame(rows, columns=["digest", "gram", "word", "left_words"])
 
     return texts.select("digest", "text").mapInPandas(run, GRAMS)
@@ -298,16 +305,19 @@ def near_copies(rec: DataFrame, documents: DataFrame) -> DataFrame:
     hits = cut(keyed.join(F.broadcast(looked) if looked.count() <= SENT else looked, "key"))
     shared = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     # Exact copies share all keys and count once here, by digest.
-    sharing = hits.join(shared, "key").groupBy("digest").agg(F.max("asked").alias("asks"))
-    one = live.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_words"), "doc_id").alias("r"))
-    involved = cut(one.join(sharing, "digest").select("digest", "r.*", "asks"))
+    sharing = cut(hits.join(shared, "key").groupBy("digest").agg(F.max("asked").alias("asks")))
+    sharing = F.broadcast(sharing) if sharing.count() <= SENT else sharing
+    one = live.join(sharing, "digest").groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_words", "asks"), "doc_id").alias("r"))
+    involved = cut(one.select("digest", "r.*"))
     # A few candidates go to where the texts lie; many are joined by shuffling.
     ids = involved.select("doc_id", "digest", "asks")
     texts = cut(documents.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id").select("digest", "asks", "text"))
     ends = cut(_grams(texts.where("asks")).select(F.col("digest").alias("a"), "gram", F.col("word").alias("last")))
     if ends.count() <= SENT:
-        wanted = rec.sparkSession.sparkContext.broadcast(np.sort(ends.select("gram").distinct().toPandas()["gram"].to_numpy(dtype=np.int64)))
-        inner = _grams(texts, wanted)
+        lasts: dict[int, set[str]] = {}
+        for r in ends.select("gram", "last").distinct().collect():  # at most SENT rows
+            lasts.setdefault(r["gram"], set()).add(r["last"])
+        inner = _grams(texts, rec.sparkSession.sparkContext.broadcast((np.array(sorted(lasts), dtype=np.int64), lasts)))
     else:
         inner = _grams(texts, "all").join(ends.select("gram").distinct(), "gram", "left_semi")
     inner = cut(inner.join(involved.select("digest", "n_words"), "digest"))
@@ -365,8 +375,9 @@ def _counts(mine: DataFrame, ask: DataFrame, sent: bool) -> DataFrame:
     held = None
     if sent:
         tree: dict = {}  # a tree of asked lines, word by word; the key "" holds the line
-        prevs, tokens = set(), set()
-        for r in ask.select("line_text", "prev", "token").distinct().collect():  # at most SENT, checked by the caller
+        tokens: set[str] = set()
+        prevs: dict[str, set[str]] = {}  # word before -> beginnings of the words asked about after it
+        for r in ask.select("line_text", "prev", "word", "token").distinct().collect():  # at most SENT, checked by the caller
             if r["token"] is not None:
                 tokens.add(r["token"])
                 continue
@@ -374,7 +385,7 @@ def _counts(mine: DataFrame, ask: DataFrame, sent: bool) -> DataFrame:
             for w in r["line_text"].split(" "):
                 at = at.setdefault(w, {})
             at[""] = r["line_text"]
-            prevs.add(r["prev"])
+            prevs.setdefault(r["prev"], set()).add(r["word"][:2])
         held = mine.sparkSession.sparkContext.broadcast((tree, prevs, tokens))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -389,7 +400,8 @@ def _counts(mine: DataFrame, ask: DataFrame, sent: bool) -> DataFrame:
             rows = [("l", a, None, n, whole[a]) for a, n in begun.items()]
             both: dict[tuple[str, str], list[int]] = {}
             for (a, b), n in pair.items():
-                if word := EDGE.sub("", b):
+                word = EDGE.sub("", b)
+                if word and (prevs is None or word[:2] in prevs[a] or word[:1] in prevs[a]):
                     x = both.setdefault((a, word), [0, 0])
                     x[0] += n
                     x[1] += n * b.endswith("\n")
@@ -474,7 +486,7 @@ def terminality(rec: DataFrame, documents: DataFrame) -> DataFrame:
             F.when(line, F.when(n > 1, F.element_at("words", -2)).otherwise(F.lit(""))).alias("prev"), F.when(line, tidy).alias("word"), F.when(~line, F.col("closing")).alias("token"),
         )
     )
-    sent = asked.select("line_text", "prev", "token").distinct().count() <= SENT
+    sent = asked.select("line_text", "prev", "word", "token").distinct().count() <= SENT
     got = _counts(documents.where(F.length("text") > 0), asked, sent)
     return _torn_lines(asked.where("token is null"), got).unionByName(_torn_tokens(asked.where("token is not null"), got))
 
@@ -521,14 +533,17 @@ def verdicts(documents: DataFrame) -> DataFrame:
     early = near_copies(rec, documents).select("digest", F.lit(True).alias("early"))
     asked = terminality(rec, documents).select("digest", "torn")
     told = asked.join(early, "digest", "full")
-    j = rec.join(told, "digest", "left")
+    ends = rec.select("doc_id", "source", "digest", "state")
+    j = ends.where("state <> 'whole'").join(told, "digest", "left")
     torn, aligned = F.coalesce("torn", F.lit(False)), F.coalesce("early", F.lit(False))
     evidence = (
         F.when((F.col("state") != "whole") & aligned, "alignment")
         .when(F.col("state").isin("ask", "item", "run", "cut") & torn, "terminality")
         .when(F.col("state") == "cut", "structure")
     )
-    return j.select("doc_id", "source", evidence.isNotNull().alias("cut"), evidence.alias("evidence"))
+    whole = ends.where("state = 'whole'").withColumn("evidence", F.lit(None).cast("string"))
+    got = j.select("doc_id", "source", evidence.alias("evidence")).unionByName(whole.select("doc_id", "source", "evidence"))
+    return got.select("doc_id", "source", F.col("evidence").isNotNull().alias("cut"), "evidence")
 
 
 def by_source(documents: DataFrame) -> DataFrame:
