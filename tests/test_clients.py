@@ -20,7 +20,7 @@ def server():
     class Handler(BaseHTTPRequestHandler):
         def do_POST(self):
             body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-            seen.append((self.path, dict(self.headers), body))
+            seen.append((self.path, {k.lower(): v for k, v in self.headers.items()}, body))
             if "casse" in json.dumps(body):
                 self.send_response(500)
                 self.end_headers()
@@ -40,7 +40,7 @@ def server():
     s.shutdown()
 
 
-@pytest.mark.parametrize(("provider", "path", "header"), [("openai", "/chat/completions", "Authorization"), ("anthropic", "/v1/messages", "X-api-key"), ("azure_openai", "/openai/deployments/m/chat/completions?api-version=2024-06-01", "Api-key")])
+@pytest.mark.parametrize(("provider", "path", "header"), [("openai", "/chat/completions", "authorization"), ("anthropic", "/v1/messages", "x-api-key"), ("azure_openai", "/openai/deployments/m/chat/completions?api-version=2024-06-01", "api-key")])
 def test_http_providers(server, monkeypatch, provider, path, header):
     base, seen = server
     client = factory({"provider": provider, "base_url": base, "model": "m", "api_key_env": "SOME_KEY"})()
