@@ -35,13 +35,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 def _run(spark: SparkSession, args: argparse.Namespace, config: dict) -> int:
     if args.command == "golden":
-        print(f"Golden set: {workflows.run_golden(spark, args.folder, config, args.out)['xlsx']}")
+        print(f"Golden set: {workflows.golden_into(spark, args.folder, config, args.out)['xlsx']}")
         return 0
     if args.command == "run":
-        ran = workflows.run_corpus(spark, args.folder, config, args.out, args.enrich)
+        ran = workflows.score_into(spark, args.folder, config, args.out, args.enrich)
         print(f"{ran.n_docs} documents, {ran.n_errors} with errors. Report: {ran.report['xlsx']}")
         return 0
-    done = workflows.parse_corpus(spark, args.folder, config, args.out, args.enrich, args.force)
+    done = workflows.parse_into(spark, args.folder, config, args.out, args.enrich, args.force)
     print(f"{done.n_written} documents written, {done.n_skipped} skipped. Output: {done.out}")
     if done.n_changed:
         print("Sources changed since they were parsed (--force parses them again):")

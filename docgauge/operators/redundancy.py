@@ -100,7 +100,7 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id",
     return near.groupBy("a", "b").agg(F.round(F.max("score"), 3).alias("score")).withColumn("copy", F.lit(False)).unionByName(copies)
 
 
-def corpus_redundancy(docs: DataFrame, encoder=None, threshold: float = 0.9, key: str = "doc_id", text: str = "markdown") -> tuple[DataFrame, DataFrame | None, str]:
+def redundancy_of(docs: DataFrame, encoder=None, threshold: float = 0.9, key: str = "doc_id", text: str = "markdown") -> tuple[DataFrame, DataFrame | None, str]:
     """(exact groups, near pairs or None, status) of a corpus. ``encoder`` maps texts to vectors, see ``retrieval.embed``.
 
     Near duplicates are an extra: without an encoder, without documents, or when it fails, the status says so and the

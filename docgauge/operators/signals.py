@@ -52,7 +52,7 @@ def with_counts(df: DataFrame, text: str = "markdown") -> DataFrame:
         "c",
         F.struct(
             F.length("_t").alias("len"),
-            F.length(F.regexp_replace("_t", r"[^\p{L}]", "")).alias("alpha"),
+            F.length(F.regexp_replace("_t", r"\P{L}+", "")).alias("alpha"),
             (F.length("_t") - F.length(F.regexp_replace("_t", GLYPH, ""))).alias("cid"),
             n.alias("n_tok"), F.size(F.array_distinct(tk)).alias("u_tok"), seg.alias("seg_u"),
             F.size("_ln").alias("n_line"), F.size(F.array_distinct(ln)).alias("u_line"),

@@ -63,7 +63,7 @@ def _min_side(config: dict) -> float:
     return float(config.get("enrichment", {}).get("min_side_pts", 24.0))
 
 
-def parse_corpus(spark: SparkSession, folder: str, config: dict, out: str, enrich: bool = False, force: bool = False, extractor=None) -> Parsed:
+def parse_into(spark: SparkSession, folder: str, config: dict, out: str, enrich: bool = False, force: bool = False, extractor=None) -> Parsed:
     """Parse a raw folder into a store. Entries that are there are never overwritten unless ``force``; a source that changed
     since is reported. Refused: a parsed folder, an output that is the input, two sources of one name."""
     if is_parsed_folder(paths.names(folder)):
@@ -92,7 +92,7 @@ def _documents(spark: SparkSession, folder: str, config: dict, extractor) -> tup
     return parse_folder(spark, folder, **_pdf_options(config, extractor)), False
 
 
-def run_corpus(spark: SparkSession, folder: str, config: dict, out: str, enrich: bool = False, grid: Grid | None = None, encoder=None, extractor=None) -> Ran:
+def score_into(spark: SparkSession, folder: str, config: dict, out: str, enrich: bool = False, grid: Grid | None = None, encoder=None, extractor=None) -> Ran:
     """Score a raw or parsed folder: a JSON file per document, the reports, the redundancy and the cost file.
 
     Every document has a row. Images are described before scoring on a raw folder; on a parsed one that is too late and
@@ -116,13 +116,13 @@ def run_corpus(spark: SparkSession, folder: str, config: dict, out: str, enrich:
     rows = cut(scored.doc_scores)
     reports.write_doc_json(rows, scored.criterion_rows, out, config_hash(config, grid.fingerprint))
     report = reports.write_corpus_report(rows, scored.criterion_rows, out)
-    alike = redundancy.corpus_redundancy(docs.join(scored.errors, "doc_id", "left_anti"), encoder)
+    alike = redundancy.redundancy_of(docs.join(scored.errors, "doc_id", "left_anti"), encoder)
     same = reports.write_redundancy(*alike, paths.join(out, "corpus_redundancy.json"))
     cost = reports.write_cost(scored.cost, paths.join(out, "cost.json"))
     return Ran(out, report, same, cost, rows.count(), scored.errors.count(), scored.errors, manifest)
 
 
-def run_golden(spark: SparkSession, folder: str, config: dict, out: str, extractor=None) -> dict[str, str]:
+def golden_into(spark: SparkSession, folder: str, config: dict, out: str, extractor=None) -> dict[str, str]:
     """Golden questions and answers of a raw or parsed folder as CSV and workbook; unsupported and blank documents give none."""
     told = config.get("golden", {})
     docs = _documents(spark, folder, config, extractor)[0].where("category is null or category <> 'unsupported_format'")

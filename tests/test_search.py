@@ -53,16 +53,16 @@ def test_recall_stays_at_every_size(spark):
 
 def test_corpus_redundancy_says_what_it_did(spark):
     df = spark.createDataFrame([("a", "Un  texte"), ("b", "un texte"), ("c", "zzz zebre zzz"), ("d", "zzz zebres zzz"), ("e", None)], "doc_id string, markdown string")
-    exact, near, status = redundancy.corpus_redundancy(df)
+    exact, near, status = redundancy.redundancy_of(df)
     assert exact.count() == 2 and near is None and status == "skipped: aucun encodeur"
-    _, near, status = redundancy.corpus_redundancy(df, retrieval.letter_counts, 0.9)
+    _, near, status = redundancy.redundancy_of(df, retrieval.letter_counts, 0.9)
     assert status == "ok" and ("c", "d") in {(r["a"], r["b"]) for r in near.collect()} and not near.where("a = 'a' and b = 'b'").count()
-    assert redundancy.corpus_redundancy(df.where("markdown is null"), retrieval.letter_counts)[2] == "skipped: aucun document"
+    assert redundancy.redundancy_of(df.where("markdown is null"), retrieval.letter_counts)[2] == "skipped: aucun document"
 
     def broken(texts):
         raise OSError
 
-    assert redundancy.corpus_redundancy(df, broken)[2].startswith("skipped: ")
+    assert redundancy.redundancy_of(df, broken)[2].startswith("skipped: ")
 
 
 def test_numbers_follow_the_order(spark):

@@ -117,6 +117,6 @@ def test_parse_confidence_covers_glyph_codes(spark, tmp_path):
     df = spark.createDataFrame([(k, t, []) for k, t in texts.items()], "doc_id string, markdown string, blocks array<struct<kind:string,text:string>>")
     df.write.parquet(str(tmp_path / "docs.parquet"))
     side = "schema_version int, doc_id string, markdown_hash string, parse_confidence double, n_blocks int, provenance struct<parser:string,source_pages:int>"
-    spark.createDataFrame([(1, "thin", None, None, 0, ("docling", 9)), (1, "other", None, None, 0, ("fallback", 1)), (1, None, None, None, 0, None)], side).write.parquet(str(tmp_path / "sidecars.parquet"))
+    spark.createDataFrame([(1, "thin", None, None, 0, ("direct", 9)), (1, "other", None, None, 0, ("fallback", 1)), (1, None, None, None, 0, None)], side).write.parquet(str(tmp_path / "sidecars.parquet"))
     got = {r["doc_id"]: r["confidence"] for r in queries.queries()["parse_confidence"](spark, str(tmp_path)).collect()}
     assert got == {"clean": 1.0, "codes": round(1 - 20 / 500, 3), "blank": 0.0, "thin": 0.4, "other": 0.6}

@@ -108,7 +108,7 @@ def test_images_are_described_in_parse(spark, raw, tmp_path, config):
     assert {r["doc_id"]: r["entry_flags"] for r in read_store(spark, str(out)).collect()}["contrat"] == []
     with warnings.catch_warnings(record=True) as got:
         warnings.simplefilter("always")
-        ran = workflows.run_corpus(spark, str(out), {"llm": {"provider": "mock"}}, str(tmp_path / "run"), enrich=True)
+        ran = workflows.score_into(spark, str(out), {"llm": {"provider": "mock"}}, str(tmp_path / "run"), enrich=True)
     assert any("parsed folder" in str(w.message) for w in got)
     flags = {r[0]: r[4] for r in csv.reader((tmp_path / "run" / "synthese.csv").open(encoding="utf-8-sig", newline=""), delimiter=";")}
     assert "auto_descriptions:1" in flags["contrat"] and ran.n_docs == 5
@@ -122,7 +122,7 @@ def test_failing_images_are_reported(spark, raw, tmp_path, monkeypatch):
             raise TimeoutError
 
     monkeypatch.setattr(workflows, "_image_client", lambda c: (Broken, None))
-    done = workflows.parse_corpus(spark, str(raw), {}, str(tmp_path / "o"), enrich=True)
+    done = workflows.parse_into(spark, str(raw), {}, str(tmp_path / "o"), enrich=True)
     assert [(r["doc_id"], r["error"]) for r in done.errors.collect()] == [("contrat", "enrichissement: TimeoutError")] and done.n_written == 5
     assert "[Image non decrite: TimeoutError]" in (tmp_path / "o" / "contrat.md").read_text(encoding="utf-8")
 
@@ -130,12 +130,12 @@ def test_failing_images_are_reported(spark, raw, tmp_path, monkeypatch):
 def test_manual_manifest_goes_round(spark, raw, tmp_path):
     file = tmp_path / "m.json"
     config = {"enrichment": {"enabled": True, "vlm": {"provider": "manual", "manifest": str(file)}}}
-    done = workflows.parse_corpus(spark, str(raw), config, str(tmp_path / "one"))
+    done = workflows.parse_into(spark, str(raw), config, str(tmp_path / "one"))
     items = json.loads(file.read_text(encoding="utf-8"))
     assert done.manifest == str(file) and [(i["placeholder"], i["description"]) for i in items] == [("[[IMAGE:p=1;idx=2]]", "")]
     assert "[[IMAGE:p=1;idx=2]]" in (tmp_path / "one" / "contrat.md").read_text(encoding="utf-8")
     file.write_text(json.dumps([items[0] | {"description": "Un plan"}]), encoding="utf-8")
-    workflows.parse_corpus(spark, str(raw), config, str(tmp_path / "two"))
+    workflows.parse_into(spark, str(raw), config, str(tmp_path / "two"))
     assert "non verifiee): Un plan]" in (tmp_path / "two" / "contrat.md").read_text(encoding="utf-8")
 
 
@@ -158,7 +158,7 @@ def test_run_writes_everything(spark, raw, tmp_path, config, capsys):
 
 def test_a_hand_edit_keeps_its_score(spark, raw, tmp_path):
     """The flag of an edited entry comes on top; the score is that of its text."""
-    workflows.parse_corpus(spark, str(raw), {}, str(tmp_path / "s"))
+    workflows.parse_into(spark, str(raw), {}, str(tmp_path / "s"))
     before = {r["doc_id"]: r for r in workflows.score_corpus(read_store(spark, str(tmp_path / "s")), workflows.load_grid()).doc_scores.collect()}
     side = json.loads((tmp_path / "s" / "limite.parse.json").read_text(encoding="utf-8"))
     (tmp_path / "s" / "limite.parse.json").write_text(json.dumps(side | {"markdown_hash": "0" * 64}), encoding="utf-8")
