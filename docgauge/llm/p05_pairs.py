@@ -27,6 +27,8 @@ from docgauge.session import cut
 
 #: Pairs of smallest hash whose texts may train the language centroids, and texts of a language among them.
 SAMPLE, PER_LANGUAGE = 12_000, 400
+#: Centroids of a language.
+CLUSTERS = 2
 #: Words and confidence from which a language counts.
 LEAST_WORDS, SURE = 5, 0.8
 #: Shares of an answer and of its question that tiles must cover for a copy.
@@ -39,33 +41,66 @@ NOT_COVERED = "non couvert par le document"
 # Abbreviations that end in a full stop inside a sentence.
 ABBREVIATIONS = {"art", "réf", "ref", "abs", "no", "nr", "núm", "num", "n", "cf", "p", "chap", "ex", "mme", "dr", "bzw", "vgl", "ca", "z", "pag", "pág"}
 
-# Refusal grammar: the speaker's inability, lack, regret or unwillingness to answer, by language.
-REFUSAL = re.compile(
-    r"""
-    \bje\s+(?:suis\s+(?:vraiment\s+)?(?:désolée?|navrée?)|regrette|m'excuse|refuse|décline|préfère\s+ne\s+pas|ne\s+(?:peux|puis|saurais|suis\s+pas\s+(?:en\s+mesure|capable|autorisé\w*|habilité\w*)|dispose|sais|souhaite|possède|connais|trouve|vois)|n'ai\s+(?:pas|aucun\w*)|n'arrive)
-    |\b(?:il\s+)?m'est\s+(?:impossible|interdit)|\bmes\s+(?:capacités|compétences|attributions)|\ben\s+tant\s+qu'(?:assistant\w*|ia\b|intelligence|modèle)|\bme\s+permettant\s+de\s+vous\s+aider
-    |^(?:désolée?|navrée?|malheureusement|hélas)\b.*\b(?:je|j'|n'ai|moi)\b
-    |\bi\s*(?:'m|\s+am|\s+was)\s+(?:so\s+|very\s+|really\s+|afraid\b|sorry|unable|not\s+(?:able|allowed|in\s+a\s+position|permitted))
-    |\bi\s+(?:can(?:no|')t|can\s+not|could\s+not|won't|will\s+not|must\s+decline|decline|refuse|have\s+(?:no|to\s+decline)|do\s+not\s+(?:have|know)|don't\s+(?:have|know)|would\s+(?:rather|prefer)\s+not|regret)
-    |\bas\s+an?\s+(?:ai|assistant|language\s+model)\b|\b(?:beyond|outside)\s+(?:the\s+scope\s+of\s+)?my\b|\b(?:nothing|anything)\b.{0,30}\blets?\s+me\b|^sorry\b.*\b(?:i|my)\b
-    |\b(?:ich|mir)\b.{0,40}\b(?:nicht|kein\w*)\b|\b(?:kann|darf|habe|möchte|weiß)\s+ich\b.{0,60}\b(?:nicht|kein\w*)\b|\bes\s+tut\s+mir\s+leid|\bals\s+(?:assistent\w*|ki)\b|\bich\s+(?:lehne|verweigere|bedau\w+)|\bmeine[rn]?\s+(?:möglichkeiten|fähigkeiten|befugnisse)
-    |\blo\s+(?:siento|lamento)\b|\bno\s+(?:puedo|tengo|dispongo|sé|sabría|estoy|quisiera|me\s+es)\b|\bme\s+(?:niego|es\s+imposible|resulta\s+imposible)|\bprefiero\s+no\b|\brechazo\s+(?:esta|tratar)|\bcomo\s+asistente\b|\bmis\s+(?:capacidades|competencias)
-    |\bmi\s+(?:dispiace|spiace|rifiuto|è\s+impossibile|risulta\s+impossibile)|\bnon\s+(?:posso|ho|dispongo|so|saprei|sono\s+(?:in\s+grado|autorizzat\w))\b|\bpreferisco\s+non\b|\bin\s+quanto\s+assistente|\bcome\s+assistente\b|\b(?:mie|mio)\s+(?:capacità|competenze)
-    |^no\s+answer\s+(?:will|can|may|is\s+to)\s+be\s+(?:given|provided|supplied)|^aucune\s+réponse\s+ne\s+(?:sera|peut\s+être|saurait\s+être)\s+(?:donnée|apportée|fournie)
-    |^(?:hier|dazu|darauf|an\s+dieser\s+stelle)\s+(?:wird|kann)\s+keine\s+(?:antwort|auskunft)\b|^eine\s+antwort\s+(?:wird|kann)\b.{0,30}\bnicht\b|^es\s+wird\b.{0,20}\bkeine\s+antwort\b
-    |^(?:aquí\s+)?no\s+se\s+(?:dará|facilitará|ofrecerá|puede\s+dar)\b.{0,20}\brespuesta|^(?:qui\s+)?non\s+(?:verrà|sarà|viene|può\s+essere)\s+(?:data|fornita)\b.{0,20}\brisposta|^nessuna\s+risposta\s+(?:verrà|sarà|può)|^ninguna\s+respuesta\b
-    |^(?:aqui\s+)?não\s+(?:será|pode\s+ser)\s+dada\b.{0,20}\bresposta|^nenhuma\s+resposta\s+(?:será|pode)
-    |\blamento\b|\bnão\s+(?:posso|tenho|disponho|sei|saberia|consigo|estou)\b|\bprefiro\s+não\b|\b(?:recuso|desculpe)\b|\bé-me\s+impossível|\benquanto\s+assistente|\bas\s+minhas\s+(?:capacidades|competências)
-    """,
-    re.X | re.S,
-)
-
-# Words of which every refusal of the grammar holds one, for a cheap test before it.
-REFUSING = set(
-    """je m mes tant permettant désolé désolée navré navrée malheureusement hélas i as my me sorry ich mir als meine meiner meinen
-    siento lo no niego prefiero rechazo como mis mi non rifiuto preferisco quanto come mie mio lamento não prefiro recuso desculpe é
-    enquanto minhas aucune hier dazu darauf stelle eine es nessuna ninguna nenhuma qui aquí aqui""".split()
-)
+# Refusal grammar by language: words of which each refusal holds one, for a cheap test before the patterns of the speaker's
+# inability, lack, regret or unwillingness to answer.
+REFUSALS = [
+    (
+        frozenset("je m mes tant permettant désolé désolée navré navrée malheureusement hélas aucune".split()),
+        r"""
+        \bje\s+(?:suis\s+(?:vraiment\s+)?(?:désolée?|navrée?)|regrette|m'excuse|refuse|décline|préfère\s+ne\s+pas|ne\s+(?:peux|puis|saurais|suis\s+pas\s+(?:en\s+mesure|capable|autorisé\w*|habilité\w*)|dispose|sais|souhaite|possède|connais|trouve|vois)|n'ai\s+(?:pas|aucun\w*)|n'arrive)
+        |\b(?:il\s+)?m'est\s+(?:impossible|interdit)|\bmes\s+(?:capacités|compétences|attributions)|\ben\s+tant\s+qu'(?:assistant\w*|ia\b|intelligence|modèle)|\bme\s+permettant\s+de\s+vous\s+aider
+        |^(?:désolée?|navrée?|malheureusement|hélas)\b.*\b(?:je|j'|n'ai|moi)\b
+        |^aucune\s+réponse\s+ne\s+(?:sera|peut\s+être|saurait\s+être)\s+(?:donnée|apportée|fournie)
+        """,
+    ),
+    (
+        frozenset("i as my me sorry no".split()),
+        r"""
+        \bi\s*(?:'m|\s+am|\s+was)\s+(?:so\s+|very\s+|really\s+|afraid\b|sorry|unable|not\s+(?:able|allowed|in\s+a\s+position|permitted))
+        |\bi\s+(?:can(?:no|')t|can\s+not|could\s+not|won't|will\s+not|must\s+decline|decline|refuse|have\s+(?:no|to\s+decline)|do\s+not\s+(?:have|know)|don't\s+(?:have|know)|would\s+(?:rather|prefer)\s+not|regret)
+        |\bas\s+an?\s+(?:ai|assistant|language\s+model)\b|\b(?:beyond|outside)\s+(?:the\s+scope\s+of\s+)?my\b|\b(?:nothing|anything)\b.{0,30}\blets?\s+me\b|^sorry\b.*\b(?:i|my)\b
+        |^no\s+answer\s+(?:will|can|may|is\s+to)\s+be\s+(?:given|provided|supplied)
+        """,
+    ),
+    (
+        frozenset("ich mir als meine meiner meinen hier dazu darauf stelle eine es".split()),
+        r"""
+        \b(?:ich|mir)\b.{0,40}\b(?:nicht|kein\w*)\b|\b(?:kann|darf|habe|möchte|weiß)\s+ich\b.{0,60}\b(?:nicht|kein\w*)\b|\bes\s+tut\s+mir\s+leid|\bals\s+(?:assistent\w*|ki)\b|\bich\s+(?:lehne|verweigere|bedau\w+)|\bmeine[rn]?\s+(?:möglichkeiten|fähigkeiten|befugnisse)
+        |^(?:hier|dazu|darauf|an\s+dieser\s+stelle)\s+(?:wird|kann)\s+keine\s+(?:antwort|auskunft)\b|^eine\s+antwort\s+(?:wird|kann)\b.{0,30}\bnicht\b|^es\s+wird\b.{0,20}\bkeine\s+antwort\b
+        """,
+    ),
+    (
+        frozenset("lo no me niego prefiero rechazo como mis ninguna aquí".split()),
+        r"""
+        \blo\s+(?:siento|lamento)\b|\bno\s+(?:puedo|tengo|dispongo|sé|sabría|estoy|quisiera|me\s+es)\b|\bme\s+(?:niego|es\s+imposible|resulta\s+imposible)|\bprefiero\s+no\b|\brechazo\s+(?:esta|tratar)|\bcomo\s+asistente\b|\bmis\s+(?:capacidades|competencias)
+        |^(?:aquí\s+)?no\s+se\s+(?:dará|facilitará|ofrecerá|puede\s+dar)\b.{0,20}\brespuesta
+        |^ninguna\s+respuesta\b
+        """,
+    ),
+    (
+        frozenset("mi non preferisco quanto come mie mio qui nessuna".split()),
+        r"""
+        \bmi\s+(?:dispiace|spiace|rifiuto|è\s+impossibile|risulta\s+impossibile)|\bnon\s+(?:posso|ho|dispongo|so|saprei|sono\s+(?:in\s+grado|autorizzat\w))\b|\bpreferisco\s+non\b|\bin\s+quanto\s+assistente|\bcome\s+assistente\b|\b(?:mie|mio)\s+(?:capacità|competenze)
+        |^(?:qui\s+)?non\s+(?:verrà|sarà|viene|può\s+essere)\s+(?:data|fornita)\b.{0,20}\brisposta
+        |^nessuna\s+risposta\s+(?:verrà|sarà|può)
+        """,
+    ),
+    (
+        frozenset("lamento não prefiro recuso desculpe é enquanto minhas aqui nenhuma".split()),
+        r"""
+        ^(?:aqui\s+)?não\s+(?:será|pode\s+ser)\s+dada\b.{0,20}\bresposta|^nenhuma\s+resposta\s+(?:será|pode)
+        |\blamento\b|\bnão\s+(?:posso|tenho|disponho|sei|saberia|consigo|estou)\b|\bprefiro\s+não\b|\b(?:recuso|desculpe)\b|\bé-me\s+impossível|\benquanto\s+assistente|\bas\s+minhas\s+(?:capacidades|competências)
+        """,
+    ),
+]
+_REFUSALS = [(words, re.compile(pattern, re.X | re.S)) for words, pattern in REFUSALS]
+
+
+def refuses(low: str, tokens: list[str]) -> bool:
+    """True if a lower-case answer with single spaces refuses to answer."""
+    held = set(tokens)
+    return any(not words.isdisjoint(held) and pattern.search(low) for words, pattern in _REFUSALS)
+
 
 _TOKEN = re.compile(r"\w+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -200,6 +235,8 @@ _OTHER = re.compile("[^\x00-\u024f\u1e00-\u1eff]")
 
 def script(text: str) -> str:
     """Script of most letters: latin, other, or none."""
+    if text and max(text) < "\u0250" and any(map(str.isalpha, text)):
+        return "latin"
     letters = "".join(_LETTERS.findall(text))
     return "none" if not letters else "latin" if letters.isascii() or len(_OTHER.findall(letters)) * 2 <= len(letters) else "other"
 
@@ -213,30 +250,36 @@ def train(golden: DataFrame) -> p2.Centroids:
     for t in sorted({t for c in rows for t in rows[c] if t}):
         lang, margin = seed_language(t)
         if lang and margin >= 2 and len(held[lang]) < PER_LANGUAGE:
-            held[lang].append(p2.fold(t))
-    return p2.fit([t for ts in held.values() for t in ts], [c for c, ts in held.items() for _ in ts])
+            held[lang].append(plain(normal(t)))
+    return p2.fit([t for ts in held.values() for t in ts], [c for c, ts in held.items() for _ in ts], CLUSTERS)
+
+
+def plain(words: list[str]) -> str:
+    """Words without digits, with single spaces, as the centroids read them."""
+    return " " + " ".join(w for w in words if w.isalpha()) + " "
 
 
-def first_pass(question: str | None, answer: str | None, covered: str | None) -> tuple[str | None, bool | None]:
-    """(defect or None, whether languages must be compared; None if the pair is sound) before language and truncation."""
+def first_pass(question: str | None, answer: str | None, covered: str | None) -> tuple[str | None, bool | None, str]:
+    """(defect or None, whether languages must be compared; None if the pair is sound, words of the answer and question as
+    two lines) before language and truncation."""
     text = unicodedata.normalize("NFKC", answer or "").replace("\u200b", "").replace("\ufeff", "").strip()
     if text.lower() in STAND_INS or not any(c.isalnum() for c in text):
-        return "empty", False
+        return "empty", False, ""
     low = " ".join(text.lower().replace("’", "'").split())
     if low.rstrip(".") == NOT_COVERED:
-        return (None if (covered or "").strip().lower() != "oui" else "refusal"), None
+        return (None if (covered or "").strip().lower() != "oui" else "refusal"), None, ""
     a = normal(text)
-    if not REFUSING.isdisjoint(a) and REFUSAL.search(low):
-        return "refusal", False
+    if refuses(low, a):
+        return "refusal", False, ""
     q = normal(question)
     body = a[1:] if a and a[0] in ("q", "question", "pregunta", "domanda", "pergunta", "frage") else a
     known = set(q)
     # Tiles hold words of the question only: an answer with fewer of them is no copy.
-    if body and len(set(body) - known) <= (1 - COPY_ANSWER) * len(body):
+    if body and len(body) - len(set(body) - known) >= COPY_ANSWER * len(body) - 1e-9:
         in_a, in_q = tiled(body, q)
         if in_a >= COPY_ANSWER and in_q >= COPY_QUESTION:
-            return "copy", False
-    return None, bool(question) and len(a) >= LEAST_WORDS
+            return "copy", False, ""
+    return None, bool(question) and len(a) >= LEAST_WORDS, f"{plain(q)}\n{plain(a)}"
 
 
 def last_pass(answer: str) -> tuple[str | None, str | None]:
@@ -250,16 +293,16 @@ def last_pass(answer: str) -> tuple[str | None, str | None]:
 def judged(questions: list[str | None], answers: list[str | None], covered: list[str | None], model: p2.Centroids) -> list[tuple[str | None, str | None]]:
     """(defect or None, ambiguous phrase or None) of each pair of a batch."""
     got = [first_pass(q, a, c) for q, a, c in zip(questions, answers, covered)]
-    out: list[tuple[str | None, str | None]] = [(d, None) for d, _ in got]
-    asked = [i for i, (d, compare) in enumerate(got) if compare]
-    folded = [p2.fold(t) for i in asked for t in (questions[i], answers[i])]
+    out: list[tuple[str | None, str | None]] = [(d, None) for d, *_ in got]
+    asked = [i for i, (d, compare, _) in enumerate(got) if compare]
+    folded = [t for i in asked for t in got[i][2].split("\n")]
     langs, sure = model.classify(folded)
     for k, i in enumerate(asked):
         (ql, al), (qs, sa) = langs[2 * k : 2 * k + 2], sure[2 * k : 2 * k + 2]
         scripts = {script(questions[i]), script(answers[i])}
         if scripts == {"latin", "other"} or (ql != al and "und" not in (ql, al) and min(qs, sa) >= SURE):
             out[i] = ("language", None)
-    for i, (d, compare) in enumerate(got):
+    for i, (d, compare, _) in enumerate(got):
         if d is None and compare is not None and out[i][0] is None:
             out[i] = last_pass(answers[i])
     return out
