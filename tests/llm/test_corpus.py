@@ -250,6 +250,47 @@ def test_counts_are_alike_sent_and_joined(spark, monkeypatch):
     assert sorted(p10.verdicts(df).collect()) == sorted(one)
 
 
+def moved(spark, run):
+    """Rows that all jobs of ``run`` write for shuffles."""
+    sc = spark.sparkContext
+    sc.setJobGroup("moved", "")
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {k for j in tracker.getJobIdsForGroup("moved") for k in tracker.getJobInfo(j).stageIds}
+    sc.setJobGroup("", "")
+    return sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages if tracker.getStageInfo(k))  # skipped stages may be gone
+
+
+def test_many_asked_keys_move_only_what_is_asked_about(spark, monkeypatch):
+    lines = [" ".join(f"m{(97 * i + 31 * j + 7 * k * k) % 5003}" for k in range(9)) for i in range(400) for j in range(10)]
+    rows = [(i, "\n\n".join(lines[10 * i : 10 * i + 10]) + ".", "a") for i in range(400)]  # all whole
+    rows += [(500 + i, rows[i][1][: -40 - i], "a") for i in range(8)]  # cut copies
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(p10.verdicts(df).collect())
+    monkeypatch.setattr(p10, "SENT", 0)
+    got = []
+    n = moved(spark, lambda: got.extend(p10.verdicts(df).collect()))
+    assert sorted(got) == want and sum(r["cut"] for r in got) == 8
+    assert 2 * len(rows) < n < 6 * len(rows), n  # counting all beginnings of lines and all pairs of words moves 23 rows a text
+
+
+def test_sieve_lets_all_keys_through_and_few_others(spark):
+    from docgauge.functions import sieve as sv
+
+    rng = np.random.default_rng(5)
+    keys, others = (rng.integers(-(1 << 63), (1 << 63) - 1, n) for n in (3000, 20000))
+    held = sv.sieve(spark.createDataFrame([(int(k),) for k in keys], "key long"), "key")
+    assert sv.lets(held.value, keys).all() and sv.lets(held.value, others).mean() < 0.05
+    texts = [f"t{i}" for i in range(500)]
+    held = sv.sieve(spark.createDataFrame([(sv.text_key("a", t),) for t in texts], "key long"), "key")
+    asked, other = sv.Held(held.value, "a"), sv.Held(held.value, "b")
+    assert all(asked[t] for t in texts) and sum(other[t] for t in texts) < 50
+    df = spark.createDataFrame([(int(k),) for k in keys[:50]] + [(None,)], "key long")
+    none = sv.sieve(df.where("false"), "key")
+    assert sv.sieved(df, p10.F.col("key"), none).count() == 0 and not sv.Held(none.value, "a")["x"]
+
+
 def test_alignment():
     long = "un deux trois quatre cinq six sept huit neuf dix".split()
     assert p10.ends_early(long[:7], long) and p10.ends_early([*long[:7], "hu"], long) and not p10.ends_early(long, long) and not p10.ends_early(["a"] * 9, long) and not p10.ends_early(long[:3], long)
